@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mix_plan
 from .packing import pack
+from .quality import judge
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -26,10 +28,21 @@ def op4_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, words=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
     "op2_simhash_bk_trees": op2_simhash_bk_trees,
     "op4_substring_doubling": op4_substring_doubling,
+    "op5_mix_splitting_tree": op5_mix_splitting_tree,
+    "op9_quality_mcd": op9_quality_mcd,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -147,11 +147,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removes nor loses words. Texts of fewer than ``words`` words stay whole.
     """
     made = ["kept_text", "n_words", "n_removed", "kept_sha256"]
-    rest = [c for c in docs.columns if c not in made]
+    rest = [c for c in docs.columns if c not in made and c != text_col]
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in rest]).alias("row"))
     ranges = repeated_windows(keyed, words)
     joined = keyed.withColumn("text_hash", F.xxhash64("text")).join(ranges, ["doc_id", "text_hash"], "left").select("text", "ranges", "row")
-    schema = "kept_text string, n_words long, n_removed long, kept_sha256 string, row " + keyed.schema["row"].dataType.simpleString()
+    schema = f"`{text_col}` string, kept_text string, n_words long, n_removed long, kept_sha256 string, row " + keyed.schema["row"].dataType.simpleString()
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -168,6 +168,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for c, v in zip(columns, (kept.decode("utf-8", "surrogatepass") if spans else text, len(found), len(found) - len(keep), hashlib.sha256(kept).hexdigest())):
                     c.append(v)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds)], part.column(2)], names=[*made, "row"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)], part.column(2)], names=[text_col, *made, "row"])
 
-    return joined.mapInArrow(removed, schema).select("row.*", *made)
+    out = joined.mapInArrow(removed, schema)
+    return out.select(*[out[text_col] if c == text_col else out["row"][c].alias(c) for c in docs.columns if c not in made], *made)
