@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
+from .chat import format_conversations, read_back
 from .common import table
+from .licences import scan
 from .mixing import mix_plan
+from .neighbours import nearest
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
@@ -32,17 +36,44 @@ def op5_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return read_back(format_conversations(turns.unionByName(hard)))
+
+
+def op8_neighbours_projected_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))
+    size = F.coalesce("capture.payload_bytes", F.col("metadata")[0]["payload_bytes"])
+    return captures.select("capture.page_id", size.alias("payload_bytes"), "capture.payload_digest", F.col("capture.type").alias("record_type"), "capture.refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
     "op2_simhash_bk_trees": op2_simhash_bk_trees,
     "op4_substring_doubling": op4_substring_doubling,
     "op5_mix_splitting_tree": op5_mix_splitting_tree,
+    "op6_licence_automaton": op6_licence_automaton,
+    "op7_chat_round_trip": op7_chat_round_trip,
+    "op8_neighbours_projected_tree": op8_neighbours_projected_tree,
     "op9_quality_mcd": op9_quality_mcd,
+    "op10_warc_transactions": op10_warc_transactions,
 }
 
 ORACLE_SQL: dict[str, str] = {}
