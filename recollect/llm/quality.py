@@ -80,20 +80,27 @@ def squared_distance(x: list[Column], centre: list[Column], lower: dict[tuple[in
     return total
 
 
-def outliers(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """``stats`` with ``distance`` (squared, robust) and ``outlier``.
+X = [f"x{i}" for i in range(len(FLOORS))]
+
+
+def with_features(stats: DataFrame) -> DataFrame:
+    """Feature columns; null where the base rules fail."""
+    return stats.withColumns({c: F.when(~base_failed(), f) for c, f in zip(X, features())})
+
+
+def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """One row a group: centre, Cholesky factor of the covariance, and scale of squared distances.
 
     Minimum covariance determinant per group: from medians and median deviations, concentration steps take mean and
     covariance of the SHARE of rows nearest so far. All are mergeable aggregates (sums, approximate quantiles) of one
     row a group, joined back; no group is brought together. The last covariance is scaled so that the median distance
     is that of a chi-square with 5 degrees of freedom. Rows that fail the base rules take no part and get no verdict,
-    nor do groups with fewer than LEAST rows (distance null, outlier false). A null language or source is a group.
+    nor do groups with fewer than LEAST rows. A null language or source is a group.
     """
     a, b = by
-    x = [f"x{i}" for i in range(len(FLOORS))]
+    x = X
     d = range(len(x))
-    rows = stats.withColumns({c: F.when(~base_failed(), f) for c, f in zip(x, features())})
-    used = rows.where(~base_failed()).select(F.col(a).alias("ga"), F.col(b).alias("gb"), *x)
+    used = with_features(stats).where(~base_failed()).select(F.col(a).alias("ga"), F.col(b).alias("gb"), *x)
 
     def quantile(c: Column, p: float) -> Column:
         return F.percentile_approx(c, p, 10_000)
@@ -127,10 +134,16 @@ def outliers(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> Data
         params = stored(params.drop(*[f"v{i}{j}" for i in d for j in range(i + 1)]), "estimates")
     near = with_groups(used, params).withColumn("distance", squared_distance(xs, centre, lower))
     scale = near.groupBy("ga", "gb").agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
-    params = stored(with_groups(params, scale).withColumnsRenamed({"ga": "ka", "gb": "kb"}), "scaled")
-    out = rows.join(params, rows[a].eqNullSafe(params["ka"]) & rows[b].eqNullSafe(params["kb"]), "left").withColumn(
-        "distance", squared_distance(xs, centre, lower) / F.col("scale"))
-    return out.select(*[stats[c] for c in stats.columns], "distance", F.coalesce(F.col("distance") > CUTOFF_5, F.lit(False)).alias("outlier"))
+    return stored(with_groups(params, scale), "scaled")
+
+
+def outliers(stats: DataFrame, params: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """``stats`` with ``distance`` (squared, robust; null without estimates) and ``outlier``."""
+    d = range(len(X))
+    rows, p = with_features(stats), params.withColumnsRenamed({"ga": "ka", "gb": "kb"})
+    out = rows.join(p, rows[by[0]].eqNullSafe(p["ka"]) & rows[by[1]].eqNullSafe(p["kb"]), "left").withColumn("distance", squared_distance(
+        [F.col(c) for c in X], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}) / F.col("scale"))
+    return out.select(*stats.columns, "distance", F.coalesce(F.col("distance") > CUTOFF_5, F.lit(False)).alias("outlier"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,4 +154,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), "lang", "source")
     stats = stored(text_statistics(slim), "statistics")
-    return outliers(stats).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+    return outliers(stats, estimates(stats)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+
+
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, unchanged. Statistics are taken once for the estimates and once in
+    the pass that filters, so texts aren't shuffled: the estimates are a row for each language and source."""
+    slim = docs.select(docs[text_col].alias("text"), "lang", "source")
+    params = estimates(stored(text_statistics(slim), "statistics"))
+    whole = docs.select(docs[text_col].alias("text"), "lang", "source", F.struct(*docs.columns).alias("row"))
+    return outliers(text_statistics(whole), params).where(~base_failed() & ~F.col("outlier")).select("row.*")

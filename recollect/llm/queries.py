@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import warc
 from .chat import format_conversations, read_back
+from .class_lm import score
 from .common import table
 from .licences import scan
 from .mixing import mix_plan
@@ -27,6 +28,10 @@ def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op3_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, words=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -67,6 +72,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
     "op2_simhash_bk_trees": op2_simhash_bk_trees,
+    "op3_brown_class_bigrams": op3_brown_class_bigrams,
     "op4_substring_doubling": op4_substring_doubling,
     "op5_mix_splitting_tree": op5_mix_splitting_tree,
     "op6_licence_automaton": op6_licence_automaton,
