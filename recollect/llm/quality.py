@@ -163,4 +163,6 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     slim = docs.select(docs[text_col].alias("text"), "lang", "source")
     params = estimates(stored(text_statistics(slim), "statistics"))
     whole = docs.select(docs[text_col].alias("text"), "lang", "source", F.struct(*docs.columns).alias("row"))
-    return outliers(text_statistics(whole), params).where(~base_failed() & ~F.col("outlier")).select("row.*")
+    judged = outliers(text_statistics(whole), params)
+    # a filter would be pushed below the statistics and repeat them for each use; a generator isn't
+    return judged.select(F.explode(F.when(~base_failed() & ~F.col("outlier"), F.array("row"))).alias("row")).select("row.*")
