@@ -25,15 +25,15 @@ def test_identity(spark):
 
 
 @pytest.mark.parametrize(("column", "value"), [
-    (scalars.try_number(F.lit("1e3")), 1000.0), (scalars.try_number(F.lit("x")), None), (scalars.clean_value(F.lit(" a \n b ")), "a b"),
-    (scalars.clean_value(F.lit("x" * 120)), "x" * 100 + "..."), (scalars.clean_text(F.lit(" a \n\n b")), "a\nb"), (scalars.slug(F.lit("A b!")), "a-b"),
-    (scalars.label_of_event(F.lit("page-viewed")), "Page Viewed"), (scalars.is_email(F.lit("a@b.co")), True), (scalars.is_email(F.lit(None)), False),
-    (scalars.pretty_seconds(F.lit(90061)), "1d 01:01:01"), (scalars.is_hex(F.lit("0fG")), False),
-    (scalars.fill_template('{{a}} is {{b ! "unknown"}}', {"a": F.lit("x"), "b": F.lit(None)}), "x is unknown"),
-    (scalars.traits_text(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))), '(a="1", b="2")'),
-    (scalars.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))), None)])
+    (lambda: scalars.try_number(F.lit("1e3")), 1000.0), (lambda: scalars.try_number(F.lit("x")), None), (lambda: scalars.clean_value(F.lit(" a \n b ")), "a b"),
+    (lambda: scalars.clean_value(F.lit("x" * 120)), "x" * 100 + "..."), (lambda: scalars.clean_text(F.lit(" a \n\n b")), "a\nb"), (lambda: scalars.slug(F.lit("A b!")), "a-b"),
+    (lambda: scalars.label_of_event(F.lit("page-viewed")), "Page Viewed"), (lambda: scalars.is_email(F.lit("a@b.co")), True), (lambda: scalars.is_email(F.lit(None)), False),
+    (lambda: scalars.pretty_seconds(F.lit(90061)), "1d 01:01:01"), (lambda: scalars.is_hex(F.lit("0fG")), False),
+    (lambda: scalars.fill_template('{{a}} is {{b ! "unknown"}}', {"a": F.lit("x"), "b": F.lit(None)}), "x is unknown"),
+    (lambda: scalars.traits_text(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))), '(a="1", b="2")'),
+    (lambda: scalars.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))), None)])
 def test_scalars(spark, column, value):
-    assert one(spark, column) == value
+    assert one(spark, column()) == value
 
 
 @pytest.fixture(scope="module")
