@@ -82,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_transactions": op10_warc_transactions,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_transactions": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS b FROM pages),
+ o AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS owner FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id <> owner THEN owner END AS refers_to FROM o""",
+}
