@@ -20,46 +20,33 @@ SHARD = 4096
 BLOCK = 1 << 16
 
 
-def remixed(hashes: np.ndarray, family: int) -> np.ndarray:
-    """The hashes themselves for family 0, else other bits drawn from them."""
-    if not family:
-        return hashes
-    x = hashes + np.uint64(family * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: str | None, width: int, families: int = 1) -> tuple[int, ...]:
-    """64 bits a family: one is set if it is set in over half of the XXH64 hashes of the text's word shingles."""
+def fingerprint(text: str | None, width: int) -> int:
+    """A bit is set if it is set in over half of the XXH64 hashes of the text's word shingles."""
     words = lower_words_of(text)
     if not words:
-        return (0,) * families
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts.tolist(), ends.tolist()[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((families, 64), np.int64)
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(last), BLOCK):
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK])], "<u8")
-        for f in range(families):
-            bits = np.unpackbits(remixed(hashes, f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[f] += (np.ones((1, len(bits)), np.float32) @ bits.astype(np.float32))[0].astype(np.int64)
-    return tuple(sum(1 << int(i) for i in np.flatnonzero(2 * c > len(last))) for c in counts)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += (np.ones((1, len(bits)), np.float32) @ bits.astype(np.float32))[0].astype(np.int64)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(last)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, families: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...) of whole texts, as longs. Null, empty and blank texts have fingerprints zero."""
-    names = ["fp", *(f"fp{f}" for f in range(1, families))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """(doc_id, fp) of whole texts, as longs. Null, empty and blank texts have fingerprint zero."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([fingerprint(t, width, families) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, families)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], names=["doc_id", *names])
+            found = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)])
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(mapped, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(mapped, "doc_id long, fp long")
 
 
 class BKTree:
@@ -184,25 +171,16 @@ def near_links(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD
         blocks_of.mapInArrow(between, "a long, b long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 6, families: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents whose fingerprints are linked by at most ``radius`` bits.
 
     component_id is the smallest doc_id that can be reached. Equal fingerprints are one node, whatever their number.
-    With more ``families``, documents are linked where the fingerprints of any family are that near, which finds more
-    of the pairs whose expected distance is about the radius; the fingerprint returned is the first family's.
     Null, empty and blank texts have fingerprint zero and are linked like others. Repeated rows each give a row; a
     null doc_id has its component's smallest known id (null if there is none). Other columns are ignored.
     """
-    found = stored(fingerprints(docs, id_col, text_col, width, families), "fingerprints")
+    found = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     lowest = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     links = near_links(lowest, radius, blocks)
-    for f in range(1, families):  # links of other families, between the first family's fingerprints
-        pairs = found.select(F.col(f"fp{f}").alias("other"), "fp").distinct()
-        first = stored(pairs.groupBy("other").agg(F.min("fp").alias("first")), "family")
-        more = near_links(first.select(F.col("other").alias("fp")), radius, blocks)
-        a, b = first.withColumnsRenamed({"other": "a", "first": "x"}), first.withColumnsRenamed({"other": "b", "first": "y"})
-        links = links.unionByName(more.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        links = links.unionByName(pairs.join(first, "other").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")))
     roots = connected_components(links)
     member = lowest.join(roots.withColumnRenamed("node", "fp"), "fp")
     reach = member.groupBy("root").agg(F.min("low").alias("reach"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from recollect.llm import chat, class_lm, common, licences, mixing, neighbours, packing, quality, simhash, substring_dedup, warc
+from recollect.llm import chat, class_lm, common, licences, mixing, near_dedup, neighbours, packing, quality, simhash, substring_dedup, warc
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size long"
@@ -51,7 +51,7 @@ def plain(df):
 
 def test_empty_tables(spark, empty):
     assert packing.pack(empty).count() == 0
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
     assert class_lm.score(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
@@ -142,6 +142,61 @@ def test_near_links_of_a_hot_bucket(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def similar_classes(rows, width=5, least=0.8):
+    """Component of each id: texts linked at a Jaccard similarity of their shingle sets, by all pairs."""
+    sets = []
+    for _, text in rows:
+        words = WORD.findall(lower(text))
+        sets.append({tuple(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1)} if words else set())
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if both >= least * either and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return {d: rows[at][0] for (d, _), at in zip(rows, label)}
+
+
+def test_near_dedup(spark, documents):
+    table = common.table(spark, "/root/testdata/sf0.001", "documents")
+    for docs in (documents, table):
+        want = similar_classes(sorted({(d, t) for d, t in plain(docs) if d is not None}, key=lambda r: r[0]))
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).where("doc_id is not null").collect()} == want
+        kept = near_dedup.keep_one(docs)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values()) | ({None} if docs is documents else set())
+
+
+def test_near_dedup_of_a_hot_group(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(200):  # each is similar to the base text, few are to each other
+        words = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(500, " ".join(base)), *enumerate(texts)], "doc_id long, text string")
+    rows = sorted(plain(docs))
+    found = near_dedup.sketches(docs, "doc_id", "text", 5, 16).withColumnRenamed("doc_id", "node")
+    links = near_dedup.similar(near_dedup.candidate_links(found, shard=64), found, 5, 0.8)
+    assert links.count() <= 20 * len(rows)
+    roots = {r["node"]: r["root"] for r in common.connected_components(links).collect()}
+    assert {d: roots.get(d, d) for d, _ in rows} == similar_classes(rows)
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 40):
+        u, v = rng.integers(0, n, (2, 3 * n))
+        label, want = list(range(n)), []
+        for i, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
+            if label[a] != label[b]:
+                want.append(i)
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+        assert sorted(near_dedup.spanning_forest(n, u, v).tolist()) == want
+
+
 def test_bk_tree():
     rng = np.random.default_rng(2)
     values = list({int(x) for x in rng.integers(0, 2**16, 400)})
