@@ -83,6 +83,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_doubling": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+ h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+ r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS owner FROM h) WHERE doc_id > owner),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM r),
+ g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, w, range(1, len(w) + 1) AS every FROM d LEFT JOIN g USING (doc_id)),
+ a AS (SELECT doc_id, unnest(w) AS word, unnest(every) AS pos FROM k),
+ t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM a ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT k.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN t USING (doc_id)""",
+    "op7_chat_round_trip": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ e AS (SELECT *, contains(role || '|' || text, '</s>') OR contains(role, chr(10)) OR regexp_matches(role, '\\[nlb]') OR regexp_matches(text, '\\[nlb]') AS escaped,
+  length(role) + length(text) + 8 AS n, length(regexp_replace(role || text, '[^\\<\n]', '', 'g')) AS more FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(n + CASE WHEN escaped THEN more ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op10_warc_transactions": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS b FROM pages),
  o AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS owner FROM p)
 SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,

@@ -452,3 +452,17 @@ def test_pipeline(spark, tmp_path):
         assert 0 < docs.count() and (docs.count() <= before or "mixing" in name)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_substring_doubling", "op7_chat_round_trip", "op10_warc_transactions"])
+def test_query_against_sql(spark, name):
+    import duckdb
+    from recollect.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    found = con.execute(ORACLE_SQL[name])
+    assert [d[0] for d in found.description] == df.columns
+    assert Counter(map(tuple, df.collect())) == Counter(found.fetchall())
