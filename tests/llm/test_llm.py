@@ -182,6 +182,14 @@ def test_near_dedup_of_a_hot_group(spark):
     assert links.count() <= 20 * len(rows)
     roots = {r["node"]: r["root"] for r in common.connected_components(links).collect()}
     assert {d: roots.get(d, d) for d, _ in rows} == similar_classes(rows)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()} == similar_classes(rows)
+
+
+def test_near_dedup_without_broadcast(spark, monkeypatch):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    want = {(r["doc_id"], r["component_id"]) for r in near_dedup.classes(docs).collect()}
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.classes(docs).collect()} == want
 
 
 def test_spanning_forest():
