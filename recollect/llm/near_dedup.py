@@ -28,6 +28,8 @@ ROUNDS = 4
 BROADCAST_ROWS = 500_000
 #: Spanning forests taken from a bucket's candidates; buckets of up to SMALL sketches are compared at once, without a tree.
 FORESTS, SMALL = 3, 32
+#: Shingle hashes of a block of texts that are compared with each other or with another block's.
+BLOCK = 250_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -126,10 +128,9 @@ def spanning_forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
-def forest_edges(nodes: np.ndarray, keys: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray, forests: int) -> pa.RecordBatch:
-    """(a, b, left), nodes joined by the edges of successive minimum spanning forests, so that an edge that fails the
-    exact check leaves others. A group of n near copies gives at most forests * (n - 1) edges, not all its pairs. Keys
-    of buckets that have further edges follow as ``left``, with a and b null."""
+def forest_edges(nodes: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray, forests: int) -> pa.RecordBatch:
+    """(a, b), nodes joined by the edges of successive minimum spanning forests, so that an edge that fails the
+    exact check leaves others. A group of n near copies gives at most forests * (n - 1) edges, not all its pairs."""
     a, b = np.minimum(nodes[u], nodes[v]), np.maximum(nodes[u], nodes[v])
     order = np.lexsort((b, a, d))
     u, v, kept = u[order], v[order], []
@@ -138,10 +139,7 @@ def forest_edges(nodes: np.ndarray, keys: np.ndarray, u: np.ndarray, v: np.ndarr
         kept.append((nodes[u[at]], nodes[v[at]]))
         u, v = np.delete(u, at), np.delete(v, at)
     x, y = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-    left = np.unique(keys[u])
-    none = [pa.nulls(n, pa.int64()) for n in (len(x), len(left))]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in ((pa.array(np.minimum(x, y)), none[1]), (pa.array(np.maximum(x, y)), none[1]), (none[0], pa.array(left)))],
-                                      names=["a", "b", "left"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def bucket(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +156,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
 
 def candidate_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Distinct (a, b), nodes whose sketches are within the radius, from distinct rows (node, sketch, keys)."""
-    return search(keyed(nodes), radius, shard).where("left is null").select("a", "b")
+    return search(keyed(nodes), radius, shard)
 
 
 def search(rows: DataFrame, radius: int = RADIUS, shard: int = SHARD, forests: int = FORESTS) -> DataFrame:
@@ -174,7 +172,6 @@ def search(rows: DataFrame, radius: int = RADIUS, shard: int = SHARD, forests: i
         for part in slices(batches, 2048):
             node, label, bits = bucket(part.column(0).flatten())
             length = part.column(0).value_lengths().to_numpy()
-            keys = np.repeat(part.column(1).to_numpy(), length)
             start = np.cumsum(length) - length
             found = []
             place, small = np.repeat(start + length, length), np.repeat(length <= SMALL, length)
@@ -188,7 +185,7 @@ def search(rows: DataFrame, radius: int = RADIUS, shard: int = SHARD, forests: i
                     on = (i < j) & (label[i + lo] != label[j + lo])
                     found.append((i[on] + lo, j[on] + lo, d[on]))
             if found:
-                yield forest_edges(node, keys, *(np.concatenate([f[k] for f in found]) for k in range(3)), forests)
+                yield forest_edges(node, *(np.concatenate([f[k] for f in found]) for k in range(3)), forests)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -196,14 +193,14 @@ def search(rows: DataFrame, radius: int = RADIUS, shard: int = SHARD, forests: i
             found = [(i[on], j[on], d[on]) for i, j, d in walk(p, q, radius) for on in [s[i] != t[j]]]
             if found:
                 i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield forest_edges(np.concatenate((x, y)), np.full(len(x) + len(y), part.column(2)[0].as_py()), i, j + len(x), d, forests)
+                yield forest_edges(np.concatenate((x, y)), i, j + len(x), d, forests)
 
     many = parts.where("shards > 1")
     asked = many.select("key", F.col("shard").alias("other"), F.col("rows").alias("queries"))
     crossed = many.join(asked, "key").where("shard < other").select("key", "shard", "other", "rows", "queries").repartition("key", "shard", "other")
-    schema = "a long, b long, left long"
-    links = stored(parts.select("rows", "key").mapInArrow(within, schema).unionByName(
-        crossed.select("rows", "queries", "key").mapInArrow(between, schema)).distinct(), "links")
+    schema = "a long, b long"
+    links = stored(parts.select("rows").mapInArrow(within, schema).unionByName(
+        crossed.select("rows", "queries").mapInArrow(between, schema)).distinct(), "links")
     discard(rows.sparkSession, path)
     return links
 
@@ -230,21 +227,116 @@ def small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def texts_of(links: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of the links' ends, stored: one text of ``texts`` (text) for each, found by its hash in ``nodes``."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+def ends_of(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+
+
+def texts_of(ends: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of ``ends`` (node), stored: one text of ``texts`` (text) for each, found by its hash in ``nodes``."""
     wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "text_hash"), "wanted")
     hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
     return stored(hashed.join(small(wanted), "text_hash").groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
 
 
+def block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(nodes, labels, components, sketches, sets of hashes) of rows (node, label, component, sketch, hashes)."""
+    sets = [np.frombuffer(h, np.uint64) for h in rows.field("hashes").to_pylist()]
+    nodes, labels, bits = bucket(rows)
+    return nodes, labels, rows.field("component").to_numpy(), bits, sets
+
+
+def confirmed_pairs(labels: np.ndarray, components: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], first: int, similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Indices of linked pairs. Every pair of one component within the radius is checked exactly or joined already by
+    labels and links found before: all pairs, or those of the ``first`` rows with the others if ``first`` is not 0."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    label, marked, u, v = np.unique(labels, return_inverse=True)[1], np.zeros(len(words), bool), [], []
+    order = np.argsort(components[first:], kind="stable") + first
+    lo, hi = (np.searchsorted(components[order], components, side) for side in ("left", "right"))
+    for i in range(first or n):
+        others = order[lo[i] : hi[i]]
+        others = others[(others > i) & (label[others] != label[i])]
+        others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])]
+        others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= radius]
+        marked[ids[i]] = True
+        for at in range(0, len(others), 64):
+            some = others[at : at + 64]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            both = np.add.reduceat(marked[np.concatenate([ids[j] for j in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            for j in some[both >= similarity * (size[i] + size[some] - both)].tolist():
+                if label[j] != label[i]:
+                    u.append(i)
+                    v.append(j)
+                    label[label == label[j]] = label[i]
+        marked[ids[i]] = False
+    return u, v
+
+
+def missed_links(members: DataFrame, texts: DataFrame, width: int, similarity: float, radius: int = RADIUS, size: int | None = None) -> DataFrame:
+    """Confirmed links (a, b) between labels of one component, from distinct rows (node, component, label, sketch) and
+    texts (node, text); it is stored.
+
+    Of each component, labels with more than ``size`` (BLOCK) hashes have blocks of their own, whose texts needn't be compared
+    with each other; all other labels share blocks. Each block is compared in itself and with its component's others.
+    """
+
+    size = size or BLOCK
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingle_hashes(t, width) for t in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["node", "component", "label", "sketch", "n", "hashes"])
+
+    rows = stored(members.join(texts, "node").select("node", "component", "label", "sketch", "text").mapInArrow(
+        hashed, "node long, component long, label long, sketch binary, n long, hashes binary"), "sets")
+    own = stored(rows.groupBy("component", "label").agg(F.sum("n").alias("n")).where(F.col("n") > size).select("component", "label", F.ceil(F.col("n") / size).alias("shards")), "own")
+    alone = rows.join(small(own), ["component", "label"]).withColumn("own", F.col("label"))
+    shared = rows.join(small(own), ["component", "label"], "left_anti")
+    sizes = stored(shared.groupBy("component").agg(F.ceil(F.sum("n") / size).alias("shards")), "sizes")
+    shared = shared.join(small(sizes), "component").withColumn("own", F.lit(None).cast("long"))
+    parts = alone.unionByName(shared).withColumn("shard", F.pmod(F.xxhash64("node"), "shards"))
+    path = store(parts.groupBy("component", "own", "shard").agg(F.collect_list(F.struct("node", "label", "component", "sketch", "hashes")).alias("rows")), "blocks")
+    blocks = rows.sparkSession.read.schema("component long, own long, shard long, rows " + parts.select(F.array(F.struct("node", "label", "component", "sketch", "hashes")).alias("r")).schema["r"].dataType.simpleString()).parquet(path)
+    blocks = blocks.withColumn("at", F.struct(F.col("own").isNotNull().alias("alone"), F.coalesce("own", F.lit(0)).alias("own"), "shard")).drop("shard")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 16):
+            nodes, *of = block(part.column(0).flatten())
+            if len(nodes):
+                u, v = confirmed_pairs(*of, 0, similarity, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[np.array(c, np.int64)]) for c in (u, v)], names=["a", "b"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            x, y = block(part.column(0).flatten()), block(part.column(1).flatten())
+            nodes, *of = (np.concatenate(c) for c in zip(x[:4], y[:4]))
+            u, v = confirmed_pairs(*of, x[4] + y[4], len(x[0]), similarity, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[np.array(c, np.int64)]) for c in (u, v)], names=["a", "b"])
+
+    listed = blocks.select("component", "own", "at")
+    pairs = listed.join(listed.select("component", F.col("own").alias("other_own"), F.col("at").alias("other")), "component").where("at < other and not coalesce(own = other_own, false)")
+    crossed = (pairs.select("component", "at", "other").join(blocks.select("component", "at", "rows"), ["component", "at"])
+               .join(blocks.select("component", F.col("at").alias("other"), F.col("rows").alias("queries")), ["component", "other"]).repartition("component", "at", "other"))
+    schema = "a long, b long"
+    links = stored(blocks.where("own is null").select("rows").mapInArrow(within, schema).unionByName(
+        crossed.select("rows", "queries").mapInArrow(between, schema)), "missed")
+    discard(rows.sparkSession, path)
+    return links
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, key_bits: int = KEY_BITS) -> DataFrame:
     """(doc_id, component_id): documents linked where the sets of their word shingles are similar by ``similarity``.
 
     Candidates share a key of SimHash bits and are within the radius by BK-trees of their bucket; each link is then
     checked exactly on whole texts. Keys are searched in rounds, and pairs that confirmed links already join are not
-    candidates of later rounds; a last round takes the buckets again of which edges were left. Equal fingerprints are one node, so copies are not compared. component_id is the
-    smallest doc_id reachable. Null, empty and blank texts are linked with each other. Repeated rows each give a row;
+    candidates of later rounds. A round checks a spanning forest of each bucket's candidates, so all candidates lie
+    within components of the links it checked; components that confirmed links don't join whole are compared in full
+    at the end, until each pair within the radius is checked or joined. Equal fingerprints are one node, so copies are
+    not compared. component_id is the smallest doc_id reachable. Null, empty and blank texts are linked with each other. Repeated rows each give a row;
     a null doc_id has its component's smallest known id (null if there is none). Other columns are ignored. ``docs``
     is read once a round, so it should be a table rather than a long computation.
     """
@@ -254,20 +346,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     nodes = stored(found.groupBy("node").agg(*(F.min(c).alias(n) for c, n in (("doc_id", "low"), ("sketch", "sketch"), ("keys", "keys"), ("text_hash", "text_hash")))), "nodes")
     with_words, texts = nodes.where("sketch is not null"), docs.select(docs[text_col].cast("string").alias("text"))
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    bands, left = FAMILIES * 64 // key_bits, []
-    for k in range(ROUNDS + 1):
-        first, end = (bands * k // ROUNDS, bands * (k + 1) // ROUNDS) if k < ROUNDS else (0, bands)
+    bands, checked = FAMILIES * 64 // key_bits, []
+    for k in range(ROUNDS):
+        first, end = bands * k // ROUNDS, bands * (k + 1) // ROUNDS
         rows = keyed(with_words.join(roots, "node", "left").select("node", "sketch", F.slice("keys", first + 1, end - first).alias("keys"), F.coalesce("root", "node").alias("label")))
-        if k == ROUNDS:
-            again = stored(reduce(DataFrame.unionByName, left).distinct(), "left")
-            rows = rows.join(small(again), "key", "left_semi")
-        edges = search(rows, forests=1)
-        left.append(edges.where("left is not null").select(F.col("left").alias("key")))
-        links = edges.where("left is null").select("a", "b")
+        links = search(rows, forests=1)
         if links.isEmpty():
             continue
-        confirmed = similar(links, texts_of(links, nodes, texts), width, similarity)
+        checked.append(links)
+        confirmed = similar(links, texts_of(ends_of(links), nodes, texts), width, similarity)
         roots = stored(connected_components(confirmed.unionByName(roots.toDF("a", "b"))), "roots")
+    if checked:
+        within = connected_components(reduce(DataFrame.unionByName, checked)).withColumnRenamed("root", "component")
+        within = stored(within.join(roots, "node", "left").select("node", "component", F.coalesce("root", "node").alias("label")), "components")
+        # of two nodes the one pair is checked
+        open_ = stored(within.groupBy("component").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low < high").select("component"), "open")
+        if not open_.isEmpty():
+            members = stored(within.join(small(open_), "component", "left_semi").join(nodes.select("node", "sketch"), "node"), "members")
+            missed = missed_links(members, texts_of(members.select("node"), nodes, texts), width, similarity)
+            roots = stored(connected_components(missed.unionByName(roots.toDF("a", "b"))), "roots")
     member = nodes.select("node", "low").join(roots, "node")
     reach = member.groupBy("root").agg(F.min("low").alias("reach"))
     linked = member.join(reach, "root").select("node", "reach")

@@ -185,6 +185,20 @@ def test_near_dedup_of_a_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()} == similar_classes(rows)
 
 
+def test_near_dedup_of_template_texts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for d in range(400):  # pairs lie around the threshold, so many light forest edges fail
+        words = list(base)
+        for at in rng.choice(200, rng.integers(2, 6), replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        rows.append((d, " ".join(words)))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), similar_classes(rows)
+    for size in (near_dedup.BLOCK, 5_000):  # one block, and many of which some have one label
+        monkeypatch.setattr(near_dedup, "BLOCK", size)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()} == want
+
+
 def test_near_dedup_without_broadcast(spark, monkeypatch):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     want = {(r["doc_id"], r["component_id"]) for r in near_dedup.classes(docs).collect()}
