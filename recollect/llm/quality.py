@@ -15,7 +15,7 @@ LOOKED_UP = 32
 FLOORS = (1.0, 0.75, 0.75, 0.15, 0.15)
 #: Chi-square quantiles with 5 degrees of freedom: the median, and the point passed with probability 1e-9.
 MEDIAN_5, CUTOFF_5 = 4.3515, 50.69
-#: Share of a group that the estimates rest on, concentration steps, and rows that a group needs for estimates.
+#: Share of a group that the estimates rest on, concentration steps, and rows that a group needs for its own estimates.
 SHARE, STEPS, LEAST = 0.75, 3, 25
 
 
@@ -94,37 +94,50 @@ def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> Dat
     Minimum covariance determinant per group: from medians and median deviations, concentration steps take mean and
     covariance of the SHARE of rows nearest so far. All are mergeable aggregates (sums, approximate quantiles) of one
     row a group, joined back; no group is brought together. The last covariance is scaled so that the median distance
-    is that of a chi-square with 5 degrees of freedom. Rows that fail the base rules take no part and get no verdict,
-    nor do groups with fewer than LEAST rows. A null language or source is a group.
+    is that of a chi-square with 5 degrees of freedom. Rows that fail the base rules take no part and get no verdict.
+    A null language or source is a group. A group with fewer than LEAST rows has the estimates of all rows of its
+    language, and where these are fewer too, of all rows. Only such wider pools as are needed are made.
     """
     a, b = by
     x = X
     d = range(len(x))
     used = with_features(stats).where(~base_failed()).select(F.col(a).alias("ga"), F.col(b).alias("gb"), *x)
+    key = ["level", "ga", "gb"]
 
     def quantile(c: Column, p: float) -> Column:
         return F.percentile_approx(c, p, 10_000)
 
     def with_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
-        g = groups.withColumnsRenamed({"ga": "ka", "gb": "kb"})
-        return df.join(g, df["ga"].eqNullSafe(g["ka"]) & df["gb"].eqNullSafe(g["kb"])).drop("ka", "kb")
-
-    medians = stored(used.groupBy("ga", "gb").agg(F.count("*").alias("n"), *[quantile(F.col(c), 0.5).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= LEAST), "medians")
-    spread = with_groups(used, medians).groupBy("ga", "gb").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(x)])
+        g = groups.withColumnsRenamed({"level": "kl", "ga": "ka", "gb": "kb"})
+        return df.join(g, (df["level"] == g["kl"]) & df["ga"].eqNullSafe(g["ka"]) & df["gb"].eqNullSafe(g["kb"])).drop("kl", "ka", "kb")
+
+    sizes = stored(used.groupBy("ga", "gb").agg(F.count("*").alias("n")), "sizes")
+    languages = sizes.groupBy(F.col("ga").alias("la")).agg(F.sum("n").alias("of_language"))
+    levels = stored(sizes.join(languages, sizes["ga"].eqNullSafe(languages["la"])).select(
+        F.col("ga").alias("own_a"), F.col("gb").alias("own_b"), F.when(F.col("n") >= LEAST, 0).when(F.col("of_language") >= LEAST, 1).otherwise(2).alias("level"))
+        .select("own_a", "own_b", "level", F.when(F.col("level") < 2, F.col("own_a")).alias("ga"), F.when(F.col("level") < 1, F.col("own_b")).alias("gb")), "levels")
+    # a row takes part in its group's pool, its language's and that of all rows, as far as some group is judged by them
+    pools = levels.select("own_a", "own_b", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col("own_a") if k < 2 else F.lit(None)).cast(stats.schema[a].dataType).alias("ga"), (
+        F.col("own_b") if k < 1 else F.lit(None)).cast(stats.schema[b].dataType).alias("gb")) for k in range(3)])).alias("pool")).select("own_a", "own_b", "pool.*")
+    pools = stored(with_groups(pools, levels.select(*key).distinct()), "pools")
+    used = used.withColumnsRenamed({"ga": "ra", "gb": "rb"})
+    used = used.join(pools, used["ra"].eqNullSafe(pools["own_a"]) & used["rb"].eqNullSafe(pools["own_b"])).select(*key, *x)
+    medians = stored(used.groupBy(*key).agg(*[quantile(F.col(c), 0.5).alias(f"m{i}") for i, c in enumerate(x)]), "medians")
+    spread = with_groups(used, medians).groupBy(*key).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(x)])
     lower = {(i, j): F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
-    params = stored(spread.select("ga", "gb", *[f"m{i}" for i in d], *[F.col(f"m{i}").alias(f"c{i}") for i in d], *[v.alias(f"l{i}{j}") for (i, j), v in lower.items()]), "start")
+    params = stored(spread.select(*key, *[f"m{i}" for i in d], *[F.col(f"m{i}").alias(f"c{i}") for i in d], *[v.alias(f"l{i}{j}") for (i, j), v in lower.items()]), "start")
     centre = [F.col(f"c{i}") for i in d]
     lower = {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}
     xs = [F.col(c) for c in x]
     for _ in range(STEPS):
         near = with_groups(used, params).withColumn("distance", squared_distance(xs, centre, lower))
-        limit = near.groupBy("ga", "gb").agg(quantile(F.col("distance"), SHARE).alias("limit"))
+        limit = near.groupBy(*key).agg(quantile(F.col("distance"), SHARE).alias("limit"))
         g = with_groups(near, limit).where("distance <= limit")
         z = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(x)]
-        sums = g.groupBy("ga", "gb").agg(F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in d],
+        sums = g.groupBy(*key).agg(F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in d],
                                          *[F.avg(z[i]).alias(f"a{i}") for i in d], *[F.avg(z[i] * z[j]).alias(f"q{i}{j}") for i in d for j in range(i + 1)])
         cov = {(i, j): F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in d for j in range(i + 1)}
-        params = sums.select("ga", "gb", *[f"m{i}" for i in d], *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"c{i}") for i in d], *[v.alias(f"v{i}{j}") for (i, j), v in cov.items()])
+        params = sums.select(*key, *[f"m{i}" for i in d], *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"c{i}") for i in d], *[v.alias(f"v{i}{j}") for (i, j), v in cov.items()])
         for i in d:  # Cholesky, a row at a time
             for j in range(i + 1):
                 rest = F.col(f"v{i}{j}")
@@ -133,8 +146,9 @@ def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> Dat
                 params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
         params = stored(params.drop(*[f"v{i}{j}" for i in d for j in range(i + 1)]), "estimates")
     near = with_groups(used, params).withColumn("distance", squared_distance(xs, centre, lower))
-    scale = near.groupBy("ga", "gb").agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
-    return stored(with_groups(params, scale), "scaled")
+    scale = near.groupBy(*key).agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
+    judged = with_groups(levels, with_groups(params, scale))
+    return stored(judged.drop(*key).withColumnsRenamed({"own_a": "ga", "own_b": "gb"}), "scaled")
 
 
 def outliers(stats: DataFrame, params: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -150,7 +164,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, lang, source, the statistics, base_failed, distance, outlier and kept for each row of ``docs``.
 
     kept is false where the base rules fail (fewer than 50 words, or over half of the words in repeated three-word
-    windows) and where the vector is an outlier of its language and source. Repeated rows each get their verdict.
+    windows) and where the vector is an outlier of its language and source, or of a wider pool where these have few rows. Repeated rows each get their verdict.
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), "lang", "source")
     stats = stored(text_statistics(slim), "statistics")

@@ -445,6 +445,18 @@ def test_quality_outliers(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(5))
 
 
+def test_quality_outliers_of_small_groups(spark):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rst", "lling", "m")]
+    places = [("en", "big")] * 200 + [("en", "small")] * 10 + [("xx", "big")] * 10 + [(None, None)] * 5
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(60, 900)))), *p) for i, p in enumerate(places)]
+    rows += [(1000 + i, " ".join(f"{w} ## $$" for w in rng.permutation(words)), *p) for i, p in enumerate([("en", "small"), ("xx", "big"), ("xx", "other"), (None, None), (None, "big")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert len(judged) == len(rows) and all(r["distance"] is not None for r in judged.values())
+    assert {d for d, r in judged.items() if r["kept"]} == {r["doc_id"] for r in quality.keep(docs).collect()} == set(range(len(places)))
+
+
 def test_warc(spark):
     page = "<html>" + "é" * 600
     tricky = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "y" * 1200
