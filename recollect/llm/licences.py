@@ -172,12 +172,12 @@ class Scanner:
                 if fit and overlap < length:
                     fit[1], fit[2], fit[3] = at + length, place + length, fit[3] + length - overlap
                 else:
-                    open_chains.append([at, at + length, place + length, length])
+                    fit = [at, at + length, place + length, length]
+                    open_chains.append(fit)
+                best = max(best, min(1.0, fit[3] / self.sizes[template]))  # before expired chains are dropped
                 open_chains = [c for c in open_chains if c[1] + self.gap >= at] + [c for c in open_chains if c[1] + self.gap < at and c[3] >= self.share * self.sizes[template]]
             for first, end, _, covered in open_chains:
-                part = min(1.0, covered / self.sizes[template])
-                best = max(best, part)
-                if part >= self.share:
+                if min(1.0, covered / self.sizes[template]) >= self.share:
                     spans.append((self.labels[template], first, end - first))
         return sorted(spans, key=lambda s: s[1:]), best
 

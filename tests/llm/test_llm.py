@@ -361,6 +361,15 @@ def test_licence_spans(spark):
     assert r["spans"][0]["first_word"] == 2
 
 
+def test_licence_score_of_a_part_before_a_short_match(spark):
+    words = licences.licence_words(licences.TEMPLATES[0][1])
+    part = b" ".join(words[: len(words) // 2]).decode()
+    text = f"{part} {'other ' * 20}{b' '.join(words[:6]).decode()}"
+    docs = spark.createDataFrame([(1, part), (2, text)], "doc_id long, text string")
+    alone, followed = (r["score"] for r in licences.scan(docs).orderBy("doc_id").collect())
+    assert alone == followed == (len(words) // 2) / len(words)
+
+
 def test_automaton_has_all_substrings():
     rng = np.random.default_rng(5)
     sequences = [rng.integers(0, 3, n).tolist() for n in (12, 9, 15, 1)]
