@@ -19,7 +19,6 @@ END = b""
 #: Most frequent words whose counts every task holds, those of them that are clustered, their classes, and the classes
 #: by ending of all other words. They bound what is broadcast and the bigram table; counts cover all words.
 HEAD, CLUSTERED, CLASSES, ENDINGS = 100_000, 1024, 64, 32
-SWEEPS = 4
 #: Counts held by a task before they are passed on.
 HELD = 400_000
 
@@ -113,7 +112,9 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
     member[np.arange(size), of] = 1
     after, before = bigrams @ member, bigrams.T @ member  # of a word, by the class of its neighbour
     table = member.T @ after
-    for _ in range(SWEEPS):
+    least = max(1e-9, 1e-12 * float(x_log_x(table.sum())))  # above rounding errors, so no word goes to and fro
+    moved = 1
+    while moved:
         moved = 0
         for w in range(clustered):
             own, loop = of[w], bigrams[w, w]
@@ -123,7 +124,7 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
             table[own] -= right
             table[:, own] -= left
             table[own, own] -= loop
-            total = table.sum(axis=1)
+            total = table.sum(axis=1) + left  # tokens of each class but the word's: those before it count wherever it goes
             n = right.sum() + loop
             c = np.arange(classes)
             rows, columns = table[:classes], table[:, :classes].T
@@ -132,7 +133,7 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
             gain += x_log_x(corner + right[:classes] + left[:classes] + loop) - x_log_x(corner + right[:classes]) - x_log_x(corner + left[:classes]) + x_log_x(corner)
             gain -= 2 * (x_log_x(total[:classes] + n) - x_log_x(total[:classes]))
             best = int(gain.argmax())
-            if gain[best] <= gain[own] + 1e-9:
+            if gain[best] <= gain[own] + least:
                 best = own
             table[best] += right
             table[:, best] += left
@@ -144,8 +145,6 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
                 after[:, best] += bigrams[:, w]
                 before[:, own] -= bigrams[w]
                 before[:, best] += bigrams[w]
-        if not moved:
-            break
     return of, table
 
 

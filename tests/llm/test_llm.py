@@ -264,6 +264,24 @@ def test_exchange_raises_likelihood_and_keeps_counts():
     assert likelihood(table) > likelihood(start)
 
 
+def test_exchange_ends_where_no_move_helps(monkeypatch):
+    monkeypatch.setattr(class_lm, "CLASSES", 8)
+    chain, bigrams = np.random.default_rng(1).integers(0, 121, 4000), np.zeros((121, 121))
+    np.add.at(bigrams, (chain, np.roll(chain, -1)), 1)  # every word follows as often as it is followed
+
+    def likelihood(of):
+        table = np.zeros((9, 9))
+        np.add.at(table, (of[:, None], of[None, :]), bigrams)
+        return class_lm.x_log_x(table).sum() - class_lm.x_log_x(table.sum(axis=0)).sum() - class_lm.x_log_x(table.sum(axis=1)).sum()
+
+    of, _ = class_lm.exchange(bigrams, 120)
+    reached = likelihood(of)
+    for w, c in itertools.product(range(120), range(8)):
+        moved = of.copy()
+        moved[w] = c
+        assert likelihood(moved) <= reached + 1e-6
+
+
 def test_held_out_perplexity(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     s = class_lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
