@@ -1,4 +1,4 @@
-"""Removal of word windows that an earlier document has, found by level-wise doubling."""
+"""Removal of word windows that an earlier document has, found by shared anchors, then spans, then single windows."""
 
 from __future__ import annotations
 
