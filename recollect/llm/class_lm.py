@@ -1,97 +1,131 @@
-"""Scoring by a class-based bigram model whose word classes come from exchange clustering."""
+"""Scoring by a class-based bigram model whose word classes come from exchange clustering of all training words."""
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words_of, slices, stored
+from .common import discard, lower_words_of, slices, store, stored
 
-#: The end token; no word is empty.
-END = b""
-#: Most frequent words whose counts every task holds, those of them that are clustered, their classes, and the classes
-#: by ending of all other words. They bound what is broadcast and the bigram table; counts cover all words.
-HEAD, CLUSTERED, CLASSES, ENDINGS = 100_000, 1024, 64, 32
-#: Counts held by a task before they are passed on.
-HELD = 400_000
+#: The end token's number; words are known by their 64-bit hashes, and none is empty.
+END = -1
+#: Most frequent words that are clustered first, all against all; and those whose classes every task holds (17 bytes
+#: each). Both are bounds of what is collected and broadcast; counts, contexts and classes cover all words.
+CORE, HEAD = 1024, 1_000_000
+#: Classes of words. Their numbers are followed by that of the end and that of words not seen in training.
+CLASSES = 64
+#: Numbers held by a task before they are added up and passed on.
+HELD = 2_000_000
+#: Sweeps over the words outside the core end when so small a share of them moves, or when they gain no likelihood.
+FEW = 0.005
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def ending(word: bytes) -> int:
-    """The class by ending of a word that isn't clustered."""
-    return zlib.crc32(word[-2:]) % ENDINGS
+class Hashes(dict):
+    """64-bit hashes of words as longs, kept while they are few."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        value -= (value >> 63) << 64
+        self[word] = value = value if value != END else END - 1
+        return value
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, n) of all tokens of the texts."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
+def encoded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, doc_id, held_out, words): the hashes of a text's lower-cased words, 8 bytes each."""
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, uid = Hashes(), TaskContext.get().partitionId() << 33
         for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                counts.update(lower_words_of(text))
-                counts[END] += 1
-            if len(counts) > HELD:
-                yield batch()
-        yield batch()
+            words = [lower_words_of(t) for t in part.column(2).to_pylist()]
+            raw = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(raw))), part.column(0), part.column(1), pa.array(raw, pa.binary())], names=["uid", "doc_id", "held_out", "words"])
+            uid += len(raw)
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].alias("text"))
+    return rows.mapInArrow(mapped, "uid long, doc_id long, held_out boolean, words binary")
+
 
-    return texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def tokens(column: pa.Array) -> np.ndarray:
+    """The words of all texts of a column one after another, with the end token before the first and after each."""
+    end = np.array([END], np.int64).tobytes()
+    return np.frombuffer(end + end.join(column.to_pylist()) + end, np.int64)
 
 
-class Symbols:
-    """Head words by number, and the symbols of the bigram table: clustered words, then endings, then the end."""
+def added_up(batches: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct pairs (first, second) and how often they come, from pairs added up as far as HELD of them fit."""
 
-    def __init__(self, head: list[bytes]):
-        self.number = {w: i for i, w in enumerate(head)}
-        self.clustered = min(CLUSTERED, len(head))
-        self.end = self.clustered + ENDINGS
-        self.count = self.end + 1
-        self.of_head = np.array([i if i < self.clustered else self.clustered + ending(w) for i, w in enumerate(head)], np.int64)
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        return a[at], b[at], np.diff(np.append(at, len(a)))
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(head number or -1, symbol) of each word."""
-        get = self.number.get
-        head = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        symbols = self.of_head[head] if len(self.of_head) else np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(head < 0).tolist():
-            symbols[i] = self.clustered + ending(words[i])
-        return head, symbols
+    held, n = [], 0
+    for pairs in batches:
+        held.append(pairs)
+        n += len(pairs[0])
+        if n >= HELD:
+            yield summed(held)
+            held, n = [], 0
+    if held:
+        yield summed(held)
 
 
-def count_bigrams(texts: DataFrame, shared) -> DataFrame:
-    """(pair, n): symbol x symbols + next symbol, with the end before and after each text."""
+def count_words(training: DataFrame) -> DataFrame:
+    """(word, n) of all tokens of encoded texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = shared.value
-        counts = np.zeros(symbols.count**2, np.int64)
-        for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                _, s = symbols(lower_words_of(text))
-                s = np.concatenate(([symbols.end], s, [symbols.end]))
-                pairs, n = np.unique(s[:-1] * symbols.count + s[1:], return_counts=True)
-                counts[pairs] += n
-        pairs = np.flatnonzero(counts)
-        for at in range(0, len(pairs), 100_000):
-            own = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["pair", "n"])
+        for word, _, n in added_up((w, np.zeros(len(w), np.int8)) for part in slices(batches) for w in [tokens(part.column(0))[1:]]):
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    return training.select("words").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+class Lookup:
+    """Numbers of some words; -1 of all others."""
+
+    def __init__(self, words: np.ndarray, values: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.values = words[order], values[order]
+
+    def at(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words in ``values``; -1 where a word isn't there."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        at = self.at(words)
+        return np.where(at >= 0, self.values[at], -1) if len(self.values) else at
+
+
+def count_bigrams(training: DataFrame, core) -> DataFrame:
+    """(a, b, n): symbol and next symbol, as the lookup has them; -1 stands for all other words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in slices(batches):
+                s = core.value(tokens(part.column(0))).astype(np.int32)
+                yield s[:-1], s[1:]
+
+        for a, b, n in added_up(pairs()):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+
+    return training.select("words").mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
@@ -102,7 +136,7 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
     """(class of each symbol, class bigram counts).
 
     Words move, one at a time, to the class that raises the likelihood of class bigrams most, in sweeps over all
-    clustered words until none moves; endings and the end keep a class each.
+    clustered words until none moves; symbols after them keep a class each.
     """
     size = len(bigrams)
     classes = min(CLASSES, max(1, clustered))
@@ -148,76 +182,251 @@ def exchange(bigrams: np.ndarray, clustered: int) -> tuple[np.ndarray, np.ndarra
     return of, table
 
 
+def core_classes(training: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, classes, table) of the core by exchange; table[d, c]: tokens of class c after context d. Contexts are
+    the classes, the end, and all words outside the core."""
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(CORE).select("word").toArrow().column("word").to_numpy()
+    k = len(top)
+    lookup = training.sparkSession.sparkContext.broadcast(Lookup(np.append(top, END), np.arange(k + 1)))
+    found = count_bigrams(training, lookup).toArrow()
+    a, b, n = (found.column(c).to_numpy() for c in ("a", "b", "n"))
+    bigrams = np.zeros((k + 2, k + 2))
+    np.add.at(bigrams, (np.where(a < 0, k + 1, a), np.where(b < 0, k + 1, b)), n)
+    of, exchanged = exchange(bigrams, k)
+    classes = len(exchanged) - 2
+    table = np.zeros((CLASSES + 2, CLASSES))
+    table[:classes, :classes], table[CLASSES:, :classes] = exchanged[:classes, :classes], exchanged[classes:, :classes]
+    return top, of[:k], table
+
+
+def contexts(training: DataFrame, core) -> DataFrame:
+    """(word, n, before): for each word outside the core how often it comes, and (context, n) of the words before it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in slices(batches):
+                words = tokens(part.column(0))
+                kind = core.value(words).astype(np.int16)
+                at = np.flatnonzero(kind[1:] < 0)
+                yield words[1:][at], np.where(kind[at] < 0, CLASSES + 1, kind[at])
+
+        for word, context, n in added_up(pairs()):
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context, pa.int16()), pa.array(n)], names=["word", "context", "n"])
+
+    # one shuffle: the sums by word and context, and those by word, keep the partitioning by word
+    rows = training.select("words").mapInArrow(counted, "word long, context short, n long").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("before"))
+
+
+def choices(context: np.ndarray, n: np.ndarray, starts: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of most likelihood for each word, given the counts of its contexts; own class -1: none so far.
+
+    The likelihood is that of a word's class after its context, sum of N(d, c) log N(d, c) less that of N(c) log N(c)."""
+    total, lengths = np.zeros(len(own)), np.diff(np.append(starts, len(n)))
+    word = np.repeat(np.arange(len(own)), lengths)
+    np.add.at(total, word, n)
+    x = table[context]
+    mine = own[word]
+    at = np.flatnonzero(mine >= 0)
+    x[at, mine[at]] -= n[at]
+    gain = np.add.reduceat(x_log_x(x + n[:, None]) - x_log_x(x), starts, axis=0)
+    sizes = np.repeat(table.sum(axis=0)[None], len(own), axis=0)
+    at = np.flatnonzero(own >= 0)
+    sizes[at, own[at]] -= total[at]
+    gain -= x_log_x(sizes + total[:, None]) - x_log_x(sizes)
+    best = gain.argmax(axis=1)
+    return np.where((own >= 0) & (gain[np.arange(len(own)), best] <= gain[np.arange(len(own)), own] + 1e-9), own, best)
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(x_log_x(table).sum() - x_log_x(table.sum(axis=0)).sum())
+
+
+def clustered(training: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, n, class) of all training words but the end; it is stored.
+
+    The core is clustered on the driver from its bigrams. All other words are then exchanged on Spark, where each goes
+    to its best class by the counts of the classes before it: sweeps take the class table of the sweep before, until
+    few words move or the likelihood no longer rises; the best assignment holds.
+    """
+    spark = training.sparkSession
+    top, of, core_table = core_classes(training, counts)
+    core = spark.sparkContext.broadcast(Lookup(np.append(top, END), np.append(of, CLASSES)))
+    fields = "word long, n long, before array<struct<context:short,n:long>>, class short, moved boolean"
+    path = store(contexts(training, core).withColumn("class", F.lit(-1).cast("short")).withColumn("moved", F.lit(True)), "contexts")
+    rest, table, reached = spark.read.schema(fields).parquet(path), core_table, -np.inf
+
+    def swept(rows: DataFrame, shared) -> DataFrame:
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 512):
+                flat = part.column(2).flatten()
+                starts = np.concatenate(([0], np.cumsum(part.column(2).value_lengths().to_numpy())[:-1]))
+                own = part.column(3).to_numpy().astype(np.int64)
+                new = choices(flat.field("context").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), starts, own, shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(new, pa.int16()), pa.array(new != own)], names=["word", "n", "before", "class", "moved"])
+
+        return rows.mapInArrow(mapped, fields)
+
+    while True:
+        new_path = store(swept(rest, spark.sparkContext.broadcast(table)), "classes")
+        new = spark.read.schema(fields).parquet(new_path)
+        pairs = new.select("class", F.explode("before").alias("b")).groupBy("b.context", "class").agg(F.sum("b.n").alias("n")).toArrow()
+        after = core_table.copy()
+        np.add.at(after, (pairs.column("context").to_numpy().astype(int), pairs.column("class").to_numpy().astype(int)), pairs.column("n").to_numpy())
+        if likelihood(after) <= reached:
+            discard(spark, new_path)
+            break
+        discard(spark, path)
+        path, rest, table, reached = new_path, new, after, likelihood(after)
+        moved, every = new.agg(F.count_if("moved"), F.count("*")).first()
+        if moved <= FEW * every:
+            break
+    own = spark.createDataFrame(pa.table({"word": pa.array(top, pa.int64()), "class": pa.array(of, pa.int16())})) if len(top) else spark.createDataFrame([], "word long, class short")
+    classes = stored(rest.select("word", "n", "class").unionByName(F.broadcast(own).join(counts, "word").select("word", "n", "class")), "word-classes")
+    discard(spark, path)
+    return classes
+
+
+def frequent(classes: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, up to ``most``: those above a count, found from a histogram of the counts' logarithms."""
+    step = F.floor(8 * F.log2("n"))
+    low, taken = 10**9, 0
+    for r in sorted(classes.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        taken += r["words"]
+        if taken > most:
+            break
+        low = r["step"]
+    return classes.where(step >= low)
+
+
+BIGRAM = "a long, ca int, b long, cb int, times long"
+
+
+def sides(words: np.ndarray, kind: np.ndarray, *more: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bigrams of which a side has no class here, each with its sides' words (0 where the class is known), classes and
+    ``more``, a value for each bigram; and how often each comes."""
+    at = np.flatnonzero((kind[:-1] < 0) | (kind[1:] < 0))
+    a, b = np.where(kind[at] < 0, words[at], 0), np.where(kind[at + 1] < 0, words[at + 1], 0)
+    if not len(at):
+        return [np.zeros(0, np.int64)] * (4 + len(more)), np.zeros(0, np.int64)
+    found, times = np.unique(np.stack((a, kind[at], b, kind[at + 1], *(m[at] for m in more))), axis=1, return_counts=True)
+    return list(found), times
+
+
+def sides_arrays(found: list[np.ndarray], times: np.ndarray) -> list[pa.Array]:
+    a, ca, b, cb = found[:4]
+    return [pa.array(a, mask=ca >= 0), pa.array(ca, pa.int32(), mask=ca < 0), pa.array(b, mask=cb >= 0), pa.array(cb, pa.int32(), mask=cb < 0), pa.array(times)]
+
+
+def class_bigrams(training: DataFrame, classes: DataFrame, shared) -> np.ndarray:
+    """Counts of class and next class over all tokens."""
+    kinds = CLASSES + 2
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, table = shared.value[0], np.zeros(kinds * kinds, np.int64)
+        for part in slices(batches):
+            words = tokens(part.column(0))
+            kind = lookup(words).astype(np.int64)
+            whole = (kind[:-1] >= 0) & (kind[1:] >= 0)
+            table += np.bincount(kind[:-1][whole] * kinds + kind[1:][whole], minlength=kinds * kinds)
+            yield pa.RecordBatch.from_arrays(sides_arrays(*sides(words, kind)), names=["a", "ca", "b", "cb", "times"])
+        at = np.flatnonzero(table)
+        nothing = np.full(len(at), -1)
+        yield pa.RecordBatch.from_arrays(sides_arrays([nothing, at // kinds, nothing, at % kinds], table[at]), names=["a", "ca", "b", "cb", "times"])
+
+    parts = stored(training.select("words").mapInArrow(mapped, BIGRAM), "training-bigrams")
+    counted = resolved(parts, classes, []).groupBy("ca", "cb").agg(F.sum("times").alias("n")).collect()
+    table = np.zeros((kinds, kinds))
+    for r in counted:
+        table[r["ca"], r["cb"]] = r["n"]
+    return table
+
+
+def resolved(parts: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ca, cb, times, n, outside): bigrams with the classes of all sides, by joins on the words that are outside
+    the head; n is the count of the second word if it is outside. Words unseen in training have the last class and no
+    count."""
+    rows = parts.groupBy(*by, "a", "ca", "b", "cb").agg(F.sum("times").alias("times"))
+    unseen = F.lit(CLASSES + 1)
+    first = classes.select(F.col("word").alias("a"), F.col("class").cast("int").alias("class"))
+    rows = rows.where("a is null").unionByName(rows.where("a is not null").join(first, "a", "left").withColumn("ca", F.coalesce("class", unseen)).drop("class"))
+    second = classes.select(F.col("word").alias("b"), F.col("class").cast("int").alias("class"), "n")
+    out = rows.where("b is null").withColumn("n", F.lit(None).cast("long")).withColumn("outside", F.lit(False)).unionByName(
+        rows.where("b is not null").join(second, "b", "left").withColumn("cb", F.coalesce("class", unseen)).drop("class").withColumn("outside", F.lit(True)))
+    return out.select(*by, "ca", "cb", "times", "n", "outside")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row.
 
-    The model learns from the documents that aren't held out: token counts, then bigrams of symbols, then classes.
-    log10 P(text) adds log10 P(class | class before), add-one smoothed, and log10 P(word | class): relative frequency
-    in the classes of clustered words, add-one smoothed over a class's words and one unknown word in those by ending.
-    Words outside the head are scored by a join with all counts on the word, after adding up each text's words.
-    base_score is the add-one unigram model. Null texts are empty: an end alone. A null doc_id counts as the text "".
-    Repeated rows each get their score and count as often in training. Other columns are ignored.
+    The model learns from the documents that aren't held out: counts of all words, classes of all words by exchange
+    (``clustered``), and class bigrams of all tokens. log10 P(text) adds log10 P(class | class before), add-one
+    smoothed, and log10 P(word | class), relative frequency. The end has a class of its own, and so have the words that
+    training lacks, which are one word there. Classes and counts of the HEAD most frequent words are broadcast; bigrams
+    with other words get theirs by joins on the word. base_score is the add-one unigram model. Words are known by
+    64-bit hashes. Null texts are empty: an end alone. A null doc_id counts as the text "". Very long texts are scored
+    whole. Repeated rows each get their score and count as often in training; an empty table gives no rows. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
-    training = rows.where("not held_out").select("text")
+    rows = stored(encoded(docs, id_col, text_col), "words")
+    training = rows.where("not held_out")
     counts = stored(count_words(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    ends = (counts.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0]) or 0
-    symbols = Symbols([bytes(r["word"]) for r in top])
-    head_counts = np.array([r["n"] for r in top], np.float64)
-    shared = spark.sparkContext.broadcast(symbols)
-    table = np.zeros(symbols.count**2)
-    found = count_bigrams(training, shared).toArrow()
-    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    of, classes = exchange(table.reshape(symbols.count, -1), symbols.clustered)
-    # words of each ending's class: all but the clustered ones
-    tail_class = F.crc32(F.substring("word", -2, 2)) % ENDINGS
-    by_ending = np.zeros(ENDINGS)
-    for r in counts.where(F.octet_length("word") > 0).groupBy(tail_class.alias("c")).agg(F.count("*").alias("v")).collect():
-        by_ending[r["c"]] = r["v"]
-    for r in top[: symbols.clustered]:
-        by_ending[ending(bytes(r["word"]))] -= 1
-    tokens_of = classes.sum(axis=0)
-    transition = np.log10((classes + 1) / (classes.sum(axis=1, keepdims=True) + len(classes)))
-    # a word's emission is log10(its count + plus) - within[symbol]
-    within = np.zeros(symbols.count)
-    within[: symbols.clustered] = np.log10(np.maximum(tokens_of[of[: symbols.clustered]], 1))
-    within[symbols.clustered : symbols.end] = np.log10(tokens_of[of[symbols.clustered : symbols.end]] + by_ending + 1)
-    emitted = np.log10(head_counts + (np.arange(len(top)) >= symbols.clustered))
-    model = spark.sparkContext.broadcast((of, transition, within, emitted, np.log10(head_counts + 1)))
-    base_all, base_end = float(np.log10(total + distinct + 1)), float(np.log10(ends + 1))
-    knows_end = int(ends > 0)
+    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = clustered(training, counts)
+    head = frequent(classes, HEAD).select("word", "class", "n").toArrow()
+    words, of, n = (np.append(head.column(c).to_numpy(), v) for c, v in (("word", END), ("class", CLASSES), ("n", ends)))
+    lookup, n = Lookup(words, of.astype(np.int16)), n[np.argsort(words)].astype(float)
+    sizes = np.zeros(CLASSES + 2)
+    for r in classes.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
+    sizes[CLASSES] = ends
+    within = np.log10(np.maximum(sizes, 1))
+    emitted, plain = np.log10(np.maximum(n, 1)) - within[lookup.values], np.log10(n + 1)
+    table = class_bigrams(training, classes, spark.sparkContext.broadcast((lookup,)))
+    transition = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + len(table)))
+    shared = spark.sparkContext.broadcast((lookup, emitted, plain, transition))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, (of, transition, within, emitted, plain) = shared.value, model.value
-        uid = TaskContext.get().partitionId() << 33
-        for part in slices(batches, 64):
-            out: list[list] = [[] for _ in range(9)]
-            for doc_id, text, is_out in zip(*(part.column(i).to_pylist() for i in range(3))):
-                words = lower_words_of(text)
-                head, s = symbols(words)
-                chain = of[np.concatenate(([symbols.end], s, [symbols.end]))]
-                inside = head[head >= 0]
-                value = float(transition[chain[:-1], chain[1:]].sum() + emitted[inside].sum() - within[s].sum())
-                base = float(plain[inside].sum()) + base_end - base_all * (len(words) + 1)
-                rest = Counter([words[i] for i in np.flatnonzero(head < 0).tolist()])
-                row = (uid, doc_id, is_out, len(words) + 1, len(inside) + knows_end, base, value, None, None)
-                for c, v in zip(out, row):
-                    c.append(v)
-                n = len(rest)
-                for c, v in zip(out, ([uid] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, rest.keys(), rest.values())):
-                    c.extend(v)
-                uid += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "value", "word", "times"])
-
-    parts = stored(rows.mapInArrow(local, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, word binary, times long"), "scores")
-    rare = parts.where("word is not null").select("uid", "word", "times").join(counts, "word")
-    rare = rare.groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    gain, more = F.coalesce("gain", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    out = parts.where("word is null").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("value") + gain).alias("score"))
+        lookup, emitted, plain, transition = shared.value
+        names = ["uid", "doc_id", "held_out", "n_tokens", "known", "steps", "base", "a", "ca", "b", "cb", "times"]
+        for part in slices(batches):
+            words = tokens(part.column(3))
+            lengths = part.column(3).cast(pa.large_binary()).to_pylist()
+            lengths = np.array([len(x) // 8 + 1 for x in lengths])
+            doc, d = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+            at = lookup.at(words)
+            kind = np.where(at >= 0, lookup.values[at].astype(np.int64), -1)
+            known, whole = at[1:] >= 0, (kind[:-1] >= 0) & (kind[1:] >= 0)
+
+            def by_doc(where: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+                return np.bincount(doc[where], values, d)  # noqa: B023
+
+            steps = by_doc(whole, transition[kind[:-1][whole], kind[1:][whole]]) + by_doc(known, emitted[at[1:][known]])
+            none = [pa.nulls(d, pa.int64()), pa.nulls(d, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lengths), pa.array(by_doc(known).astype(np.int64)), pa.array(steps), pa.array(by_doc(known, plain[at[1:][known]])), *none, *none, none[0]], names=names)
+            found, times = sides(words, kind, doc)
+            m = len(times)
+            if m:
+                empty = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[4])), *empty, *sides_arrays(found, times)], names=names)
+
+    schema = f"uid long, doc_id long, held_out boolean, n_tokens long, known long, steps double, base double, {BIGRAM}"
+    scored = stored(rows.mapInArrow(local, schema), "scores")
+    step = spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(transition) for j, x in enumerate(row)], "ca int, cb int, step double")
+    emission = spark.createDataFrame(list(enumerate(within.tolist())), "cb int, within double")
+    more = resolved(scored.where("times is not null"), classes, ["uid"]).join(F.broadcast(step), ["ca", "cb"]).join(F.broadcast(emission), "cb")
+    times, seen = F.col("times"), F.col("outside") & F.col("n").isNotNull()
+    more = more.groupBy("uid").agg(
+        F.sum(times * F.col("step")).alias("more_steps"), F.coalesce(F.sum(F.when(seen, times)), F.lit(0)).alias("more_known"),
+        F.coalesce(F.sum(F.when(seen, times * (F.log10("n") - F.col("within")))), F.lit(0.0)).alias("more_emitted"), F.coalesce(F.sum(F.when(seen, times * F.log10(F.col("n") + 1.0))), F.lit(0.0)).alias("more_base"))
+
+    def more_of(name: str) -> Column:
+        return F.coalesce(name, F.lit(0))
+
+    out = scored.where("times is null").join(more, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") - (0 if ends else 1) + more_of("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + more_of("more_base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
+        (F.col("steps") + more_of("more_steps") + more_of("more_emitted")).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -12,11 +12,14 @@ BLANKS = r"[\x20\x09-\x0D]+"
 LOOKED_UP = 32
 #: Standard deviations that a feature has at least, so that one that hardly varies rejects nothing on its own:
 #: of log words, mean word length, log symbols per thousand characters, root shares of repeated lines and words.
-FLOORS = (1.0, 0.75, 0.75, 0.15, 0.15)
-#: Chi-square quantiles with 5 degrees of freedom: the median, and the point passed with probability 1e-9.
-MEDIAN_5, CUTOFF_5 = 4.3515, 50.69
-#: Share of a group that the estimates rest on, concentration steps, and rows that a group needs for its own estimates.
-SHARE, STEPS, LEAST = 0.75, 3, 25
+FLOORS = (0.5, 0.3, 0.5, 0.15, 0.15)
+#: Chi-square quantiles with 5 degrees of freedom: the median, and the point passed with probability 1e-6.
+MEDIAN_5, CUTOFF_5 = 4.3515, 35.89
+#: Share of a group that the estimates rest on, and rows that a group needs for its own estimates.
+SHARE, LEAST = 0.75, 25
+#: Starts from small parts of a group by hash, rows of a group (about) on which starts take STEPS first, starts that go on
+#: over all rows, and the fall of the determinant's logarithm under which their steps end.
+SUBSETS, NESTED, STEPS, GO_ON, SETTLED = 28, 1500, 4, 3, 1e-4
 
 
 def let(value: Column, body) -> Column:
@@ -88,75 +91,139 @@ def with_features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({c: F.when(~base_failed(), f) for c, f in zip(X, features())})
 
 
+def cholesky(params: DataFrame, rest: list[str]) -> DataFrame:
+    """``rest``, the centre c, the lower factor l of the covariance v, and the determinant's logarithm."""
+    d = range(len(X))
+    for i in d:  # a row at a time
+        for j in range(i + 1):
+            left = F.col(f"v{i}{j}")
+            for k in range(j):
+                left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-9))) if i == j else left / F.col(f"l{j}{j}"))
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in d[1:]), 2 * F.log("l00"))
+    return params.select(*rest, *[f"c{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], logdet.alias("logdet"))
+
+
+def moments(grouped, values: list[Column], *more: Column) -> DataFrame:
+    """Means a and second moments q of the values, and the floors of the features."""
+    d = range(len(values))
+    return grouped.agg(*[F.first(f"f{i}").alias(f"f{i}") for i in d], *[F.avg(v).alias(f"a{i}") for i, v in enumerate(values)],
+                       *[F.avg(values[i] * values[j]).alias(f"q{i}{j}") for i in d for j in range(i + 1)], *more)
+
+
+def floored(i: int, j: int, value: Column) -> Column:
+    return F.greatest(value, F.col(f"f{i}") * F.col(f"f{i}")) if i == j else value
+
+
+def concentrated(rows: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:
+    """One concentration step: mean and covariance of the SHARE of each group's rows nearest by the params."""
+    d = range(len(X))
+    near = rows.join(params, "pool").withColumn("distance", squared_distance([F.col(f"z{i}") for i in d], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}))
+    near = near.select(*key, *[f"{x}{i}" for x in "zf" for i in d], "distance")
+    limit = near.groupBy(*key).agg(quantile(F.col("distance"), SHARE).alias("limit"))
+    sums = moments(near.join(limit, key).where("distance <= limit").groupBy(*key), [F.col(f"z{i}") for i in d])
+    return cholesky(sums.select(*key, *[F.col(f"a{i}").alias(f"c{i}") for i in d], *[
+        floored(i, j, F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"v{i}{j}") for i in d for j in range(i + 1)]), key)
+
+
+def plain_start(pools: DataFrame) -> DataFrame:
+    """Medians and median deviations, which any pool has."""
+    d = range(len(X))
+    return cholesky(pools.select("pool", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"c{i}") for i in d], *[F.lit(float(i == j)).alias(f"v{i}{j}") for i in d for j in range(i + 1)]), ["pool", "start"])
+
+
+def first_estimates(rows: DataFrame) -> DataFrame:
+    """Starts of a pool, in units of median deviations: none of the features correlated, correlations of their
+    hyperbolic tangents, the spatial sign covariance, mean and covariance of the half nearest to the medians, and those
+    of SUBSETS parts of about seven rows, chosen by hash."""
+    d, keys = range(len(X)), ["pool", "start"]
+    z = [F.col(f"z{i}") for i in d]
+    norm = rows.withColumn("norm", sum((c * c for c in z[1:]), z[0] * z[0]))
+    half = norm.groupBy("pool").agg(quantile(F.col("norm"), 0.5).alias("half"), F.count("*").alias("n"))
+    norm = norm.join(half, "pool")
+    length = F.greatest(F.sqrt("norm"), F.lit(1e-9))
+    drawn = [[F.tanh(c) for c in z], [c / length for c in z], [F.when(F.col("norm") <= F.col("half"), c) for c in z]]
+    drawn += [[F.when(F.pmod(F.xxhash64(F.lit(k), *z), F.ceil(F.col("n") / 7)) == 0, c) for c in z] for k in range(SUBSETS)]
+    one = norm.select("pool", *[f"f{i}" for i in d], F.explode(F.array(*[F.struct(F.lit(k + 1).alias("start"), *[v.alias(f"y{i}") for i, v in enumerate(y)]) for k, y in enumerate(drawn)])).alias("y")).select("pool", *[f"f{i}" for i in d], "y.*")
+    m = moments(one.where("y0 is not null").groupBy(*keys), [F.col(f"y{i}") for i in d])
+    spread = [F.sqrt(F.greatest(F.col(f"q{i}{i}") - F.col(f"a{i}") * F.col(f"a{i}"), F.lit(1e-9))) for i in d]
+
+    def value(i: int, j: int) -> Column:
+        cov = F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
+        by_tanh = F.lit(1.0) if i == j else 0.98 * cov / (spread[i] * spread[j])
+        return F.when(F.col("start") == 1, by_tanh).otherwise(floored(i, j, F.when(F.col("start") == 2, len(X) * F.col(f"q{i}{j}")).otherwise(cov)))
+
+    made = m.select(*keys, *[F.when(F.col("start") >= 3, F.col(f"a{i}")).otherwise(0.0).alias(f"c{i}") for i in d], *[value(i, j).alias(f"v{i}{j}") for i in d for j in range(i + 1)])
+    return plain_start(half).unionByName(cholesky(made, keys))
+
+
+def quantile(c: Column, p: float) -> Column:
+    return F.percentile_approx(c, p, 10_000)
+
+
 def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """One row a group: centre, Cholesky factor of the covariance, and scale of squared distances.
-
-    Minimum covariance determinant per group: from medians and median deviations, concentration steps take mean and
-    covariance of the SHARE of rows nearest so far. All are mergeable aggregates (sums, approximate quantiles) of one
-    row a group, joined back; no group is brought together. The last covariance is scaled so that the median distance
-    is that of a chi-square with 5 degrees of freedom. Rows that fail the base rules take no part and get no verdict.
-    A null language or source is a group. A group with fewer than LEAST rows has the estimates of all rows of its
-    language, and where these are fewer too, of all rows. Only such wider pools as are needed are made.
+    """One row a group: medians and median deviations, in whose units the centre, the Cholesky factor of the covariance
+    and the determinant's logarithm are, and the scale of squared distances.
+
+    Minimum covariance determinant per group. From each of several starts, concentration steps take mean and covariance
+    of the SHARE of rows nearest so far. First they run on about NESTED rows a group; the GO_ON starts with the least
+    determinants, and the medians, then go on over all rows until no determinant falls any more, and the least one holds. Variances are
+    FLOORS squared at least. All are mergeable aggregates (sums, approximate quantiles), joined back as a row a group;
+    no group is brought together. Distances are scaled so that the median is that of a chi-square with 5 degrees of
+    freedom at most. Rows that fail the base rules take no part. A null language or source is a group. A group with
+    fewer than LEAST rows has the estimates of all rows of its language, and where these are fewer too, of all rows.
+    Only such wider pools as are needed are made.
     """
     a, b = by
-    x = X
-    d = range(len(x))
-    used = with_features(stats).where(~base_failed()).select(F.col(a).alias("ga"), F.col(b).alias("gb"), *x)
-    key = ["level", "ga", "gb"]
-
-    def quantile(c: Column, p: float) -> Column:
-        return F.percentile_approx(c, p, 10_000)
+    d = range(len(X))
+    used = with_features(stats).where(~base_failed()).select(F.col(a).alias("ra"), F.col(b).alias("rb"), *X)
+    sizes = stored(used.groupBy(F.col("ra").alias("ga"), F.col("rb").alias("gb")).agg(F.count("*").alias("n")), "sizes")
+    languages = sizes.groupBy(F.col("ga").alias("la")).agg(F.sum("n").alias("of_language"))
+    level = F.when(F.col("n") >= LEAST, 0).when(F.col("of_language") >= LEAST, 1).otherwise(2)
 
-    def with_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
-        g = groups.withColumnsRenamed({"level": "kl", "ga": "ka", "gb": "kb"})
-        return df.join(g, (df["level"] == g["kl"]) & df["ga"].eqNullSafe(g["ka"]) & df["gb"].eqNullSafe(g["kb"])).drop("kl", "ka", "kb")
+    def pool(k: Column | int) -> Column:  # its name: the level, and the language and source as far as they count there
+        k = k if isinstance(k, Column) else F.lit(k)
+        return F.to_json(F.struct(k.alias("k"), F.when(k < 2, F.col("ga")).alias("a"), F.when(k < 1, F.col("gb")).alias("b")))
 
-    sizes = stored(used.groupBy("ga", "gb").agg(F.count("*").alias("n")), "sizes")
-    languages = sizes.groupBy(F.col("ga").alias("la")).agg(F.sum("n").alias("of_language"))
-    levels = stored(sizes.join(languages, sizes["ga"].eqNullSafe(languages["la"])).select(
-        F.col("ga").alias("own_a"), F.col("gb").alias("own_b"), F.when(F.col("n") >= LEAST, 0).when(F.col("of_language") >= LEAST, 1).otherwise(2).alias("level"))
-        .select("own_a", "own_b", "level", F.when(F.col("level") < 2, F.col("own_a")).alias("ga"), F.when(F.col("level") < 1, F.col("own_b")).alias("gb")), "levels")
+    levels = sizes.join(languages, sizes["ga"].eqNullSafe(languages["la"])).withColumn("level", level)
+    levels = stored(levels.select("ga", "gb", pool(F.col("level")).alias("pool")), "levels")
     # a row takes part in its group's pool, its language's and that of all rows, as far as some group is judged by them
-    pools = levels.select("own_a", "own_b", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col("own_a") if k < 2 else F.lit(None)).cast(stats.schema[a].dataType).alias("ga"), (
-        F.col("own_b") if k < 1 else F.lit(None)).cast(stats.schema[b].dataType).alias("gb")) for k in range(3)])).alias("pool")).select("own_a", "own_b", "pool.*")
-    pools = stored(with_groups(pools, levels.select(*key).distinct()), "pools")
-    used = used.withColumnsRenamed({"ga": "ra", "gb": "rb"})
-    used = used.join(pools, used["ra"].eqNullSafe(pools["own_a"]) & used["rb"].eqNullSafe(pools["own_b"])).select(*key, *x)
-    medians = stored(used.groupBy(*key).agg(*[quantile(F.col(c), 0.5).alias(f"m{i}") for i, c in enumerate(x)]), "medians")
-    spread = with_groups(used, medians).groupBy(*key).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(x)])
-    lower = {(i, j): F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
-    params = stored(spread.select(*key, *[f"m{i}" for i in d], *[F.col(f"m{i}").alias(f"c{i}") for i in d], *[v.alias(f"l{i}{j}") for (i, j), v in lower.items()]), "start")
-    centre = [F.col(f"c{i}") for i in d]
-    lower = {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}
-    xs = [F.col(c) for c in x]
+    pools = levels.select("ga", "gb", F.explode(F.array(*[pool(k) for k in range(3)])).alias("pool"))
+    pools = stored(pools.join(levels.select("pool").distinct(), "pool", "left_semi"), "pools")
+    used = used.join(pools, used["ra"].eqNullSafe(pools["ga"]) & used["rb"].eqNullSafe(pools["gb"])).select("pool", *X)
+    medians = stored(used.groupBy("pool").agg(F.count("*").alias("n"), *[quantile(F.col(c), 0.5).alias(f"m{i}") for i, c in enumerate(X)]), "medians")
+    apart = used.join(medians, "pool").groupBy("pool").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in d], *[quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(X)])
+    units = stored(apart.select("pool", "n", *[f"m{i}" for i in d], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"d{i}") for i in d]), "units")
+    rows = used.join(units, "pool").select("pool", "n", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, c in enumerate(X)], *[(FLOORS[i] / F.col(f"d{i}")).alias(f"f{i}") for i in d])
+    rows = stored(rows, "units-rows")
+    part = stored(rows.where(F.pmod(F.xxhash64(F.lit("nested"), *[f"z{i}" for i in d]), F.ceil(F.col("n") / NESTED)) == 0).drop("n"), "nested")
+    rows, key = rows.drop("n"), ["pool", "start"]
+    params = stored(first_estimates(part), "starts")
     for _ in range(STEPS):
-        near = with_groups(used, params).withColumn("distance", squared_distance(xs, centre, lower))
-        limit = near.groupBy(*key).agg(quantile(F.col("distance"), SHARE).alias("limit"))
-        g = with_groups(near, limit).where("distance <= limit")
-        z = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(x)]
-        sums = g.groupBy(*key).agg(F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in d],
-                                         *[F.avg(z[i]).alias(f"a{i}") for i in d], *[F.avg(z[i] * z[j]).alias(f"q{i}{j}") for i in d for j in range(i + 1)])
-        cov = {(i, j): F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in d for j in range(i + 1)}
-        params = sums.select(*key, *[f"m{i}" for i in d], *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"c{i}") for i in d], *[v.alias(f"v{i}{j}") for (i, j), v in cov.items()])
-        for i in d:  # Cholesky, a row at a time
-            for j in range(i + 1):
-                rest = F.col(f"v{i}{j}")
-                for k in range(j):
-                    rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-                params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-        params = stored(params.drop(*[f"v{i}{j}" for i in d for j in range(i + 1)]), "estimates")
-    near = with_groups(used, params).withColumn("distance", squared_distance(xs, centre, lower))
-    scale = near.groupBy(*key).agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
-    judged = with_groups(levels, with_groups(params, scale))
-    return stored(judged.drop(*key).withColumnsRenamed({"own_a": "ga", "own_b": "gb"}), "scaled")
+        params = stored(concentrated(part, params, key), "steps")
+    order = F.row_number().over(Window.partitionBy("pool").orderBy("logdet", "start"))
+    params = params.withColumn("order", order).where(F.col("order") <= GO_ON).drop("order").unionByName(plain_start(units).withColumn("start", F.lit(-1)))
+    params = stored(params.withColumn("logdet", F.lit(float("inf"))), "best")
+    names, falls = [c for c in params.columns if c not in key], True
+    while falls:
+        both = params.join(concentrated(rows, params, key).select(*key, F.struct(*names).alias("after")), key)
+        better = F.col("after.logdet") < F.col("logdet")
+        params = stored(both.select(*key, *[F.when(better, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in names], (F.col("logdet") - F.col("after.logdet") > SETTLED).alias("falls")), "best")
+        falls = not params.where("falls").isEmpty()
+        params = params.drop("falls")
+    params = params.groupBy("pool").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("best")).select("pool", "best.*")
+    near = rows.join(params, "pool").withColumn("distance", squared_distance([F.col(f"z{i}") for i in d], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}))
+    scale = near.groupBy("pool").agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
+    return stored(levels.join(units.drop("n").join(params, "pool").join(scale, "pool"), "pool").drop("pool"), "scaled")
 
 
 def outliers(stats: DataFrame, params: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """``stats`` with ``distance`` (squared, robust; null without estimates) and ``outlier``."""
     d = range(len(X))
     rows, p = with_features(stats), params.withColumnsRenamed({"ga": "ka", "gb": "kb"})
+    z = [(F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}") for i, c in enumerate(X)]
     out = rows.join(p, rows[by[0]].eqNullSafe(p["ka"]) & rows[by[1]].eqNullSafe(p["kb"]), "left").withColumn("distance", squared_distance(
-        [F.col(c) for c in X], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}) / F.col("scale"))
+        z, [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}) / F.col("scale"))
     return out.select(*stats.columns, "distance", F.coalesce(F.col("distance") > CUTOFF_5, F.lit(False)).alias("outlier"))
 
 
@@ -164,7 +231,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, lang, source, the statistics, base_failed, distance, outlier and kept for each row of ``docs``.
 
     kept is false where the base rules fail (fewer than 50 words, or over half of the words in repeated three-word
-    windows) and where the vector is an outlier of its language and source, or of a wider pool where these have few rows. Repeated rows each get their verdict.
+    windows) and where the vector is an outlier of its language and source, or of a wider pool where these have few
+    rows. A null text counts as empty and so fails; a null language or source is a group, a null id is passed on;
+    repeated rows each get their verdict; very long texts are counted whole; an empty table gives no rows. Other columns
+    are ignored.
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), "lang", "source")
     stats = stored(text_statistics(slim), "statistics")
@@ -172,11 +242,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, unchanged. Statistics are taken once for the estimates and once in
-    the pass that filters, so texts aren't shuffled: the estimates are a row for each language and source."""
-    slim = docs.select(docs[text_col].alias("text"), "lang", "source")
-    params = estimates(stored(text_statistics(slim), "statistics"))
+    """The rows of ``docs`` that ``judge`` keeps, unchanged, whatever their columns are called. Rows and statistics are
+    stored together, so that texts are counted once and never shuffled: the estimates are a row for each language and
+    source. Nulls, repeated rows, long texts and empty tables are as in ``judge``."""
     whole = docs.select(docs[text_col].alias("text"), "lang", "source", F.struct(*docs.columns).alias("row"))
-    judged = outliers(text_statistics(whole), params)
-    # a filter would be pushed below the statistics and repeat them for each use; a generator isn't
-    return judged.select(F.explode(F.when(~base_failed() & ~F.col("outlier"), F.array("row"))).alias("row")).select("row.*")
+    stats = stored(text_statistics(whole), "statistics")
+    judged = outliers(stats, estimates(stats.drop("row")))
+    return judged.where(~base_failed() & ~F.col("outlier")).select("row.*")

@@ -38,7 +38,9 @@ def op4_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix's plan, with the output shards that drew the document."""
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
 def op6_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,6 +244,79 @@ def test_class_lm(documents):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("head", [30, 10**6])
+def test_class_lm_score_by_hand(spark, documents, monkeypatch, head):
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    monkeypatch.setattr(class_lm, "CORE", 12)
+    rows = common.stored(class_lm.encoded(documents, "doc_id", "text"), "words")
+    training = rows.where("not held_out")
+    counts = common.stored(class_lm.count_words(training), "counts")
+    found = {r["word"]: (r["class"], r["n"]) for r in class_lm.clustered(training, counts).collect()}
+    texts = [(r["doc_id"], r["held_out"], np.frombuffer(r["words"], np.int64).tolist()) for r in rows.collect()]
+    seen = Counter(w for _, out, words in texts if not out for w in words)
+    assert {w: n for w, (_, n) in found.items()} == seen and all(0 <= c < class_lm.CLASSES for c, _ in found.values())
+    unseen, sizes, steps = class_lm.CLASSES + 1, Counter(), Counter()
+
+    def chain(words):
+        return [class_lm.CLASSES, *(found[w][0] if w in found else unseen for w in words), class_lm.CLASSES]
+
+    for _, out, words in texts:
+        if not out:
+            sizes.update(chain(words)[1:])
+            steps.update(itertools.pairwise(chain(words)))
+    after, want = Counter(), Counter()
+    for (a, _), n in steps.items():
+        after[a] += n
+    for d, _, words in texts:
+        value = sum(math.log10((steps[p] + 1) / (after[p[0]] + class_lm.CLASSES + 2)) for p in itertools.pairwise(chain(words)))
+        want[d, round(value + sum(math.log10(found[w][1] / sizes[found[w][0]]) for w in words if w in found), 5)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in class_lm.score(documents).collect()) == want
+
+
+def test_choices_are_the_best_moves():
+    rng = np.random.default_rng(3)
+    words, contexts = 40, class_lm.CLASSES + 2
+    counts = rng.poisson(0.2, (words, contexts)) + (rng.integers(0, contexts, words)[:, None] == np.arange(contexts))
+    own = rng.integers(-1, 5, words)
+    table = rng.poisson(2.0, (contexts, class_lm.CLASSES)).astype(float)
+    for w in np.flatnonzero(own >= 0):
+        table[:, own[w]] += counts[w]
+    at = [np.flatnonzero(c) for c in counts]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in at])[:-1]))
+    got = class_lm.choices(np.concatenate(at), np.concatenate([c[x] for c, x in zip(counts, at)]).astype(float), starts, own, table)
+    for w in range(words):
+        def moved(c, w=w):
+            t = table.copy()
+            if own[w] >= 0:
+                t[:, own[w]] -= counts[w]
+            t[:, c] += counts[w]
+            return class_lm.likelihood(t)
+
+        assert moved(got[w]) >= max(map(moved, range(class_lm.CLASSES))) - 1e-6
+
+
+def test_sweeps_raise_the_likelihood(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    training = common.stored(class_lm.encoded(docs, "doc_id", "text"), "words")
+    counts = common.stored(class_lm.count_words(training), "counts")
+    of = {r["word"]: r["class"] for r in class_lm.clustered(training, counts).collect()}
+    top = [r["word"] for r in counts.where(F.col("word") != class_lm.END).orderBy(F.desc("n"), "word").limit(class_lm.CORE).collect()]
+    core, rest = set(top), Counter()
+
+    def reached(of):
+        table = np.zeros((class_lm.CLASSES + 2, class_lm.CLASSES))
+        for (context, w), n in rest.items():
+            table[context, of[w]] += n
+        return class_lm.likelihood(table)
+
+    for r in training.collect():
+        words = [class_lm.END, *np.frombuffer(r["words"], np.int64).tolist()]
+        for a, b in itertools.pairwise(words):
+            if b not in core:
+                rest[class_lm.CLASSES if a == class_lm.END else of[a] if a in core else class_lm.CLASSES + 1, b] += 1
+    assert reached(of) > reached({w: w % class_lm.CLASSES for w in of})
+
+
 def test_exchange_raises_likelihood_and_keeps_counts():
     rng = np.random.default_rng(0)
     kind = rng.integers(0, 4, 80)
@@ -345,9 +418,36 @@ def test_mixing(documents):
     assert sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mixing_shards_follow_the_leaves(spark, documents, monkeypatch):
+    how = {"shard_words": 3000, "block_words": 300}
+    rows = mixing.mix_plan(documents, **how).collect()
+    shards = defaultdict(Counter)
+    for r in rows:
+        for d in r["draws"]:
+            shards[d["shard"]][r["source"]] += d["taken"]
+    total = sum(r["taken"] for r in rows)
+    assert 8 <= len(shards) <= 2 ** (math.ceil(total / 3000) - 1).bit_length()
+    assert total == sum(sum(c.values()) for c in shards.values())
+    short = Counter()  # without the long text
+    for r in rows:
+        short.update({d["shard"]: d["taken"] for d in r["draws"] if r["size"] < 5000})
+    assert max(short.values()) < 3000
+    plain = Counter((r["doc_id"], r["taken"]) for r in rows)
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, depth: quotas.select(F.lit(0).cast("long").alias("shard"), F.transform("quotas", lambda q: q * 0).alias("starts"), "quotas"))
+    one = mixing.mix_plan(documents, **how).collect()
+    assert Counter((r["doc_id"], r["taken"]) for r in one) == plain and {d["shard"] for r in one for d in r["draws"]} == {0}
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, depth: quotas.select(F.lit(0).cast("long").alias("shard"), F.transform("quotas", lambda q: q * 0).alias("starts"), F.transform("quotas", lambda q: F.floor(q / 2)).alias("quotas")))
+    assert sum(r["taken"] for r in mixing.mix_plan(documents, **how).collect()) < 0.8 * total  # what leaves don't ask for isn't drawn
+
+
 def test_splitting_tree_adds_up(spark):
     quotas = [1000, 0, 37, 1, 250_000]
     leaves = mixing.split_quotas(spark.createDataFrame([(quotas,)], "quotas array<bigint>"), 3).collect()
+    for k in range(5):  # each leaf starts where the one before ends
+        at = 0
+        for r in sorted(leaves, key=lambda r: r["shard"]):
+            assert r["starts"][k] == at
+            at += r["quotas"][k]
     assert len(leaves) == 8 and [sum(c) for c in zip(*(r["quotas"] for r in leaves))] == quotas
     totals = [sum(r["quotas"]) for r in leaves]
     assert max(totals) - min(totals) <= 3
@@ -445,6 +545,34 @@ def test_neighbours(spark):
     assert [i for i, _ in got[100]] == list(range(101, 121))
 
 
+def test_neighbours_at_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.permutation(401).astype(float)
+    rows = [(i, [1.0, float(v)]) for i, v in enumerate(x)] + [(1000, [2.0, 0.0])]  # all have 2 as their product with the last
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id = 1000")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 2.0) for i in range(20)]
+
+
+def test_neighbours_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    rng = np.random.default_rng(10)
+    centres = 8 * rng.standard_normal((12, 24))
+    x = centres[rng.integers(0, 12, 3000)] + rng.standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits = defaultdict(set), 0
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 60 and hits >= 0.95 * 20 * 60
+
+
 def test_quality_statistics(documents):
     want = Counter()
     for d, t in plain(documents):
@@ -463,6 +591,33 @@ def test_quality_statistics(documents):
     assert quality.keep(documents).count() == sum(r["kept"] for r in rows)
 
 
+def test_quality_least_determinant(spark):
+    rng, rows = np.random.default_rng(8), []
+    for source, n in (("a", 40), ("b", 61), ("c", 29)):
+        for i in range(n):
+            odd = i % 5 == 0  # a fifth lies together, elsewhere
+            words = int(np.exp(rng.normal(6 + odd, 0.6 - 0.4 * odd)))
+            rows.append(("en", source, words + 60, int((words + 60) * rng.normal(5 + 2 * odd + 0.3 * np.log(words), 0.4)), int(odd * words * 0.2 + rng.integers(0, 3)), int(rng.integers(0, 9)), 40, int(rng.integers(0, 20))))
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+    x = quality.with_features(stats).toPandas()
+    for r in quality.estimates(stats).collect():
+        z = np.array([(x[x["source"] == r["gb"]][c] - r[f"m{i}"]) / r[f"d{i}"] for i, c in enumerate(quality.X)]).T
+        floor, h, least = np.array([quality.FLOORS[i] / r[f"d{i}"] for i in range(5)]) ** 2, math.ceil(quality.SHARE * len(z)), np.inf
+        for _ in range(300):  # concentration from random subsets
+            held, last = rng.permutation(len(z))[:7], np.inf
+            while True:
+                cov = np.cov(z[held].T, bias=True)
+                cov[np.arange(5), np.arange(5)] = np.maximum(np.diag(cov), floor)
+                cov += 1e-9 * np.eye(5)
+                now = np.linalg.slogdet(cov)[1] if len(held) == h else np.inf
+                if len(held) == h and now > last - 1e-9:
+                    break
+                last, off = now, z - z[held].mean(0)
+                held = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off))[:h]
+            least = min(least, last)
+        assert r["logdet"] <= least + 0.2, (r["gb"], r["logdet"], least)
+
+
 def test_quality_outliers(spark):
     rng = np.random.default_rng(6)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rst", "lling", "m")]
