@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,11 +14,10 @@ SLICE = 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="recollect-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base
 
 
@@ -64,26 +62,32 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node reachable.
 
-    Alternates large-star and small-star until the edge set no longer changes. Minima are partial aggregates and
-    the joins are inner ones on a node, which Spark can split where a node has very many edges. Each round is a
-    written checkpoint.
+    Alternates large-star and small-star until the edge set no longer changes. Minima are partial aggregates and are
+    stored, so that both sides of the joins on a node are plain scans, and Spark can split a node with very many edges.
+    Each round is a written checkpoint, and the one before is deleted.
     """
+    spark = edges.sparkSession
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = store(df, name)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    e, path = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest, low_path = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large, large_path = kept(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lowest, own_path = kept(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        e = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        after = state(e)
+        e, new_path = kept(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        for old in (path, low_path, large_path, own_path):
+            discard(spark, old)
+        path, after = new_path, state(e)
         if after == before:
             break
         before = after

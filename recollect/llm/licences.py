@@ -18,7 +18,7 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 o
 #: Phrases that give a label wherever their words stand together.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Licence texts or notices by label.
+#: Licence texts or notices by label: fixed values, public texts.
 TEMPLATES = (
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
      documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -44,6 +44,41 @@ TEMPLATES = (
      distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
      granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("mit", """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+     WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+     COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+     ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+     INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+     IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+     CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+     PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+     TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+     POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+     WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+     CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+     NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+     Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+     version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+     warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+     Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+     version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+     warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+     use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+     commercial or non-commercial, and by any means."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+     for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+     including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The
+     origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+     software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source
+     versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be
+     removed or altered from any source distribution."""),
+    ("cc-by", """This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license,
+     visit http://creativecommons.org/licenses/by/4.0/"""),
 )
 
 
@@ -128,8 +163,7 @@ class Scanner:
         if len(inside):
             breaks = np.flatnonzero(np.diff(inside) > 1) + 1
             for run in np.split(inside, breaks):
-                if len(run) > 1:
-                    self.walk(ids[run].tolist(), int(run[0]), places, phrases, matches)
+                self.walk(ids[run].tolist(), int(run[0]), places, phrases, matches)
         spans, best = self.chain(matches)
         base = {self.phrase_labels[p] for p in phrases}
         labels = base | {s[0] for s in spans}
@@ -188,10 +222,11 @@ FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, shortest: int = 6, gap: int = 8, share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for each whole text.
 
-    Texts stream through the automaton of all templates and phrases (a few hundred words, so it is sent to every
+    Texts stream through the automaton of all templates and phrases (some thousand words, so it is sent to every
     task). n_base counts the places of phrases, first_word and last_word are their least and greatest starts. Matches
     of ``shortest`` words or more are chained into spans; a template of which a chain covers ``share`` adds its label.
-    score is the largest share of a template that a chain covers. Null and empty texts have no words and labels "".
+    score is the largest share of a template that a chain covers. Null and empty texts have no words and labels "". Very long
+    texts are scanned whole; an empty table gives no rows.
     Each row is scanned for itself, so repeated rows, null ids and other columns don't matter.
     """
 

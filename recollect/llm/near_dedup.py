@@ -20,7 +20,8 @@ FAMILIES, SKETCH = 16, 4
 #: standard deviation of 6 (for texts of a few shingles: 48).
 RADIUS = 64
 #: Bits of a bucket's key: the bits of all families, cut into 64 keys. At similarity 0.8 a pair shares each key with
-#: a chance of 0.07, and one of the 64 with 0.99. Tables of many more than 10^8 documents want more bits and families.
+#: a chance of 0.07, and one of the 64 with 0.99. ``key_bits`` of 20 or 24 with as many more FAMILIES suit tables of many
+#: more than 10^8 distinct texts, as buckets grow with their number.
 KEY_BITS = 16
 #: The keys are searched in so many rounds; links that a round confirms spare the later ones all pairs they imply.
 ROUNDS = 4
@@ -162,6 +163,7 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
 def search(rows: DataFrame, radius: int = RADIUS, shard: int = SHARD, forests: int = FORESTS) -> DataFrame:
     """Distinct ``forest_edges`` of the buckets of ``keyed`` rows, between nodes whose labels differ; it is stored."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "n")
+    sizes = stored(sizes, "bucket-sizes")  # so that both sides of the join are scans, and Spark can split a hot key
     parts = (rows.join(sizes, "key").withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
              .withColumn("shard", F.pmod(F.xxhash64("node"), "shards"))
              .groupBy("key", "shards", "shard").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("rows")))

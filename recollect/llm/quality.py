@@ -69,18 +69,10 @@ def features() -> list[Column]:
             F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def squared_distance(x: list[Column], centre: list[Column], lower: dict[tuple[int, int], Column]) -> Column:
-    """|y|^2 with L y = x - centre, for the lower Cholesky factor L of a covariance."""
-    y: list[Column] = []
-    for i in range(len(x)):
-        rest = x[i] - centre[i]
-        for j in range(i):
-            rest = rest - lower[i, j] * y[j]
-        y.append(rest / lower[i, i])
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
+def squared_distance(x: list[str]) -> Column:
+    """|M (x - c)|^2 for the centre c and the inverse M of the covariance's lower Cholesky factor, columns of the row."""
+    rows = [" + ".join(f"m{i}{j} * ({x[j]} - c{j})" for j in range(i + 1)) for i in range(len(x))]
+    return F.expr(" + ".join(f"power({r}, 2)" for r in rows))
 
 
 X = [f"x{i}" for i in range(len(FLOORS))]
@@ -92,44 +84,47 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def cholesky(params: DataFrame, rest: list[str]) -> DataFrame:
-    """``rest``, the centre c, the lower factor l of the covariance v, and the determinant's logarithm."""
+    """``rest``, the centre c, the inverse m of the lower Cholesky factor l of the covariance v, and the determinant's
+    logarithm."""
     d = range(len(X))
+
+    def less(value: str, parts: list[str]) -> str:
+        return "(" + " - ".join([value, *parts]) + ")"
+
+    for j in d:  # a column at a time
+        params = params.selectExpr("*", f"sqrt(greatest({less(f'v{j}{j}', [f'l{j}{k} * l{j}{k}' for k in range(j)])}, 1e-9D)) AS l{j}{j}")
+        params = params.selectExpr("*", *[f"{less(f'v{i}{j}', [f'l{i}{k} * l{j}{k}' for k in range(j)])} / l{j}{j} AS l{i}{j}" for i in d[j + 1 :]])
     for i in d:  # a row at a time
-        for j in range(i + 1):
-            left = F.col(f"v{i}{j}")
-            for k in range(j):
-                left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-9))) if i == j else left / F.col(f"l{j}{j}"))
-    logdet = sum((2 * F.log(f"l{i}{i}") for i in d[1:]), 2 * F.log("l00"))
-    return params.select(*rest, *[f"c{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], logdet.alias("logdet"))
+        params = params.selectExpr("*", *[f"{less('1D' if i == j else '0D', [f'l{i}{k} * m{k}{j}' for k in range(j, i)])} / l{i}{i} AS m{i}{j}" for j in range(i + 1)])
+    logdet = " + ".join(f"2 * ln(l{i}{i})" for i in d)
+    return params.selectExpr(*rest, *[f"c{i}" for i in d], *[f"m{i}{j}" for i in d for j in range(i + 1)], f"{logdet} AS logdet")
 
 
-def moments(grouped, values: list[Column], *more: Column) -> DataFrame:
+def moments(grouped, values: list[str]) -> DataFrame:
     """Means a and second moments q of the values, and the floors of the features."""
     d = range(len(values))
-    return grouped.agg(*[F.first(f"f{i}").alias(f"f{i}") for i in d], *[F.avg(v).alias(f"a{i}") for i, v in enumerate(values)],
-                       *[F.avg(values[i] * values[j]).alias(f"q{i}{j}") for i in d for j in range(i + 1)], *more)
+    return grouped.agg(*[F.expr(e) for e in (*[f"first(f{i}) AS f{i}" for i in d], *[f"avg({v}) AS a{i}" for i, v in enumerate(values)],
+                                             *[f"avg({values[i]} * {values[j]}) AS q{i}{j}" for i in d for j in range(i + 1)])])
 
 
-def floored(i: int, j: int, value: Column) -> Column:
-    return F.greatest(value, F.col(f"f{i}") * F.col(f"f{i}")) if i == j else value
+def floored(i: int, j: int, value: str) -> str:
+    return f"greatest({value}, f{i} * f{i})" if i == j else value
 
 
 def concentrated(rows: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:
     """One concentration step: mean and covariance of the SHARE of each group's rows nearest by the params."""
     d = range(len(X))
-    near = rows.join(params, "pool").withColumn("distance", squared_distance([F.col(f"z{i}") for i in d], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}))
+    near = rows.join(params, "pool").withColumn("distance", squared_distance([f"z{i}" for i in d]))
     near = near.select(*key, *[f"{x}{i}" for x in "zf" for i in d], "distance")
     limit = near.groupBy(*key).agg(quantile(F.col("distance"), SHARE).alias("limit"))
-    sums = moments(near.join(limit, key).where("distance <= limit").groupBy(*key), [F.col(f"z{i}") for i in d])
-    return cholesky(sums.select(*key, *[F.col(f"a{i}").alias(f"c{i}") for i in d], *[
-        floored(i, j, F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"v{i}{j}") for i in d for j in range(i + 1)]), key)
+    sums = moments(near.join(limit, key).where("distance <= limit").groupBy(*key), [f"z{i}" for i in d])
+    return cholesky(sums.selectExpr(*key, *[f"a{i} AS c{i}" for i in d], *[floored(i, j, f"q{i}{j} - a{i} * a{j}") + f" AS v{i}{j}" for i in d for j in range(i + 1)]), key)
 
 
 def plain_start(pools: DataFrame) -> DataFrame:
     """Medians and median deviations, which any pool has."""
     d = range(len(X))
-    return cholesky(pools.select("pool", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"c{i}") for i in d], *[F.lit(float(i == j)).alias(f"v{i}{j}") for i in d for j in range(i + 1)]), ["pool", "start"])
+    return cholesky(pools.select("pool", F.lit(0).alias("start"), *[F.expr(f"0D AS c{i}") for i in d], *[F.expr(f"{int(i == j)}D AS v{i}{j}") for i in d for j in range(i + 1)]), ["pool", "start"])
 
 
 def first_estimates(rows: DataFrame) -> DataFrame:
@@ -142,18 +137,19 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     half = norm.groupBy("pool").agg(quantile(F.col("norm"), 0.5).alias("half"), F.count("*").alias("n"))
     norm = norm.join(half, "pool")
     length = F.greatest(F.sqrt("norm"), F.lit(1e-9))
-    drawn = [[F.tanh(c) for c in z], [c / length for c in z], [F.when(F.col("norm") <= F.col("half"), c) for c in z]]
-    drawn += [[F.when(F.pmod(F.xxhash64(F.lit(k), *z), F.ceil(F.col("n") / 7)) == 0, c) for c in z] for k in range(SUBSETS)]
-    one = norm.select("pool", *[f"f{i}" for i in d], F.explode(F.array(*[F.struct(F.lit(k + 1).alias("start"), *[v.alias(f"y{i}") for i, v in enumerate(y)]) for k, y in enumerate(drawn)])).alias("y")).select("pool", *[f"f{i}" for i in d], "y.*")
-    m = moments(one.where("y0 is not null").groupBy(*keys), [F.col(f"y{i}") for i in d])
-    spread = [F.sqrt(F.greatest(F.col(f"q{i}{i}") - F.col(f"a{i}") * F.col(f"a{i}"), F.lit(1e-9))) for i in d]
-
-    def value(i: int, j: int) -> Column:
-        cov = F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
-        by_tanh = F.lit(1.0) if i == j else 0.98 * cov / (spread[i] * spread[j])
-        return F.when(F.col("start") == 1, by_tanh).otherwise(floored(i, j, F.when(F.col("start") == 2, len(X) * F.col(f"q{i}{j}")).otherwise(cov)))
-
-    made = m.select(*keys, *[F.when(F.col("start") >= 3, F.col(f"a{i}")).otherwise(0.0).alias(f"c{i}") for i in d], *[value(i, j).alias(f"v{i}{j}") for i in d for j in range(i + 1)])
+    start = F.col("start")
+    part = (start > 3) & (F.pmod(F.xxhash64("start", *z), F.ceil(F.col("n") / 7)) == 0)
+    drawn = [F.when(start == 1, F.tanh(c)).when(start == 2, c / length).when((start == 3) & (F.col("norm") <= F.col("half")) | part, c).alias(f"y{i}") for i, c in enumerate(z)]
+    one = norm.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(3 + SUBSETS)))).select(*keys, *[f"f{i}" for i in d], *drawn)
+    m = moments(one.where("y0 is not null").groupBy(*keys), [f"y{i}" for i in d])
+    spread = [f"sqrt(greatest(q{i}{i} - a{i} * a{i}, 1e-9D))" for i in d]
+
+    def value(i: int, j: int) -> str:
+        by_tanh = "1D" if i == j else f"0.98D * (q{i}{j} - a{i} * a{j}) / ({spread[i]} * {spread[j]})"
+        other = floored(i, j, f"CASE WHEN start = 2 THEN {len(X)} * q{i}{j} ELSE q{i}{j} - a{i} * a{j} END")
+        return f"CASE WHEN start = 1 THEN {by_tanh} ELSE {other} END AS v{i}{j}"
+
+    made = m.selectExpr(*keys, *[f"CASE WHEN start >= 3 THEN a{i} ELSE 0D END AS c{i}" for i in d], *[value(i, j) for i in d for j in range(i + 1)])
     return plain_start(half).unionByName(cholesky(made, keys))
 
 
@@ -162,8 +158,8 @@ def quantile(c: Column, p: float) -> Column:
 
 
 def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """One row a group: medians and median deviations, in whose units the centre, the Cholesky factor of the covariance
-    and the determinant's logarithm are, and the scale of squared distances.
+    """One row a group: medians and median deviations, in whose units the centre, the inverse Cholesky factor of the
+    covariance and the determinant's logarithm are, and the scale of squared distances.
 
     Minimum covariance determinant per group. From each of several starts, concentration steps take mean and covariance
     of the SHARE of rows nearest so far. First they run on about NESTED rows a group; the GO_ON starts with the least
@@ -212,7 +208,7 @@ def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> Dat
         falls = not params.where("falls").isEmpty()
         params = params.drop("falls")
     params = params.groupBy("pool").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("best")).select("pool", "best.*")
-    near = rows.join(params, "pool").withColumn("distance", squared_distance([F.col(f"z{i}") for i in d], [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}))
+    near = rows.join(params, "pool").withColumn("distance", squared_distance([f"z{i}" for i in d]))
     scale = near.groupBy("pool").agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
     return stored(levels.join(units.drop("n").join(params, "pool").join(scale, "pool"), "pool").drop("pool"), "scaled")
 
@@ -221,9 +217,9 @@ def outliers(stats: DataFrame, params: DataFrame, by: tuple[str, str] = ("lang",
     """``stats`` with ``distance`` (squared, robust; null without estimates) and ``outlier``."""
     d = range(len(X))
     rows, p = with_features(stats), params.withColumnsRenamed({"ga": "ka", "gb": "kb"})
-    z = [(F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}") for i, c in enumerate(X)]
-    out = rows.join(p, rows[by[0]].eqNullSafe(p["ka"]) & rows[by[1]].eqNullSafe(p["kb"]), "left").withColumn("distance", squared_distance(
-        z, [F.col(f"c{i}") for i in d], {(i, j): F.col(f"l{i}{j}") for i in d for j in range(i + 1)}) / F.col("scale"))
+    out = rows.join(p, rows[by[0]].eqNullSafe(p["ka"]) & rows[by[1]].eqNullSafe(p["kb"]), "left")
+    out = out.withColumns({f"z{i}": (F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}") for i, c in enumerate(X)})
+    out = out.withColumn("distance", squared_distance([f"z{i}" for i in d]) / F.col("scale"))
     return out.select(*stats.columns, "distance", F.coalesce(F.col("distance") > CUTOFF_5, F.lit(False)).alias("outlier"))
 
 

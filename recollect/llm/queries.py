@@ -21,18 +21,22 @@ from .substring_dedup import remove_repeats
 
 
 def op1_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of all documents."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of four-word shingles, linked at four bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
 def op3_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model of those not held out."""
     return score(table(spark, sf_dir, "documents"))
 
 
 def op4_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed and the digest of those kept, at windows of 50 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, words=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -44,26 +48,33 @@ def op5_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of all documents."""
     return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from all formatted conversations and one that imitates the template; fails if one isn't read back as it was."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
-    return read_back(format_conversations(turns.unionByName(hard)))
+    hard = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)").to(turns.schema)
+    chats = format_conversations(turns.unionByName(hard))
+    failed = F.raise_error(F.lit("a conversation isn't read back as it was")).cast("string")
+    return read_back(chats.withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(failed)))
 
 
 def op8_neighbours_projected_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op9_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents."""
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, read back from archives."""
     path = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))

@@ -136,6 +136,15 @@ def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
     return F.array(*keys)
 
 
+def blocks_for(count: int, radius: int) -> int:
+    """The least number of blocks with which ``count`` random fingerprints give buckets of fewer than 256 on average. A
+    fingerprint has a key for each choice of blocks, so their number is no larger than it has to be."""
+    blocks = radius + 2
+    while count >> (64 * (blocks - radius) // blocks) >= 256:
+        blocks += 1
+    return blocks
+
+
 def near_links(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD) -> DataFrame:
     """Star edges (a, b) whose components are those of the links between the distinct fingerprints (``fp``).
 
@@ -144,7 +153,7 @@ def near_links(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD
     So a tree is sent only to the query blocks that can match it, and no bucket has to fit in one task.
     """
     keyed = distinct.select("fp", F.explode(block_keys("fp", radius, blocks)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     parts = (keyed.join(sizes, "key")
              .withColumn("shards", F.ceil(F.col("n") / shard))
              .withColumn("shard", F.pmod(F.xxhash64("fp"), "shards"))
@@ -171,16 +180,18 @@ def near_links(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD
         blocks_of.mapInArrow(between, "a long, b long")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents whose fingerprints are linked by at most ``radius`` bits.
 
     component_id is the smallest doc_id that can be reached. Equal fingerprints are one node, whatever their number.
+    Without ``blocks``, their number follows that of the distinct fingerprints. Very long texts are taken whole; an
+    empty table gives no rows.
     Null, empty and blank texts have fingerprint zero and are linked like others. Repeated rows each give a row; a
     null doc_id has its component's smallest known id (null if there is none). Other columns are ignored.
     """
     found = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     lowest = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    links = near_links(lowest, radius, blocks)
+    links = near_links(lowest, radius, blocks or blocks_for(lowest.count(), radius))
     roots = connected_components(links)
     member = lowest.join(roots.withColumnRenamed("node", "fp"), "fp")
     reach = member.groupBy("root").agg(F.min("low").alias("reach"))

@@ -109,8 +109,9 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     places = stored(slim.mapInArrow(first_level, "doc_id long, text_hash long, anchor long, span1 long, span2 long, lo long, hi long")
                     .select("doc_id", "text_hash", "anchor", "span1", "span2", F.col("lo").cast("int"), F.col("hi").cast("int")), "anchors")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = stored(shared, "shared-anchors")  # so that both sides of the join are scans, and Spark can split a hot anchor
     places = stored(places.join(shared, "anchor").drop("anchor"), "shared")
-    earliest = places.groupBy("span1", "span2").agg(F.min("doc_id").alias("low"))
+    earliest = stored(places.groupBy("span1", "span2").agg(F.min("doc_id").alias("low")), "earliest")
     places = stored(places.join(earliest, ["span1", "span2"]).select("doc_id", "text_hash", "lo", "hi", (F.col("low") < F.col("doc_id")).alias("settled")), "spans")
 
     def third_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,7 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     single = stored(slim.dropDuplicates(["doc_id", "text_hash"]).join(left, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "ranges")
                     .mapInArrow(third_level, "doc_id long, text_hash long, h1 long, h2 long, lo long"), "windows")
     lowest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    lowest = stored(lowest, "lowest")
     single = single.join(lowest, ["h1", "h2"]).where("low < doc_id").select("doc_id", "text_hash", F.col("lo").cast("int"), F.col("lo").cast("int").alias("hi"))
     return places.where("settled").select("doc_id", "text_hash", "lo", "hi").unionByName(single).groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("lo", "hi")).alias("ranges"))

@@ -12,17 +12,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import scratch_dir, stored
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_BYTES = 1000
+#: Bytes of a file's records before compression, about (one capture may have more): a file is one row when it is read.
+FILE_BYTES = 64 << 20
+#: Payloads fall into classes by size, each class of up to so many times the bytes of the one before; a class has its own files.
+GROWTH = 8
 END = "\r\n"
 
 RECORD = "type string, record_id string, concurrent_to string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def urn(kind: str) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.col("page_id"), F.col("sha1"), F.col("row")))
+def urn(kind: str, page_id: str = "page_id", row: str = "row") -> Column:
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.col(page_id), F.col("sha1"), F.col(row)))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -35,19 +39,31 @@ def record(kind: Column | str, headers: list[tuple[str, Column]], block: Column)
                     F.octet_length(block).cast("string"), F.lit(END * 2), block, F.lit(END * 2))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, captures_per_file: int = 1000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Writes a request, a response or revisit, and a metadata record for each row (page_id, url, html), as gzip files.
 
     Of rows with equal payloads of ``least`` bytes or more, those with the largest page_id are responses and the others
-    revisits of it, without payload. Payload owners are found on digests alone and joined back, so a payload that very
-    many pages share is an ordinary skewed join. A null html is an empty payload, a null url an empty URI. A row with
-    a null page_id revisits if another row of its payload has an id, else it is a response. Repeated rows are captures
-    of their own.
+    revisits of one of them, without payload. Payload owners are found on digests alone, stored and joined back, so that
+    a payload that very many pages share is a join that Spark can split. A null html is an empty payload, a null url an
+    empty URI. A row with a null page_id revisits if another row of its payload has an id, else it is a response.
+    Repeated rows are captures of their own; an empty table gives an empty folder of archives. Files are bounded by
+    bytes: each class of payload sizes has as many captures a file as its largest allow. A file is one gzip member,
+    since Spark's writer makes it; readers that want a member a record have to compress it anew.
     """
     p = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    owners = p.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("same")).where("same > 1 and owner is not null").drop("same")
-    p = p.join(owners, ["sha1", "bytes"], "left").withColumn("row", F.monotonically_increasing_id())
+    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    size_class = F.greatest(F.floor(F.log(float(GROWTH), F.greatest("bytes", F.lit(1)) / 65536.0)) + 1, F.lit(0)).cast("int")
+    digests = stored(p.select("page_id", "row", "sha1", "bytes", size_class.alias("class")), "digests")
+    owners = digests.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("o"), F.count("*").alias("same"))
+    owners = stored(owners.where("same > 1 and o is not null").select("sha1", "bytes", F.col("o.page_id").alias("owner"), F.col("o.row").alias("owner_row")), "owners")
+    classes = sorted(r["class"] for r in digests.select("class").distinct().collect())
+    for k in classes or [0]:
+        largest = 65536 * GROWTH**k + 4096
+        write_class(p.where(size_class == k), owners, f"{path}/{k}", max(1, file_bytes // largest))
+
+
+def write_class(p: DataFrame, owners: DataFrame, path: str, captures_per_file: int) -> None:
+    p = p.join(owners, ["sha1", "bytes"], "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     p = p.withColumn("owner", F.when(revisit, F.col("owner")))
     date = ("WARC-Date", F.lit("2024-01-01T00:00:00Z"))
@@ -57,7 +73,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, captur
     captured = record(F.when(F.col("owner").isNull(), "response").otherwise("revisit"), [
         ("WARC-Record-ID", main), date, uri, page, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         ("WARC-Profile", F.when(F.col("owner").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
+        ("WARC-Refers-To", F.when(F.col("owner").isNotNull(), urn("response", "owner", "owner_row"))), ("X-Refers-To-Page", F.col("owner")), ("Content-Type", F.lit("application/http; msgtype=response"))],
         F.when(F.col("owner").isNull(), F.concat(http, "html")).otherwise(http))
     request = record("request", [("WARC-Record-ID", urn("request")), date, uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))],
                      F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END * 2)))
@@ -90,9 +106,8 @@ def parsed(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     elif kind == "metadata":
         fields = dict(line.split(": ", 1) for line in block.decode("utf-8").split(END) if ": " in line)
         size = int(fields["payload-length"]) if "payload-length" in fields else None
-    refers = headers.get("warc-refers-to", "")
     return (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), int(headers["x-page-id"]) if "x-page-id" in headers else None, headers.get("warc-target-uri"), size, digest,
-            int(refers[len("<urn:page:") : -1]) if refers.startswith("<urn:page:") else None, payload if with_payload else None)
+            int(headers["x-refers-to-page"]) if "x-refers-to-page" in headers else None, payload if with_payload else None)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -114,14 +129,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                         rows = []
                 yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(mapped, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(mapped, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: record_id, capture, request, metadata (an array).
 
     Records meet under the id of their response or revisit: its own, or the one they are concurrent to. A capture may
-    lack a request or metadata; records that are concurrent to none that is there give no row.
+    lack a request or metadata; records that are concurrent to none that is there give no row; an empty table gives none.
     """
     fields = F.struct(*[c for c in records.columns if c != "concurrent_to"])
     is_main = F.col("type").isin("response", "revisit")

@@ -642,10 +642,12 @@ def test_quality_outliers_of_small_groups(spark):
 def test_warc(spark):
     page = "<html>" + "é" * 600
     tricky = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "y" * 1200
-    rows = [(1, "http://a/1", page), (2, "http://a/2", page), (3, None, page), (4, "http://b/", None), (5, "http://b/\n", "small"), (6, "u", "small"), (7, "t", tricky), (8, "t", tricky), (None, "n", page), (None, "m", "lone"), (5, "http://b/\n", "small")]
+    big = "<b>" + "z" * 1_500_000
+    rows = [(30, "http://big/", big), (31, "http://big/", big[:-700_000]), (1, "http://a/1", page), (2, "http://a/2", page), (3, None, page), (4, "http://b/", None), (5, "http://b/\n", "small"), (6, "u", "small"), (7, "t", tricky), (8, "t", tricky), (None, "n", page), (None, "m", "lone"), (5, "http://b/\n", "small")]
     path = warc.archive_folder(spark)
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, captures_per_file=3)
-    got = warc.assemble(warc.read_archives(spark, path)).collect()
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=200_000)
+    records = warc.read_archives(spark, path)
+    got = warc.assemble(records).collect()
     found = Counter((r["capture"]["page_id"], r["capture"]["type"], r["capture"]["refers_to"], r["capture"]["payload_digest"], r["metadata"][0]["payload_bytes"]) for r in got)
     want = Counter()
     for i, _, h in rows:
