@@ -106,11 +106,12 @@ def similar(vectors: DataFrame, query: list[float], top_k: int = 10, least: floa
     return s.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(top_k)
 
 
-def rank_fusion(lists: list[DataFrame], key: str = "vec_id", score: str = "similarity", constant: int = 60, limit: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of bounded result lists."""
+def rank_fusion(lists: list[DataFrame], key: str = "vec_id", score: str = "similarity", constant: int = 60, limit: int = 10, depth: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of the best ``depth`` rows of each list."""
     ranked = None
     for found in lists:
-        r = found.select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias("r"))
+        best = found.orderBy(F.desc(score), key).limit(depth)  # so that few rows are numbered in one task
+        r = best.select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias("r"))
         ranked = r if ranked is None else ranked.unionByName(r)
     return ranked.groupBy(key).agg(F.sum(1 / (constant + F.col("r"))).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 

@@ -6,7 +6,7 @@ observations qualify that hold entities for enough groups. ``any_of`` and ``none
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -52,20 +52,28 @@ def entity_hits(state: DataFrame, groups: list[Entity], unmatched_traits: int =
     """(entity_pk, group_id, matched, similarity) of entities that satisfy a group, before any link is touched.
 
     An exact hit has similarity 1. The predicates are a local relation of the query's own size. ``vectors`` (value,
-    vector) is needed for nearness predicates; those without it are left out, as are groups without properties.
+    vector) is needed for nearness predicates; without it they are left out and not required either, as are groups
+    without properties. The latest values are found only of entities that have had one of the exact values at some
+    time, or of all if there are nearness predicates.
     """
     spark = state.sparkSession
     exact, near, required = [], [], []
     for number, group in enumerate(groups):
-        if group.properties:
-            required.append((number, max(0, len(group.properties) - unmatched_traits)))
-        for p in group.properties:
+        counted = [p for p in group.properties if p.vector is None or vectors is not None]
+        if counted:
+            required.append((number, max(0, len(counted) - unmatched_traits)))
+        for p in counted:
             (exact if p.vector is None else near).append((group.kind.lower(), p, number))
     kinds = sorted({g.kind.lower() for g in groups if g.properties})
-    latest = latest_properties(state, kinds, sorted({p.name for _, p, _ in exact + near}), start, end)
+    names = sorted({p.name for _, p, _ in exact + near})
     arms = []
     if exact:
         wanted = spark.createDataFrame([(k, p.name, p.value.lower(), n) for k, p, n in exact], "kind string, property_name string, wanted string, group_id int")
+    if exact and not near:
+        had = F.col("property_name").isin([p.name for _, p, _ in exact]) & F.lower("property_value").isin(sorted({p.value.lower() for _, p, _ in exact}))
+        state = state.join(state.where(F.lower("entity_type").isin(kinds) & had).select("entity_pk").distinct(), "entity_pk", "left_semi")
+    latest = latest_properties(state, kinds, names, start, end)
+    if exact:
         arms.append(latest.join(F.broadcast(wanted), (F.lower("entity_type") == wanted["kind"]) & (latest["property_name"] == wanted["property_name"]) & (F.lower("property_value") == wanted["wanted"]))
                     .select("entity_pk", "group_id", F.lit(1.0).alias("similarity")))
     for kind, p, number in near if vectors is not None else []:
@@ -80,18 +88,21 @@ def entity_hits(state: DataFrame, groups: list[Entity], unmatched_traits: int =
     return hits.join(F.broadcast(needed), "group_id").where("matched >= required").drop("required")
 
 
-def qualifying(state: DataFrame, links: DataFrame, groups: list[Entity], unmatched_entities: int = 0, **how) -> DataFrame:
+def qualifying(state: DataFrame, links: DataFrame, groups: list[Entity], unmatched_entities: int = 0, hits: DataFrame | None = None, **how) -> DataFrame:
     """One row an observation: observation_id, no_of_entities, no_of_matched_props, entity_pks, max_similarity.
 
-    Hits are joined with links on the entity (popular entities are skewed inner joins, which Spark can split), then
-    added up by observation. A group without properties is met by any entity of its kind and counts one each.
+    Hits are joined with links on the entity, then added up by observation. A group without properties is met by any
+    entity of its kind and counts one each. Spark splits the links of a popular entity where the hits are a stored table
+    or broadcast; give ``hits`` (the stored result of ``entity_hits``) for tables in which a few entities hold most links.
     """
     if not groups:
         raise ValueError("a search needs an entity at least")
+    if hits is None and not any(not g.properties or how.get("vectors") is not None or any(p.vector is None for p in g.properties) for g in groups):
+        raise ValueError("no group is left: nearness needs vectors")
     spark = state.sparkSession
     found = []
     if any(g.properties for g in groups):
-        found.append(links.join(entity_hits(state, groups, **how), "entity_pk").select("observation_id", "entity_pk", "group_id", "matched", "similarity"))
+        found.append(links.join(hits if hits is not None else entity_hits(state, groups, **how), "entity_pk").select("observation_id", "entity_pk", "group_id", "matched", "similarity"))
     bare = [(g.kind.lower(), n) for n, g in enumerate(groups) if not g.properties]
     if bare:
         kinds = spark.createDataFrame(bare, "kind string, group_id int")
@@ -103,6 +114,69 @@ def qualifying(state: DataFrame, links: DataFrame, groups: list[Entity], unmatch
     return out.where(F.col("no_of_entities") >= max(0, len(groups) - unmatched_entities))
 
 
+@dataclass(frozen=True)
+class And:
+    """All parts hold. Entities next to each other are one search, in which ``unmatched_entities`` may lack."""
+
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Or:
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Not:
+    part: object
+
+
+def flattened(node):
+    """The tree with parts of an And in an And, and of an Or in an Or, put into it; two Nots in a row cancel out."""
+    if isinstance(node, Not):
+        inner = flattened(node.part)
+        return inner.part if isinstance(inner, Not) else Not(inner)
+    if not isinstance(node, (And, Or)):
+        return node
+    parts = []
+    for p in map(flattened, node.parts):
+        parts += p.parts if type(p) is type(node) else [p]
+    return parts[0] if len(parts) == 1 else type(node)(tuple(parts))
+
+
+def leaves(node) -> list[Entity]:
+    """The entities of a tree that aren't under a Not."""
+    node = flattened(node)
+    if isinstance(node, Not):
+        return []
+    return [node] if isinstance(node, Entity) else [e for p in node.parts for e in leaves(p)]
+
+
+def matching(state: DataFrame, links: DataFrame, node, every: DataFrame, **how) -> DataFrame:
+    """(observation_id) of the observations for which a tree of And, Or, Not and Entity holds. ``every`` has all
+    observations (observation_id), of which a Not takes those that its part doesn't hold for."""
+    node = flattened(node)
+    if isinstance(node, Entity):
+        return qualifying(state, links, [node], **how).select("observation_id")
+    if isinstance(node, Not):
+        return none_of(every.select("observation_id").distinct(), matching(state, links, node.part, every, **how))
+    if isinstance(node, Or):
+        return any_of(*[matching(state, links, p, every, **how) for p in node.parts])
+    own = [p for p in node.parts if isinstance(p, Entity)]
+    rest = [p for p in node.parts if not isinstance(p, (Entity, Not))]
+    found = [qualifying(state, links, own, **how).select("observation_id")] if own else []
+    found += [matching(state, links, p, every, **how) for p in rest]
+    out = reduce(lambda a, b: a.join(b, "observation_id", "left_semi"), found) if found else every.select("observation_id").distinct()
+    return none_of(out, *[matching(state, links, p.part, every, **how) for p in node.parts if isinstance(p, Not)])
+
+
+def with_vectors(groups: list[Entity], embed) -> list[Entity]:
+    """The groups with vectors for the properties marked as near (an empty vector): ``embed`` gets the distinct values."""
+    asked = sorted({p.value for g in groups for p in g.properties if p.vector == ()})
+    found = dict(zip(asked, embed(asked))) if asked else {}
+    return [replace(g, properties=tuple(replace(p, vector=tuple(found[p.value])) if p.vector == () else p for p in g.properties)) for g in groups]
+
+
 def any_of(*results: DataFrame) -> DataFrame:
     """Observations of any result."""
     return reduce(DataFrame.unionByName, [r.select("observation_id") for r in results]).distinct()

@@ -90,6 +90,19 @@ class Memory:
     def texts(self) -> DataFrame:
         return self.raw("documents").select(F.md5("text").alias("id"), F.concat(F.lit("o"), "doc_id").alias("observation_id"), F.col("text").alias("text_string"), "source", "doc_id")
 
+    def versions(self) -> DataFrame:
+        """Two versions of each customer, with id, observer and time."""
+        v = self.raw("customer").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+        pk = entity_pk(F.lit("customer"), "c_custkey")
+        return v.select(pk.alias("entity_pk"), F.col("c_custkey").cast("string").alias("entity_id"), F.md5(F.concat(pk, F.lit("-"), F.col("v").cast("string"))).alias("data_hash"),
+                        F.when(F.col("v") == 0, "A").otherwise("B").alias("observer_pk"), (F.lit(1704067200) + F.col("c_custkey") * 10 + F.col("v")).alias("ts"), F.concat("c_mktsegment", F.lit(" v"), F.col("v").cast("string")).alias("traits"))
+
+    def chunked_texts(self) -> DataFrame:
+        """Documents as root texts, and a part of each that has a label."""
+        d = self.raw("documents").select(F.concat(F.lit("t"), "doc_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("text").alias("text_string"), (F.col("doc_id") % 2 == 0).alias("chunked"))
+        c = self.raw("labels").select(F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("t"), "doc_id").alias("parent_id"), F.lit("part").alias("text_string"), F.lit(False).alias("chunked"))
+        return d.unionByName(c)
+
 
 CTES = """obs AS (
   SELECT concat('o', o_orderkey) AS id, o_orderpriority AS source_id, o_orderstatus AS label, o_orderdate AS ts FROM orders),
@@ -124,5 +137,8 @@ history AS (
   SELECT md5(concat('part-', p_partkey)), 'part', md5(concat(md5(concat('part-', p_partkey)), '-', v)), concat(p_brand, ' v', v) FROM part, (VALUES (0), (1)) AS x(v)),
 jobs AS (SELECT concat('e', event_id) AS rel_id, 'trigger-1' AS job_id FROM events WHERE event_id % 5 = 0),
 triggers AS (SELECT concat('u', user_id) AS obs_id, 'ended' AS trigger_id, min(ts) AS ts_end FROM events WHERE user_id % 4 = 0 GROUP BY user_id),
-texts AS (SELECT md5(text) AS id, concat('o', doc_id) AS observation_id, text AS text_string, source, doc_id FROM documents)
+texts AS (SELECT md5(text) AS id, concat('o', doc_id) AS observation_id, text AS text_string, source, doc_id FROM documents),
+versions AS (
+  SELECT md5(concat('customer-', c_custkey)) AS entity_pk, CAST(c_custkey AS VARCHAR) AS entity_id, md5(concat(md5(concat('customer-', c_custkey)), '-', v)) AS data_hash,
+         CASE WHEN v = 0 THEN 'A' ELSE 'B' END AS observer_pk, 1704067200 + c_custkey * 10 + v AS ts, concat(c_mktsegment, ' v', v) AS traits FROM customer, (VALUES (0), (1)) AS x(v))
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.identity import entity_pk, triplet_id, version_id
-from ..operators import ingest, reads, search
+from ..operators import entities, ingest, observations, reads, search, texts
 from ..operators.search import Entity, Property
 from .memory import CTES, Memory
 
@@ -117,13 +117,13 @@ def eql_none_of(m: Memory) -> DataFrame:
     return search.none_of(result_of(m, TWO), result_of(m, SUPPLY))
 
 
-@query(""", v AS (SELECT concat('Brand#', vec_id) AS value, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id BETWEEN 1 AND 50),
+@query(""", v AS (SELECT concat('Brand#', vec_id) AS value, embedding::DOUBLE[] AS vector FROM embeddings),
  q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1),
  near AS (SELECT entity_pk, list_cosine_similarity(vector, q) AS similarity FROM latest JOIN v ON property_value = value, q WHERE entity_type = 'part' AND property_name = '$brand' ORDER BY similarity DESC, entity_pk LIMIT 100)
  SELECT observation_id, count(*) AS parts, round(max(similarity), 6) AS similarity FROM links JOIN near USING (entity_pk) WHERE similarity >= 0.1 GROUP BY ALL""")
 def eql_vector(m: Memory) -> DataFrame:
     e = m.raw("embeddings")
-    vectors = e.where("vec_id between 1 and 50").select(F.concat(F.lit("Brand#"), "vec_id").alias("value"), F.col("embedding").alias("vector"))
+    vectors = e.select(F.concat(F.lit("Brand#"), "vec_id").alias("value"), F.col("embedding").alias("vector"))
     asked = tuple(e.where("vec_id = 1").first()["embedding"])
     groups = [Entity("part", (Property("$brand", "", vector=asked, similarity=0.1),))]
     found = result_of(m, groups, vectors=vectors)
@@ -138,7 +138,7 @@ def fact_search_page(m: Memory) -> DataFrame:
 
 @query("SELECT rel_id, rel_label, ts FROM facts WHERE actor_pk IN (md5('user-1'), md5('user-2'), md5('customer-7'))")
 def facts_by_actor(m: Memory) -> DataFrame:
-    return m.facts().where(F.col("actor_pk").isin(*pks("user-1", "user-2", "customer-7"))).select("rel_id", "rel_label", "ts")
+    return observations.facts_of_entities(m.facts(), pks("user-1", "user-2", "customer-7"), ("actor",)).select("rel_id", "rel_label", "ts")
 
 
 def pks(*keys: str) -> list[str]:
@@ -168,13 +168,12 @@ def ending_observations(m: Memory) -> DataFrame:
 
 @query("SELECT id, label, ts FROM links JOIN obs ON id = observation_id WHERE entity_pk = md5('customer-7')")
 def obs_by_entity(m: Memory) -> DataFrame:
-    own = m.links().where(F.col("entity_pk") == pks("customer-7")[0])
-    return own.join(m.observations(), F.col("observation_id") == F.col("id")).select("id", "label", "ts")
+    return observations.of_entity(m.links(), m.observations(), pks("customer-7")).select("id", "label", "ts")
 
 
 @query("SELECT DISTINCT entity_pk, texts.id AS text_id FROM links JOIN texts USING (observation_id) WHERE entity_type = 'customer'")
 def entity_descriptions(m: Memory) -> DataFrame:
-    return m.links().where(F.col("entity_type") == "customer").join(m.texts(), "observation_id").select("entity_pk", F.col("id").alias("text_id")).distinct()
+    return observations.descriptions(m.links(), m.texts(), ["customer"])
 
 
 @query("SELECT entity_pk FROM gids WHERE entity_gid IN (SELECT entity_gid FROM gids WHERE entity_pk = md5('customer-8'))")
@@ -197,8 +196,7 @@ def changed_entities(m: Memory) -> DataFrame:
 
 @query("SELECT count(DISTINCT obs_id) AS observations, count(DISTINCT actor_pk) AS actors, count(DISTINCT actor_type) AS kinds, count(*) AS facts FROM facts WHERE ts >= TIMESTAMP '1998-01-01'")
 def online_counts(m: Memory) -> DataFrame:
-    return m.facts().where(F.col("ts") >= F.lit("1998-01-01").cast("timestamp_ntz")).agg(
-        F.count_distinct("obs_id").alias("observations"), F.count_distinct("actor_pk").alias("actors"), F.count_distinct("actor_type").alias("kinds"), F.count("*").alias("facts"))
+    return entities.online(m.facts(), "1998-01-01")
 
 
 @query(" UNION ALL ".join(f"SELECT '{r}' AS role, count(DISTINCT {r}_pk) AS entities, count(DISTINCT obs_id) AS observations, count(DISTINCT rel_label) AS labels, count(*) AS facts, min(ts) AS first, max(ts) AS last FROM facts WHERE {r}_type = 'customer'" for r in ("actor", "object")))
@@ -208,8 +206,7 @@ def entity_stats(m: Memory) -> DataFrame:
 
 @query("SELECT rel_label, count(*) AS n FROM facts WHERE actor_type = 'customer' GROUP BY ALL UNION SELECT rel_label, count(*) FROM facts WHERE object_type = 'customer' GROUP BY ALL")
 def event_role_counts(m: Memory) -> DataFrame:
-    one = [m.facts().where(F.col(f"{r}_type") == "customer").groupBy("rel_label").agg(F.count("*").alias("n")) for r in ("actor", "object")]
-    return one[0].union(one[1]).distinct()
+    return entities.labels_by_role(m.facts(), "customer")
 
 
 @query(", w AS (SELECT CAST(floor((epoch(ts) - 788918400) / 4320000) AS BIGINT) AS bucket, count(*) AS n FROM facts WHERE rel_label = 'ordered' AND epoch(ts) >= 788918400 AND epoch(ts) < 1048118400 GROUP BY 1)"
@@ -220,24 +217,23 @@ def event_histogram(m: Memory) -> DataFrame:
 
 @query("SELECT event_type AS level, count(*) AS n FROM events GROUP BY ALL", ctes=False)
 def log_levels(m: Memory) -> DataFrame:
-    return m.raw("events").groupBy(F.col("event_type").alias("level")).agg(F.count("*").alias("n"))
+    return entities.counts_by(m.raw("events").withColumnRenamed("event_type", "level"), "level")
 
 
 @query("SELECT DISTINCT id FROM texts ANTI JOIN (SELECT doc_id FROM labels) USING (doc_id)")
 def not_embedded(m: Memory) -> DataFrame:
-    return m.texts().join(m.raw("labels").select("doc_id"), "doc_id", "left_anti").select("id").distinct()
+    return texts.not_embedded(m.texts().select("doc_id", "id"), m.raw("labels"), "doc_id").join(m.texts(), "doc_id").select("id").distinct()
 
 
-@query("SELECT doc_id FROM texts t WHERE NOT EXISTS (SELECT 1 FROM texts c WHERE c.doc_id = t.doc_id * 2)")
+@query("SELECT concat('t', doc_id) AS id FROM documents t WHERE NOT EXISTS (SELECT 1 FROM labels c WHERE c.doc_id = t.doc_id)", ctes=False)
 def not_summarised(m: Memory) -> DataFrame:
-    t = m.texts().select("doc_id")
-    children = t.where("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("doc_id"))
-    return t.join(children, "doc_id", "left_anti")
+    t = m.chunked_texts()
+    return texts.without_children(t).select("id")
 
 
 @query("SELECT DISTINCT observation_id FROM texts WHERE contains(lower(text_string), 'license')")
 def fulltext_obs(m: Memory) -> DataFrame:
-    return m.texts().where(F.lower("text_string").contains("license")).select("observation_id").distinct()
+    return observations.full_text(m.texts(), "license")
 
 
 NEAR = "(SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = {q} ORDER BY similarity DESC, e.vec_id LIMIT {k})"
@@ -280,7 +276,7 @@ def hyper_edge(m: Memory) -> DataFrame:
 
 @query("SELECT observation_id, count(*) AS n, count(DISTINCT entity_type) AS kinds FROM links GROUP BY ALL HAVING count(DISTINCT entity_type) = 3")
 def links_of_entities(m: Memory) -> DataFrame:
-    return m.links().groupBy("observation_id").agg(F.count("*").alias("n"), F.count_distinct("entity_type").alias("kinds")).where("kinds = 3")
+    return entities.links_by_observation(m.links()).where("kinds = 3")
 
 
 STATE = "st AS (SELECT entity_pk, string_agg(property_name || '=' || property_value, ' ' ORDER BY property_name) AS traits FROM latest GROUP BY entity_pk)"
@@ -293,9 +289,7 @@ def state_text(m: Memory, by: tuple[str, ...] = ()) -> DataFrame:
 
 @query(", " + STATE + " SELECT rel_id, a.traits AS actor_traits, o.traits AS object_traits FROM facts LEFT JOIN st a ON actor_pk = a.entity_pk LEFT JOIN st o ON object_pk = o.entity_pk")
 def view_fact_entities(m: Memory) -> DataFrame:
-    s = state_text(m)
-    a, o = (s.select(F.col("entity_pk").alias(f"{r}_pk"), F.col("traits").alias(f"{r}_traits")) for r in ("actor", "object"))
-    return m.facts().join(a, "actor_pk", "left").join(o, "object_pk", "left").select("rel_id", "actor_traits", "object_traits")
+    return entities.with_states(m.facts(), state_text(m)).select("rel_id", "actor_traits", "object_traits")
 
 
 @query(", " + STATE + " SELECT entity_pk, traits FROM st")
@@ -310,15 +304,13 @@ def view_observer_state(m: Memory) -> DataFrame:
 
 @query("SELECT state.entity_pk, coalesce(entity_gid, state.entity_pk) AS identity, property_name, property_value FROM state LEFT JOIN gids USING (entity_pk) WHERE observer_pk = 'A'")
 def view_global_state(m: Memory) -> DataFrame:
-    return m.property_state().where(F.col("observer_pk") == "A").join(m.gids(), "entity_pk", "left").select("entity_pk", F.coalesce("entity_gid", "entity_pk").alias("identity"), "property_name", "property_value")
+    return entities.with_identity(m.property_state().where(F.col("observer_pk") == "A"), m.gids()).select("entity_pk", "identity", "property_name", "property_value")
 
 
 @query(VERSIONED + """, r AS (SELECT 'actor' AS role, rel_label, ah AS h, count(*) AS n FROM vf GROUP BY ALL UNION ALL SELECT 'object', rel_label, oh, count(*) FROM vf GROUP BY ALL)
  SELECT role, rel_label, entity_type, CAST(sum(n) AS BIGINT) AS n, min(traits) AS sample FROM r JOIN history ON h = data_hash GROUP BY ALL""")
 def view_uniq_traits(m: Memory) -> DataFrame:
-    f = m.versioned_facts()
-    both = [f.groupBy(F.lit(r).alias("role"), "rel_label", F.col(f"{r}_data_hash").alias("data_hash")).agg(F.count("*").alias("n")) for r in ("actor", "object")]
-    return both[0].unionByName(both[1]).join(m.history(), "data_hash").groupBy("role", "rel_label", "entity_type").agg(F.sum("n").alias("n"), F.min("traits").alias("sample"))
+    return entities.sample_traits(m.versioned_facts(), m.history())
 
 
 @query("""SELECT entity_pk, entity_type, count(*) AS matches, count(*) / 2.0::DOUBLE AS fit FROM state WHERE entity_type = 'part' AND ((property_name = '$brand' AND lower(property_value) = 'brand#3')
@@ -352,7 +344,7 @@ def conversation_window(m: Memory) -> DataFrame:
 
 @query("SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') IS NOT NULL", ctes=False)
 def json_field_values(m: Memory) -> DataFrame:
-    return m.raw("events").where(F.col("event_type") == "click").select(F.get_json_object("props", "$.k").alias("k")).where("k is not null").distinct()
+    return entities.column_values(m.raw("events").where(F.col("event_type") == "click"), F.get_json_object("props", "$.k")).withColumnRenamed("value", "k")
 
 
 @query("""SELECT entity_pk, md5(concat(actor, '-', 'knows', '-', entity_pk)) AS tid, md5(concat(entity_pk, '-', 'None')) AS hid FROM (SELECT md5(concat('customer-', c_custkey)) AS entity_pk, md5(concat('nation-', c_nationkey)) AS actor FROM customer)""", ctes=False)
@@ -374,7 +366,7 @@ def nested_observations(m: Memory) -> DataFrame:
     o = m.raw("orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     customer = F.struct(F.lit("me").alias("link"), F.struct(F.lit("Customer").alias("kind"), F.col("o_custkey").cast("string").alias("id")).alias("e"))
     entities = F.map_from_entries(F.transform(F.concat("parts", F.array(customer)), lambda p: F.struct(p["link"].alias("key"), F.struct(
-        p["e"]["kind"].alias("kind"), p["e"]["id"].alias("id"), F.create_map(F.lit("$id"), p["e"]["id"], F.lit("$type"), p["e"]["kind"]).alias("traits")).alias("value"))))
+        p["e"]["kind"].alias("kind"), p["e"]["id"].alias("id"), F.create_map(F.lit("$type"), p["e"]["kind"]).alias("traits")).alias("value"))))
     relation = F.array(F.struct(F.lit("ordered").alias("label"), F.col("o_orderdate").alias("ts"), F.lit("me").alias("actor"), F.col("to").alias("objects"), F.lit(None).cast("map<string,string>").alias("traits")))
     return o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("label"), F.lit("me").alias("observer"), F.col("o_orderpriority").alias("source_id"),
                     F.lit(None).cast("string").alias("session_id"), (F.col("o_orderkey") % 7 != 0).alias("consent"), entities.alias("entities"), relation.alias("relation"))
@@ -387,7 +379,7 @@ def ingest_facts(m: Memory) -> DataFrame:
 
 
 @query("""SELECT entity_pk, property_name, property_value FROM (SELECT DISTINCT md5(concat('part-', l_partkey)) AS entity_pk, CAST(l_partkey AS VARCHAR) AS i, 'part' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0
- UNION SELECT md5(concat('customer-', o_custkey)), CAST(o_custkey AS VARCHAR), 'Customer' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0), LATERAL (VALUES ('$id', i), ('$type', t)) AS p(property_name, property_value)""")
+ UNION SELECT md5(concat('customer-', o_custkey)), CAST(o_custkey AS VARCHAR), 'Customer' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0), LATERAL (VALUES ('$id', i), ('$type', t), ('$pk', entity_pk)) AS p(property_name, property_value)""")
 def ingest_properties(m: Memory) -> DataFrame:
     rows = ingest.property_rows(ingest.entity_rows(ingest.admitted(nested_observations(m))))
     return ingest.property_state(rows).select("entity_pk", "property_name", "property_value").distinct()
