@@ -16,15 +16,16 @@ OBSERVATION = """id string, ts timestamp_ntz, label string, observer string, sou
  relation array<struct<label: string, ts: timestamp_ntz, actor: string, objects: array<string>, traits: map<string, string>>>"""
 
 
-def admitted(observations: DataFrame, agents: DataFrame | None = None, bots: str = r"(?i)bot|crawler|spider") -> DataFrame:
-    """Without observations that have no consent, whose source is reserved (``@``), whose observer isn't an entity, or
-    that have no id or link an entity that isn't there; and without those of automata, if ``agents`` (id, agent) tells
-    who sent them."""
+def admitted(observations: DataFrame, agents: DataFrame | None = None, bots: str = r"(?i)bot|crawler|spider", whole: bool = False) -> DataFrame:
+    """Without observations that have no consent or id, whose source is reserved (``@``), or whose observer isn't an
+    entity; if ``whole``, without those that link an entity that isn't there; and without those of automata, if
+    ``agents`` (id, agent) tells who sent them."""
     names = F.map_keys("entities")
     known = F.col("observer").isNull() | F.array_contains(names, F.col("observer"))
     asked = F.transform("relation", lambda r: F.concat(F.array(r["actor"]), F.coalesce(r["objects"], F.array().cast("array<string>"))))
     linked = F.forall(F.flatten(F.coalesce(asked, F.array().cast("array<array<string>>"))), lambda x: x.isNull() | F.array_contains(names, x))
-    out = observations.where(F.col("id").isNotNull() & F.coalesce("consent", F.lit(True)) & ~F.coalesce(F.col("source_id").startswith("@"), F.lit(False)) & F.coalesce(known, F.lit(False)) & F.coalesce(linked, F.lit(True)))
+    out = observations.where(F.col("id").isNotNull() & F.coalesce("consent", F.lit(True)) & ~F.coalesce(F.col("source_id").startswith("@"), F.lit(False)) & F.coalesce(known, F.lit(False)))
+    out = out.where(F.coalesce(linked, F.lit(True))) if whole else out
     return out if agents is None else out.join(agents.where(F.col("agent").rlike(bots)).select("id"), "id", "left_anti")
 
 
@@ -162,11 +163,14 @@ def link_rows(entities: DataFrame) -> DataFrame:
     return entities.select("entity_pk", "observation_id", "entity_type").distinct()
 
 
-def property_rows(entities: DataFrame) -> DataFrame:
-    """One row for each trait, and for the key, id and type as ``$pk``, ``$id`` and ``$type`` where they aren't traits
-    already; numbers also as decimals."""
-    own = F.map_from_arrays(F.array(F.lit("$id"), F.lit("$pk"), F.lit("$type")), F.array(F.col("entity_id"), F.col("entity_pk"), F.col("entity_type")))
-    named = F.map_filter(merged(own, F.coalesce("traits", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda k, v: v.isNotNull())
+def property_rows(entities: DataFrame, own: bool = False) -> DataFrame:
+    """One row for each trait; with ``own``, for key, id and type too, as ``$pk``, ``$id`` and ``$type``, where they aren't
+    traits already. Numbers also as decimals."""
+    named = F.col("traits")
+    if own:
+        nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        ids = F.map_from_arrays(F.array(F.lit("$id"), F.lit("$pk"), F.lit("$type")), F.array(F.col("entity_id"), F.col("entity_pk"), F.col("entity_type")))
+        named = F.map_filter(merged(ids, F.coalesce("traits", nothing)), lambda k, v: v.isNotNull())
     p = entities.select("observer_pk", "entity_pk", "entity_type", "ts", F.explode(named).alias("property_name", "property_value"))
     return p.select("*", F.col("property_value").try_cast("decimal(20,10)").alias("property_number"), property_id("observer_pk", "entity_pk", "entity_type", "property_value").alias("property_id"))
 

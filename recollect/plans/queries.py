@@ -381,5 +381,5 @@ def ingest_facts(m: Memory) -> DataFrame:
 @query("""SELECT entity_pk, property_name, property_value FROM (SELECT DISTINCT md5(concat('part-', l_partkey)) AS entity_pk, CAST(l_partkey AS VARCHAR) AS i, 'part' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0
  UNION SELECT md5(concat('customer-', o_custkey)), CAST(o_custkey AS VARCHAR), 'Customer' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0), LATERAL (VALUES ('$id', i), ('$type', t), ('$pk', entity_pk)) AS p(property_name, property_value)""")
 def ingest_properties(m: Memory) -> DataFrame:
-    rows = ingest.property_rows(ingest.entity_rows(ingest.admitted(nested_observations(m))))
+    rows = ingest.property_rows(ingest.entity_rows(ingest.admitted(nested_observations(m), whole=True)), own=True)
     return ingest.property_state(rows).select("entity_pk", "property_name", "property_value").distinct()

@@ -11,15 +11,19 @@ from ..sources.tables import append
 
 
 def start_ingest(observations: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Writes facts, links and properties of each micro-batch. A batch that runs again after a failure replaces its own
-    folders, so the tables agree with each other."""
+    """Writes the tables of each micro-batch: facts, relations as entities, links, entity versions, properties, and
+    observations with their entities. A batch that runs again after a failure replaces its own folders, so the tables
+    agree with each other; ``tables.latest`` reads the newest rows of all batches."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         kept = ingest.admitted(batch).persist()
         entities = ingest.entity_rows(kept)
-        append(ingest.fact_rows(kept), f"{folder}/facts", batch_id, month_of="ts")
-        append(ingest.link_rows(entities), f"{folder}/links", batch_id)
-        append(ingest.property_rows(entities), f"{folder}/properties", batch_id)
+        facts = ingest.fact_rows(kept)
+        append(facts, f"{folder}/facts", batch_id, month_of="ts")
+        made = {"events": ingest.event_rows(facts), "links": ingest.link_rows(entities), "history": ingest.history_rows(entities), "properties": ingest.property_rows(entities, own=True),
+                "observations": ingest.observation_rows(kept), "observation_entities": ingest.observation_entities(entities, kept)}
+        for name, rows in made.items():
+            append(rows, f"{folder}/{name}", batch_id)
         kept.unpersist()
 
     writer = observations.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

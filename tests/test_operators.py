@@ -5,9 +5,10 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from recollect.functions import identity, scalars
-from recollect.operators import ingest, reads, search
-from recollect.operators.search import Entity, Property
+from recollect.functions import identity, scalars, times
+from recollect.operators import entities as own_entities
+from recollect.operators import ingest, observations as reading, reads, search, texts
+from recollect.operators.search import And, Entity, Not, Or, Property
 from recollect.sources import tables
 from recollect.streaming import pipelines
 
@@ -31,6 +32,11 @@ def test_identity(spark):
     (lambda: scalars.pretty_seconds(F.lit(90061)), "1d 01:01:01"), (lambda: scalars.is_hex(F.lit("0fG")), False),
     (lambda: scalars.fill_template('{{a}} is {{b ! "unknown"}}', {"a": F.lit("x"), "b": F.lit(None)}), "x is unknown"),
     (lambda: scalars.traits_text(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))), '(a="1", b="2")'),
+    (lambda: scalars.fill_template('{{a ? "of %s"}}, {{b ? "%s" ! "-"}}', {"a": F.lit(3), "b": F.lit(None)}), "of 3, -"), (lambda: scalars.split_list(F.lit(" a, ,b")), ["a", "b"]),
+    (lambda: scalars.split_list(F.lit(None).cast("string")), []), (lambda: scalars.is_url(F.lit("https://a.co/x?y")), True), (lambda: scalars.is_url(F.lit("ftp://a.co")), False),
+    (lambda: scalars.camel_case(F.lit("Page_viewed now")), "pageViewedNow"), (lambda: scalars.languages(F.lit("de;q=0.5, en-US, fr;q=0.9")), ["en-us", "fr", "de"]),
+    (lambda: scalars.forwarded_ip(F.lit(" 1.2.3.4, 5.6.7.8")), "1.2.3.4"), (lambda: scalars.fact_text(F.lit("Ann"), F.lit("bought-a"), F.lit(None)), "Ann bought a."),
+    (lambda: scalars.email_domain(F.lit("x@Mail.org")), "mail.org"), (lambda: scalars.try_json(F.lit("{")).isNull(), True),
     (lambda: scalars.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))), None)])
 def test_scalars(spark, column, value):
     assert one(spark, column()) == value
@@ -69,7 +75,27 @@ def test_search_vectors(spark, memory):
     vectors = spark.createDataFrame([("Rome", [1.0, 0.0]), ("Paris", [0.6, 0.8])], "value string, vector array<double>")
     near = Entity("person", (Property("city", "", vector=(1.0, 0.1)),))
     assert ids(search.qualifying(state, links, [near], vectors=vectors)) == ["o1", "o2"]
-    assert ids(search.qualifying(state, links, [near])) == []  # without vectors nothing is near
+    with pytest.raises(ValueError):  # without vectors no group is left
+        search.qualifying(state, links, [near])
+    named = Entity("person", (Property("name", "alice"), Property("city", "", vector=(1.0, 0.1))))
+    assert ids(search.qualifying(state, links, [named])) == ["o1", "o2"]  # nor is the nearness required
+    asked = search.with_vectors([Entity("person", (Property("city", "Rome", vector=()),))], lambda texts: [[1.0, 0.0] for _ in texts])
+    assert ids(search.qualifying(state, links, asked, vectors=vectors)) == ["o1", "o2"]
+
+
+def test_search_trees(spark, memory):
+    state, links = memory
+    rome, place, nowhere = Entity("person", (Property("city", "rome"),)), Entity("place"), Entity("person", (Property("city", "Oslo"),))
+    every = links.select("observation_id")
+
+    def found(tree):
+        return ids(search.matching(state, links, tree, every))
+
+    assert found(And((rome, place))) == ["o2"] and found(Or((rome, place))) == ["o1", "o2", "o3"]
+    assert found(And((place, Not(rome)))) == ["o3"] and found(Not(And((rome, place)))) == ["o1", "o3"]
+    assert found(And((Or((nowhere, rome)), Not(Not(place))))) == ["o2"] and found(Not(Or((rome, place)))) == []
+    assert search.flattened(And((rome, And((place, Or((nowhere,))))))) == And((rome, place, nowhere))
+    assert search.leaves(And((rome, Not(place)))) == [rome]
 
 
 def observations(spark, rows):
@@ -114,3 +140,67 @@ def test_ingest_stream(spark, tmp_path):
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/facts")).count() == 6
     assert spark.read.parquet(str(tmp_path / "out/links")).count() == 4
+
+
+def test_sessions_and_counts_stream(spark, tmp_path):
+    schema = "obs_id string, ts timestamp, entity_pk string, property_name string, property_value string"
+    facts = spark.createDataFrame([("o", datetime(2024, 1, 1, 10, 0), "p", "n", "v"), ("o", datetime(2024, 1, 1, 10, 30), "p", "n", "v"), ("o", datetime(2024, 1, 1, 12, 0), "p", "n", "w")], schema)
+    facts.write.json(str(tmp_path / "in"))
+    for name, made in (("ended", pipelines.ended_sessions), ("counts", pipelines.property_counts)):
+        q = made(tables.json_stream(spark, str(tmp_path / "in"), schema)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert sorted((r["since"], r["till"], r["facts"]) for r in spark.table("ended").collect()) == [(datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 11, 30), 2), (datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 13), 1)]
+    assert sorted((r["property_value"], r["n"]) for r in spark.table("counts").collect()) == [("v", 2), ("w", 1)]
+
+
+def test_merge_keeps_traits(spark):
+    def person(day, traits, label):
+        return ("a", datetime(2024, 1, day), label, "me", "s", "x", None, {"me": {"kind": "Person", "id": "1", "traits": traits}}, [])
+
+    a, b, c = person(1, {"x": "1", "y": "1"}, "one"), person(2, {"y": "2"}, "two"), ("a", datetime(2024, 1, 2), "three", "me", "s", "x", None, {"it": {"kind": "thing", "id": "9", "traits": None}}, [])
+    found = [ingest.merge_observations(observations(spark, rows)).collect() for rows in ([a, b, c], [c, b, a])]
+    assert found[0] == found[1] and len(found[0]) == 1
+    m = found[0][0]
+    assert m["entities"]["me"]["traits"] == {"x": "1", "y": "2"} and m["entities"]["it"]["id"] == "9" and m["ts"] == datetime(2024, 1, 2)
+
+
+def test_admission(spark):
+    o = observations(spark, [obs("a", 1, "x"), obs("b", 2, "y"), obs(None, 3, "z")])
+    assert ingest.admitted(o, whole=True).count() == 0  # all link an entity that isn't there
+    agents = spark.createDataFrame([("a", "GoogleBot/2"), ("b", "Firefox")], "id string, agent string")
+    assert [r["id"] for r in ingest.admitted(o, agents).collect()] == ["b"]
+    sources = spark.createDataFrame([("s", True), ("t", False)], "source_id string, enabled boolean")
+    assert ingest.of_known_sources(o, sources).count() == 3 and ingest.of_known_sources(o, sources.where("not enabled")).count() == 0
+    wiped = ingest.without_traits(o, spark.createDataFrame([("person", "1")], "kind string, id string")).where("id = 'a'").first()
+    assert wiped["entities"]["me"]["traits"] == {} and wiped["entities"]["me"]["id"] == "1" and wiped["entities"]["it"]["traits"] is None
+    slots = {r["session_id"] for r in ingest.with_sessions(o).collect()}
+    assert len(slots) == 3 and None not in slots
+    linked = o.withColumn("relation", F.transform("relation", lambda r: r.withField("traits", F.create_map(F.lit("a"), F.lit("$(me).name"), F.lit("b"), F.lit("$(no).x"), F.lit("c"), F.lit("plain")))))
+    assert ingest.resolved_references(linked).where("id = 'a'").first()["relation"][0]["traits"] == {"a": "x", "b": "$(no).x", "c": "plain"}
+    own = {r["property_name"] for r in ingest.property_rows(ingest.entity_rows(o), own=True).collect()}
+    assert own == {"name", "age", "$id", "$pk", "$type"}
+
+
+def test_spans_of_time():
+    now = datetime(2024, 3, 1)
+    assert times.span(None, None, now) == (datetime(1970, 1, 1), now)
+    assert times.span((-1, "month"), (-1, "day"), now) == (datetime(2024, 1, 30), datetime(2024, 2, 29))
+    assert times.delta(1, "year").days == 356 and times.parse_delta("-5 m").total_seconds() == -300 and times.parse_delta("2 weeks").days == 14
+    for wrong in (lambda: times.span(now, (-1, "day"), now), lambda: times.delta(1, "eon")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_texts_and_references(spark):
+    t = spark.createDataFrame([("a", "one two three four five six seven"), ("b", "x y"), ("c", None)], "id string, text_string string")
+    assert sorted((r["place"], r["text_string"]) for r in texts.chunks(t, 3, 1).collect()) == [(0, "one two three"), (1, "three four five"), (2, "five six seven")]
+    got = texts.embedded(t.where("text_string is not null"), lambda many: [[float(len(x))] for x in many]).collect()
+    assert {r["id"]: r["vector"] for r in got} == {"a": [33.0], "b": [3.0]}
+    assert texts.bm25(t, "").count() == 0
+    mails = spark.createDataFrame([("a@gmail.com",), ("b@x.org",), (None,)], "mail string")
+    free = spark.createDataFrame([("GMail.com",), ("gmail.com",)], "domain string")
+    assert {r["mail"]: r["free"] for r in scalars.in_reference(mails, scalars.email_domain("mail"), free, "free").collect()} == {"a@gmail.com": True, "b@x.org": False, None: False}
+    assert own_entities.paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, parent_id int, name string")).count() == 0
+    o = spark.createDataFrame([("o1", 1)], "id string, ts int")
+    none = spark.createDataFrame([], "observation_id string, entity_pk string, entity_type string, traits map<string,string>, state_ts long")
+    assert reading.nested(o, none).first()["entities"] == []
