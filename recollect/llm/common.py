@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,10 +16,14 @@ SLICE = 256
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``. Where none
+    is set, a temporary one in local mode, in which all tasks are on this machine; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="recollect-")
+        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
