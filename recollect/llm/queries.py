@@ -15,7 +15,7 @@ from .licences import scan
 from .mixing import mix_plan
 from .neighbours import nearest
 from .packing import pack
-from .quality import judge
+from .quality import base_failed, judge, text_statistics
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -82,6 +82,24 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("capture.page_id", size.alias("payload_bytes"), "capture.payload_digest", F.col("capture.type").alias("record_type"), "capture.refers_to")
 
 
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 finds without its method, which SQL can express."""
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 finds without its method, which SQL can express."""
+    stats = text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op5, and what its mix takes of each source as a whole, which SQL can express."""
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    found = plan.groupBy("source").agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("t"), F.sum("taken").alias("taken"))
+    return found.select("source", "size", "source_size", F.round("t", 6).alias("target"), (F.abs(F.col("taken") - F.col("t")) <= 2).alias("met"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
     "op2_simhash_bk_trees": op2_simhash_bk_trees,
@@ -93,9 +111,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours_projected_tree": op8_neighbours_projected_tree,
     "op9_quality_mcd": op9_quality_mcd,
     "op10_warc_transactions": op10_warc_transactions,
+    "licence_phrases": licence_phrases,
+    "quality_statistics": quality_statistics,
+    "mix_targets": mix_targets,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "licence_phrases": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ f AS (SELECT doc_id, len(w) AS n, list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS m, list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS a,
+  list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS g FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(m) + len(a) + len(g) AS BIGINT) AS n_base, list_min(m || a || g) AS first_word, list_max(m || a || g) AS last_word,
+ concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM f""",
+    "quality_statistics": r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ p AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+ h AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+ c AS (SELECT k, count(DISTINCT i + j) AS n FROM h, (VALUES (0), (1), (2)) AS x(j) WHERE n > 1 GROUP BY k),
+ s AS (SELECT d.*, coalesce(c.n, 0) AS rep, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d LEFT JOIN c USING (k))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * rep > 50 * len(w) AS base_failed FROM s""",
+    "mix_targets": r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+ n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
+ w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][number % 3 + 1] AS weight, 2.0::DOUBLE * size AS cap FROM n),
+ r AS (SELECT *, cap / weight AS ratio FROM w),
+ q AS (SELECT *, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS rate FROM r
+  WINDOW b AS (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT rate FROM q WHERE rate <= ratio ORDER BY ratio, number LIMIT 1)
+SELECT source, size, size AS source_size, round(least(cap, coalesce((SELECT rate FROM f) * weight, cap)), 6) AS target, true AS met FROM q""",
     "op4_substring_doubling": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
  p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
  h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),

@@ -672,7 +672,7 @@ def test_pipeline(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_substring_doubling", "op7_chat_round_trip", "op10_warc_transactions"])
+@pytest.mark.parametrize("name", ["op4_substring_doubling", "op7_chat_round_trip", "op10_warc_transactions", "licence_phrases", "quality_statistics", "mix_targets"])
 def test_query_against_sql(spark, name):
     import duckdb
     from recollect.llm.queries import ORACLE_SQL, QUERIES
