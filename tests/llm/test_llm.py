@@ -672,6 +672,17 @@ def test_pipeline(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, documents, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.select(*corpus_pipeline.COLUMNS), "").count() == 0, name
+    odd = documents.select(*corpus_pipeline.COLUMNS)  # null, blank, repeated and very long texts, null ids and sources
+    for name, stage in (s for s in corpus_pipeline.STAGES if s[0] != "SimHash near-dedup"):  # test_near_dedup has that
+        found = stage(spark, odd, "")
+        assert found.count() > 0 and (name == "packing" or found.columns == list(corpus_pipeline.COLUMNS)), name
+
+
 @pytest.mark.parametrize("name", ["op4_substring_doubling", "op7_chat_round_trip", "op10_warc_transactions", "licence_phrases", "quality_statistics", "mix_targets"])
 def test_query_against_sql(spark, name):
     import duckdb
