@@ -268,7 +268,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 out: list[tuple[int, int, float]] = []
                 for j, query in enumerate(query_ids):
                     best = [(float(np.dot(q[j], x[p])), p) for p in found[j].tolist() if p >= 0]
-                    every = sorted(((-s, v) for s, p in best for v in ids[p] if v != query))
+                    every = sorted(((-s, v) for s, p in best for v in ids[p] if v != query and s >= reached[j]))
                     out += [(query, v, -s) for s, v in every[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "vec_id", "score"])
 
