@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import entities, ingest, observations, reads, search, texts
+from ..functions import filters, scalars
+from ..operators import conversations, entities, ingest, observations, reads, search, texts
 from ..operators.search import And, Entity, Not, Or, Property
 from .memory import Memory
 from .queries import BRAND, BUILDING, NEAR, STATE, VERSIONED, nested_observations, pks, query, vector
@@ -334,3 +334,19 @@ def scalar_names(m: Memory) -> DataFrame:
     c = m.raw("customer")
     text = scalars.fill_template('{{seg ? "seg of %s"}}, {{none}}', {"seg": F.col("c_mktsegment")})
     return c.select("c_custkey", scalars.camel_case("c_name").alias("camel"), scalars.is_url("c_name").alias("url"), text.alias("text"))
+
+
+@query("""WITH s AS (SELECT conv_id, 0 AS till, concat('sum ', conv_id) AS summary FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 0),
+ n AS (SELECT c.conv_id, count(*) AS turns, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS said FROM conversations c LEFT JOIN s USING (conv_id) WHERE till IS NULL OR turn > till GROUP BY c.conv_id)
+ SELECT conv_id, coalesce(turns, 0) AS turns, md5(concat_ws(chr(10), summary, said)) AS memory, CAST(length(concat_ws(chr(10), summary, said)) AS BIGINT) AS chars, length(concat_ws(chr(10), summary, said)) > 300 AS compress
+ FROM s FULL JOIN n USING (conv_id)""", ctes=False)
+def conversation_memories(m: Memory) -> DataFrame:
+    c = m.raw("conversations")
+    s = c.where("conv_id % 2 = 0").select("conv_id", F.lit(0).cast("long").alias("turn"), F.concat(F.lit("sum "), "conv_id").alias("summary")).distinct()
+    return conversations.memories(c, s, "conv_id", "turn", "text", most=300).select("conv_id", "turns", F.md5("memory").alias("memory"), "chars", "compress")
+
+
+@query("SELECT event_id FROM events WHERE event_type IS NOT NULL AND (user_id IN (1, 2, 3) OR event_type <> 'click')", ctes=False)
+def filtered_events(m: Memory) -> DataFrame:
+    kind, user = F.col("event_type"), F.col("user_id")
+    return m.raw("events").where(filters.equals(kind, "*") & (filters.equals(user, [1, 2, 3]) | filters.differs(kind, "click"))).select("event_id")

@@ -48,3 +48,29 @@ def table_counts(spark: SparkSession, folder: str, names: list[str]) -> DataFram
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def create_table(spark: SparkSession, name: str, schema: str, partitioned_by: tuple[str, ...] = (), clustered_by: tuple[str, ...] = (), buckets: int = 64) -> None:
+    """A Parquet table of the catalog, by month or tenant folders and in buckets of its key if asked for, so that joins on
+    the key need no shuffle."""
+    text = f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet"
+    text += f" PARTITIONED BY ({', '.join(partitioned_by)})" if partitioned_by else ""
+    text += f" CLUSTERED BY ({', '.join(clustered_by)}) SORTED BY ({', '.join(clustered_by)}) INTO {buckets} BUCKETS" if clustered_by else ""
+    spark.sql(text)
+
+
+def catalog(spark: SparkSession, database: str = "default") -> DataFrame:
+    """(table, column, type) of the tables of a database; metadata only."""
+    found = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) if not t.isTemporary for c in spark.catalog.listColumns(f"{database}.{t.name}")]
+    return spark.createDataFrame(found, "table string, column string, type string")
+
+
+def back_up(payloads: DataFrame, path: str, batch_id: int) -> None:
+    """Raw payloads (id, ts, and whatever came with them) as they came, by month and batch."""
+    append(payloads, path, batch_id, month_of="ts")
+
+
+def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None):
+    """Rows of a stream as JSON messages of a topic, keyed by a column if asked for; needs Spark's Kafka package."""
+    out = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct(*df.columns)).alias("value"))
+    return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()

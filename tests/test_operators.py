@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from recollect.functions import identity, scalars, times
+from recollect.functions import filters, identity, scalars, times
 from recollect.operators import entities as own_entities
 from recollect.operators import ingest, observations as reading, reads, search, texts
 from recollect.operators.search import And, Entity, Not, Or, Property
@@ -204,3 +204,30 @@ def test_texts_and_references(spark):
     o = spark.createDataFrame([("o1", 1)], "id string, ts int")
     none = spark.createDataFrame([], "observation_id string, entity_pk string, entity_type string, traits map<string,string>, state_ts long")
     assert reading.nested(o, none).first()["entities"] == []
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(1, "a", ("x", (2,))), (2, None, (None, None)), (3, "b", None)], "k int, v string, s struct<p: string, q: struct<r: int>>")
+
+    def kept(condition):
+        return [r["k"] for r in df.where(condition).orderBy("k").collect()]
+
+    v = F.col("v")
+    assert kept(filters.equals(v, None)) == [2] and kept(filters.equals(v, "*")) == kept(filters.equals(v, "None")) == [1, 3]
+    assert kept(filters.equals(v, ["a"])) == kept(filters.equals(v, "a")) == [1] and kept(filters.differs(v, "a")) == kept(filters.differs(v, ["a"])) == [3] and kept(filters.differs(v, None)) == [1, 3]
+    flat = filters.flattened(df)
+    assert flat.columns == ["k", "v", "s.p", "s.q.r"] and [r[3] for r in flat.orderBy("k").collect()] == [2, None, None]
+
+
+def test_catalog_and_backup(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS memory_test LOCATION '{tmp_path}/db'")
+    tables.create_table(spark, "memory_test.links", "entity_pk string, observation_id string, month string", ("month",), ("entity_pk",), 2)
+    assert {(r["table"], r["column"]) for r in tables.catalog(spark, "memory_test").collect()} == {("links", c) for c in ("entity_pk", "observation_id", "month")}
+    raw = spark.createDataFrame([("1", datetime(2024, 1, 5), "{}")], "id string, ts timestamp, payload string")
+    for _ in range(2):  # a batch that runs again replaces itself
+        tables.back_up(raw, str(tmp_path / "raw"), 7)
+    assert [(r["id"], str(r["month"])) for r in spark.read.parquet(str(tmp_path / "raw")).collect()] == [("1", "2024-01")]
+    assert {r["name"]: r["rows"] for r in tables.table_counts(spark, "/root/testdata/sf0.001", ["region", "nation"]).collect()} == {"region": 5, "nation": 25}
+    flat = tables.project(raw, {"id": "key", "payload": "body"}, ("key",))
+    assert flat.columns == ["key", "body"] and flat.count() == 1
+    spark.sql("DROP DATABASE memory_test CASCADE")
