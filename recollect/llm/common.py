@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, so that the table can be discarded."""
+    path = store(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ``store`` once all that is made from it is stored."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,10 +83,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = store(df, name)
-        return spark.read.schema(df.schema).parquet(path), path
-
     e, path = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = state(e)
     while before[0]:

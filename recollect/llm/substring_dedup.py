@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, words_of
+from .common import discard, kept, slices, stored, words_of
 
 #: An odd multiplier of polynomial hashes modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -106,13 +106,15 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["doc_id", "text_hash", "anchor", "span1", "span2", "lo", "hi"])
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    places = stored(slim.mapInArrow(first_level, "doc_id long, text_hash long, anchor long, span1 long, span2 long, lo long, hi long")
+    places, anchors_path = kept(slim.mapInArrow(first_level, "doc_id long, text_hash long, anchor long, span1 long, span2 long, lo long, hi long")
                     .select("doc_id", "text_hash", "anchor", "span1", "span2", F.col("lo").cast("int"), F.col("hi").cast("int")), "anchors")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = stored(shared, "shared-anchors")  # so that both sides of the join are scans, and Spark can split a hot anchor
-    places = stored(places.join(shared, "anchor").drop("anchor"), "shared")
-    earliest = stored(places.groupBy("span1", "span2").agg(F.min("doc_id").alias("low")), "earliest")
+    shared, own_path = kept(shared, "shared-anchors")  # so that both sides of the join are scans, and Spark can split a hot anchor
+    places, shared_path = kept(places.join(shared, "anchor").drop("anchor"), "shared")
+    earliest, earliest_path = kept(places.groupBy("span1", "span2").agg(F.min("doc_id").alias("low")), "earliest")
     places = stored(places.join(earliest, ["span1", "span2"]).select("doc_id", "text_hash", "lo", "hi", (F.col("low") < F.col("doc_id")).alias("settled")), "spans")
+    for path in (anchors_path, own_path, shared_path, earliest_path):
+        discard(docs.sparkSession, path)
 
     def third_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
