@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_words_of, slices, store, stored
+from .common import discard, lower_words_of, slices, store, stored, temporary
 
 #: The end token's number; words are known by their 64-bit hashes, and none is empty.
 END = -1
@@ -368,6 +368,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole. Repeated rows each get their score and count as often in training; an empty table gives no rows. Other
     columns are ignored.
     """
+    with temporary(docs.sparkSession):
+        return scored(docs, id_col, text_col)
+
+
+def scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``score``; of its tables only the scores of the head's words and the sums for other words stay."""
     spark = docs.sparkSession
     rows = stored(encoded(docs, id_col, text_col), "words")
     training = rows.where("not held_out")
@@ -413,10 +419,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[4])), *empty, *sides_arrays(found, times)], names=names)
 
     schema = f"uid long, doc_id long, held_out boolean, n_tokens long, known long, steps double, base double, {BIGRAM}"
-    scored = stored(rows.mapInArrow(local, schema), "scores")
+    scores = stored(rows.mapInArrow(local, schema), "scores", keep=True)
     step = spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(transition) for j, x in enumerate(row)], "ca int, cb int, step double")
     emission = spark.createDataFrame(list(enumerate(within.tolist())), "cb int, within double")
-    more = resolved(scored.where("times is not null"), classes, ["uid"]).join(F.broadcast(step), ["ca", "cb"]).join(F.broadcast(emission), "cb")
+    more = resolved(scores.where("times is not null"), classes, ["uid"]).join(F.broadcast(step), ["ca", "cb"]).join(F.broadcast(emission), "cb")
     times, seen = F.col("times"), F.col("outside") & F.col("n").isNotNull()
     more = more.groupBy("uid").agg(
         F.sum(times * F.col("step")).alias("more_steps"), F.coalesce(F.sum(F.when(seen, times)), F.lit(0)).alias("more_known"),
@@ -425,7 +431,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def more_of(name: str) -> Column:
         return F.coalesce(name, F.lit(0))
 
-    out = scored.where("times is null").join(more, "uid", "left").select(
+    more = stored(more, "other-words", keep=True)
+    out = scores.where("times is null").join(more, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") - (0 if ends else 1) + more_of("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more_of("more_base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
         (F.col("steps") + more_of("more_steps") + more_of("more_emitted")).alias("score"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +28,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def store(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet in the shared folder; its path."""
+#: Paths of the tables that each open ``temporary`` block will delete.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within the block are deleted at its end, but for those stored to be kept. What is returned from the
+    block must rest on kept tables alone."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            discard(spark, path)
+
+
+def store(df: DataFrame, name: str, keep: bool = False) -> str:
+    """Write ``df`` as Parquet in the shared folder; its path. To be kept means by the block around, not by those further out."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: it cuts lineage and survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
-
-
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``stored``, with the path, so that the table can be discarded."""
     path = store(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: it cuts lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name, keep))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of ``store`` once all that is made from it is stored."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

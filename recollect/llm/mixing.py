@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, temporary
 
 SEED = 20240229
 #: Words of a block and of an output shard, about; blocks of a group whose sums are taken together.
@@ -125,7 +125,14 @@ def permuted_blocks(docs: DataFrame) -> DataFrame:
 
 def draw_blocks(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, shard_words: int, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Totals a source, and one row a block: for each pass the words to take, the output shard, and within a block
-    that is taken in part, the place where it ends.
+    that is taken in part, the place where it ends. Both are stored, and the tables they are made from deleted."""
+    with temporary(sized.sparkSession):
+        totals, plan = drawn_blocks(sized, weights, share, most, shard_words, block_words)
+        return stored(totals, "targets", keep=True), stored(plan, "plan", keep=True)
+
+
+def drawn_blocks(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, shard_words: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """As ``draw_blocks``, from tables still there.
 
     A source's quota is the number of block draws that fill its target. The tree splits the quotas among the output
     shards, and each shard draws as many of the permuted blocks as its leaf says, those that follow the leaves before.
@@ -153,7 +160,7 @@ def draw_blocks(sized: DataFrame, weights: tuple[int, ...], share: float, most:
     same = same.select(F.col("s").alias("number"), F.col("b").alias("block"), "pass", F.col("place").alias("last"), "left", F.col("size").alias("last_size"))
     draws = draws.join(same, ["number", "block", "pass"], "left")
     plan = draws.groupBy("number", "block").agg(*[F.max(F.when(F.col("pass") == p, F.struct("take", "words", "shard", "last", "left", "last_size"))).alias(f"pass{p}") for p in PASSES])
-    return totals, stored(plan, "plan")
+    return totals, plan
 
 
 def with_draws(rows: DataFrame, totals: DataFrame, plan: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, lower_words_of, slices, store, stored
+from .common import connected_components, discard, lower_words_of, slices, store, stored, temporary
 from .simhash import SEED, SHARD, BKTree
 
 #: Families of 64-bit fingerprints; the first SKETCH of them are the sketch whose distances are taken.
@@ -330,24 +330,10 @@ def missed_links(members: DataFrame, texts: DataFrame, width: int, similarity: f
     return links
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, key_bits: int = KEY_BITS) -> DataFrame:
-    """(doc_id, component_id): documents linked where the sets of their word shingles are similar by ``similarity``.
-
-    Candidates share a key of SimHash bits and are within the radius by BK-trees of their bucket; each link is then
-    checked exactly on whole texts. Keys are searched in rounds, and pairs that confirmed links already join are not
-    candidates of later rounds. A round checks a spanning forest of each bucket's candidates, so all candidates lie
-    within components of the links it checked; components that confirmed links don't join whole are compared in full
-    at the end, until each pair within the radius is checked or joined. Equal fingerprints are one node, so copies are
-    not compared. component_id is the smallest doc_id reachable. Null, empty and blank texts are linked with each other. Repeated rows each give a row;
-    a null doc_id has its component's smallest known id (null if there is none). Other columns are ignored. ``docs``
-    is read once a round, so it should be a table rather than a long computation.
-    """
-    found = stored(sketches(docs, id_col, text_col, width, key_bits).select(
-        "doc_id", "sketch", "keys", F.xxhash64("text").alias("text_hash"),
-        F.when(F.col("sketch").isNull(), 0).otherwise(F.xxhash64("sketch", "keys")).alias("node")), "sketches")
-    nodes = stored(found.groupBy("node").agg(*(F.min(c).alias(n) for c, n in (("doc_id", "low"), ("sketch", "sketch"), ("keys", "keys"), ("text_hash", "text_hash")))), "nodes")
-    with_words, texts = nodes.where("sketch is not null"), docs.select(docs[text_col].cast("string").alias("text"))
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+def linked(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, key_bits: int) -> DataFrame:
+    """(node, root) of all nodes (node, sketch, keys, text_hash) that are linked with another; texts (text) has their texts."""
+    with_words = nodes.where("sketch is not null")
+    roots = nodes.sparkSession.createDataFrame([], "node long, root long")
     bands, checked = FAMILIES * 64 // key_bits, []
     for k in range(ROUNDS):
         first, end = bands * k // ROUNDS, bands * (k + 1) // ROUNDS
@@ -367,10 +353,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             members = stored(within.join(small(open_), "component", "left_semi").join(nodes.select("node", "sketch"), "node"), "members")
             missed = missed_links(members, texts_of(members.select("node"), nodes, texts), width, similarity)
             roots = stored(connected_components(missed.unionByName(roots.toDF("a", "b"))), "roots")
+    return roots
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, key_bits: int = KEY_BITS) -> DataFrame:
+    """(doc_id, component_id): documents linked where the sets of their word shingles are similar by ``similarity``.
+
+    Candidates share a key of SimHash bits and are within the radius by BK-trees of their bucket; each link is then
+    checked exactly on whole texts. Keys are searched in rounds, and pairs that confirmed links already join are not
+    candidates of later rounds. A round checks a spanning forest of each bucket's candidates, so all candidates lie
+    within components of the links it checked; components that confirmed links don't join whole are compared in full
+    at the end, until each pair within the radius is checked or joined. Equal fingerprints are one node, so copies are
+    not compared. component_id is the smallest doc_id reachable. Null, empty and blank texts are linked with each other. Repeated rows each give a row;
+    a null doc_id has its component's smallest known id (null if there is none). Other columns are ignored. ``docs``
+    is read once a round, so it should be a table rather than a long computation.
+    """
+    found = stored(sketches(docs, id_col, text_col, width, key_bits).select(
+        "doc_id", "sketch", "keys", F.xxhash64("text").alias("text_hash"),
+        F.when(F.col("sketch").isNull(), 0).otherwise(F.xxhash64("sketch", "keys")).alias("node")), "sketches")
+    nodes = stored(found.groupBy("node").agg(*(F.min(c).alias(n) for c, n in (("doc_id", "low"), ("sketch", "sketch"), ("keys", "keys"), ("text_hash", "text_hash")))), "nodes")
+    with temporary(docs.sparkSession):
+        roots = stored(linked(nodes, docs.select(docs[text_col].cast("string").alias("text")), width, similarity, key_bits), "roots", keep=True)
     member = nodes.select("node", "low").join(roots, "node")
     reach = member.groupBy("root").agg(F.min("low").alias("reach"))
-    linked = member.join(reach, "root").select("node", "reach")
-    known = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("reach", "low").alias("component_id"))
+    reached = member.join(reach, "root").select("node", "reach")
+    known = nodes.select("node", "low").join(reached, "node", "left").select("node", F.coalesce("reach", "low").alias("component_id"))
     return found.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, temporary
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Up to so many repeated windows, positions are found by looking each up; beyond, by sorting. Both are exact.
@@ -158,6 +158,12 @@ def quantile(c: Column, p: float) -> Column:
 
 
 def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """``least_determinants``, of whose tables only the last one stays."""
+    with temporary(stats.sparkSession):
+        return stored(least_determinants(stats, by), "scaled", keep=True)
+
+
+def least_determinants(stats: DataFrame, by: tuple[str, str]) -> DataFrame:
     """One row a group: medians and median deviations, in whose units the centre, the inverse Cholesky factor of the
     covariance and the determinant's logarithm are, and the scale of squared distances.
 
@@ -210,7 +216,7 @@ def estimates(stats: DataFrame, by: tuple[str, str] = ("lang", "source")) -> Dat
     params = params.groupBy("pool").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("best")).select("pool", "best.*")
     near = rows.join(params, "pool").withColumn("distance", squared_distance([f"z{i}" for i in d]))
     scale = near.groupBy("pool").agg((F.greatest(quantile(F.col("distance"), 0.5), F.lit(MEDIAN_5)) / MEDIAN_5).alias("scale"))
-    return stored(levels.join(units.drop("n").join(params, "pool").join(scale, "pool"), "pool").drop("pool"), "scaled")
+    return levels.join(units.drop("n").join(params, "pool").join(scale, "pool"), "pool").drop("pool")
 
 
 def outliers(stats: DataFrame, params: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lower_words_of, slices, stored
+from .common import connected_components, lower_words_of, slices, stored, temporary
 
 SEED = 42
 #: Fingerprints of a shard's tree, about: a bucket with more is split among trees.
@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     lowest = stored(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    links = near_links(lowest, radius, blocks or blocks_for(lowest.count(), radius))
-    roots = connected_components(links)
+    with temporary(docs.sparkSession):
+        links = near_links(lowest, radius, blocks or blocks_for(lowest.count(), radius))
+        roots = stored(connected_components(links), "roots", keep=True)
     member = lowest.join(roots.withColumnRenamed("node", "fp"), "fp")
     reach = member.groupBy("root").agg(F.min("low").alias("reach"))
     linked = member.join(reach, "root").select("fp", "reach")
