@@ -21,7 +21,7 @@ CORE, HEAD = 1024, 1_000_000
 #: Classes of words. Their numbers are followed by that of the end and that of words not seen in training.
 CLASSES = 64
 #: Numbers held by a task before they are added up and passed on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Sweeps over the words outside the core end when so small a share of them moves, or when they gain no likelihood.
 FEW = 0.005
 
