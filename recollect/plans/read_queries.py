@@ -210,7 +210,7 @@ def hybrid_search(m: Memory) -> DataFrame:
 
 @query("""WITH u AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT vec_id AS c, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 8),
  s AS (SELECT id, concat('class', c) AS class, list_cosine_similarity(u.v, p.v) AS score FROM u, p)
- SELECT id, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, class) AS rank, class, round(score, 6) AS score FROM s QUALIFY rank <= 3""", ctes=False)
+ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, class) AS INTEGER) AS rank, class, round(score, 6) AS score FROM s QUALIFY rank <= 3""", ctes=False)
 def classified_vectors(m: Memory) -> DataFrame:
     classes = m.raw("embeddings").where("vec_id < 8").select(F.concat(F.lit("class"), "vec_id").alias("class"), F.col("embedding").alias("prototype"))
     return texts.classified(embedded_texts(m), classes, 3).withColumn("score", F.round("score", 6))
@@ -301,7 +301,7 @@ def merged_observations(m: Memory) -> DataFrame:
     return found.where("label = 'new'").select("id", "source_id", "consent", F.size("relation").alias("relations"), F.array_join(F.array_sort(each), " ").alias("parts"))
 
 
-@query("SELECT n_nationkey AS id, 1 AS depth, concat(r_name, '/', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 1000 + r_regionkey, 0, r_name FROM region", ctes=False)
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 1 AS depth, concat(r_name, '/', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 1000 + r_regionkey, 0, r_name FROM region", ctes=False)
 def taxonomy_paths(m: Memory) -> DataFrame:
     tree = m.raw("region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("name"))
     return entities.paths(tree.unionByName(m.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name"))))
