@@ -11,11 +11,14 @@ from . import warc
 from .chat import format_conversations, read_back
 from .class_lm import score
 from .common import table
+from .divergence import audit
+from .language import identify
 from .licences import scan
 from .mixing import mix_plan
 from .neighbours import nearest
 from .packing import pack
 from .quality import base_failed, judge, text_statistics
+from .repair import damage, summaries
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -82,6 +85,22 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("capture.page_id", size.alias("payload_bytes"), "capture.payload_digest", F.col("capture.type").alias("record_type"), "capture.refers_to")
 
 
+def op11_repair_ranked_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    return summaries(damage(turns), conversations=turns)
+
+
+def op12_divergence_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of all pairs of sources, and each source's dearest terms."""
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_language_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those not held out."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op6 finds without its method, which SQL can express."""
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -111,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours_projected_tree": op8_neighbours_projected_tree,
     "op9_quality_mcd": op9_quality_mcd,
     "op10_warc_transactions": op10_warc_transactions,
+    "op11_repair_ranked_edits": op11_repair_ranked_edits,
+    "op12_divergence_supports": op12_divergence_supports,
+    "op13_language_dictionaries": op13_language_dictionaries,
     "licence_phrases": licence_phrases,
     "quality_statistics": quality_statistics,
     "mix_targets": mix_targets,
@@ -160,4 +182,44 @@ FROM e GROUP BY conv_id""",
  o AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS owner FROM p)
 SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN page_id <> owner THEN owner END AS refers_to FROM o""",
+    "op11_repair_ranked_edits": r"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+ src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+ coded AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(k, lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS code FROM src, tab),
+ dam AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded JOIN (VALUES (0), (1)) AS c(copy) ON copy = 0 OR code = 3 WHERE code <> 0),
+ ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS i FROM dam),
+ flt AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM ord),
+ nxt(state, ini, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ run(state, run, after) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+ mac AS (SELECT state, repeat('I', run) || 'D' AS code, 5 * run + 2 AS cost, NULL AS ini, after FROM run
+  UNION ALL SELECT r.state, repeat('I', run) || 'K', 5 * run, ini, n.after FROM run r JOIN nxt n ON n.state = r.after
+  UNION ALL SELECT r.state, repeat('I', run) || 'R', 5 * run + 1, NULL, n.after FROM run r JOIN nxt n ON n.state = r.after WHERE ini <> 's'),
+ dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': 0, 'audit': ''} AS best FROM conversations
+  UNION ALL SELECT d.conv_id, f.i, m.after, min({'cost': d.best.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.code NOT LIKE '%D' THEN 5 ELSE 0 END, 'audit': d.best.audit || m.code})
+   FROM dp d JOIN flt f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1 JOIN mac m ON m.state = d.state AND (m.ini IS NULL OR m.ini = left(f.role, 1)) AND (f.fault NOT IN ('blank', 'duplicate') OR m.code LIKE '%D')
+   GROUP BY d.conv_id, f.i, m.after),
+ res AS (SELECT conv_id, min({'cost': best.cost + 5 * n, 'audit': best.audit || repeat('I', n)}) AS best FROM dp JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 0)) AS e(state, n) USING (state)
+  WHERE i = (SELECT count(*) FROM ord WHERE ord.conv_id IS NOT DISTINCT FROM dp.conv_id) GROUP BY conv_id),
+ let AS (SELECT conv_id, pos, substr(best.audit, pos, 1) AS edit FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS pos FROM res)),
+ num AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS j FROM let WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+ fin AS (SELECT n.conv_id, n.pos, n.j, n.edit, CASE WHEN n.edit <> 'I' THEN o.role END AS role, CASE WHEN n.edit = 'I' THEN '' ELSE o.text END AS text,
+   max(CASE WHEN n.j = 1 AND n.edit = 'K' AND o.role LIKE 's%' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS s
+  FROM num n LEFT JOIN ord o ON o.conv_id IS NOT DISTINCT FROM n.conv_id AND o.i = n.i AND n.edit <> 'I' WHERE n.edit <> 'D'),
+ dig AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos)) AS h FROM fin GROUP BY conv_id),
+ sta AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM res r LEFT JOIN sta s ON s.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN dig d ON d.conv_id IS NOT DISTINCT FROM r.conv_id""",
+    "op12_divergence_supports": r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ e AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+ v AS (SELECT lang, term, count(*) AS n FROM e GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT g.lang, g.source, v.term, count(e.k) AS n, v.n AS m FROM g JOIN v USING (lang) LEFT JOIN e ON e.lang = g.lang AND e.source = g.source AND e.term = v.term GROUP BY g.lang, g.source, v.term, v.n),
+ p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER s + count(*) OVER s) AS p, 1 + CAST(1000000000 AS HUGEINT) * (m + 1) // (sum(m) OVER s + count(*) OVER s) AS q FROM c WINDOW s AS (PARTITION BY lang, source)),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200""",
 }
