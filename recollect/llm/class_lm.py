@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_words_of, slices, store, stored, temporary
+from .common import Shared, discard, lower_words_of, slices, store, stored, temporary
 
 #: The end token's number; words are known by their 64-bit hashes, and none is empty.
 END = -1
@@ -187,7 +187,7 @@ def core_classes(training: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np
     the classes, the end, and all words outside the core."""
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(CORE).select("word").toArrow().column("word").to_numpy()
     k = len(top)
-    lookup = training.sparkSession.sparkContext.broadcast(Lookup(np.append(top, END), np.arange(k + 1)))
+    lookup = Shared(training.sparkSession, Lookup(np.append(top, END), np.arange(k + 1)))
     found = count_bigrams(training, lookup).toArrow()
     a, b, n = (found.column(c).to_numpy() for c in ("a", "b", "n"))
     bigrams = np.zeros((k + 2, k + 2))
@@ -251,7 +251,7 @@ def clustered(training: DataFrame, counts: DataFrame) -> DataFrame:
     """
     spark = training.sparkSession
     top, of, core_table = core_classes(training, counts)
-    core = spark.sparkContext.broadcast(Lookup(np.append(top, END), np.append(of, CLASSES)))
+    core = Shared(spark, Lookup(np.append(top, END), np.append(of, CLASSES)))
     fields = "word long, n long, before array<struct<context:short,n:long>>, class short, moved boolean"
     path = store(contexts(training, core).withColumn("class", F.lit(-1).cast("short")).withColumn("moved", F.lit(True)), "contexts")
     rest, table, reached = spark.read.schema(fields).parquet(path), core_table, -np.inf
@@ -390,9 +390,9 @@ def scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sizes[CLASSES] = ends
     within = np.log10(np.maximum(sizes, 1))
     emitted, plain = np.log10(np.maximum(n, 1)) - within[lookup.values], np.log10(n + 1)
-    table = class_bigrams(training, classes, spark.sparkContext.broadcast((lookup,)))
+    table = class_bigrams(training, classes, Shared(spark, (lookup,)))
     transition = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + len(table)))
-    shared = spark.sparkContext.broadcast((lookup, emitted, plain, transition))
+    shared = Shared(spark, (lookup, emitted, plain, transition))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, emitted, plain, transition = shared.value

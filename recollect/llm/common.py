@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Shared:
+    """A broadcast of objects of this package. Spark's own broadcast pickles them by reference, which executors without
+    the package can't follow; here they are pickled by value and made again once a task."""
+
+    def __init__(self, spark: SparkSession, content: object) -> None:
+        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(content))
+
+    def __getstate__(self) -> dict:
+        return {"pickled": self.pickled}
+
+    @property
+    def value(self):
+        if not hasattr(self, "content"):
+            self.content = pickle.loads(self.pickled.value)
+        return self.content
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\t..\\r; ``bytes.split`` cuts at exactly these six."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

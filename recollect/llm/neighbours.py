@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Shared, stored
 
 SEED = 7
 #: Dimensions of the projection, and the chance that the stopping test may miss a neighbour.
@@ -216,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     for dim, (n, _) in totals.items():
         own = np.array([r["p"] for r in sample if r["dim"] == dim]).reshape(-1, PROJECTED)
         cells[dim] = Cells(own, math.ceil(n / SHARD))
-    shared = spark.sparkContext.broadcast((cells, totals))
+    shared = Shared(spark, (cells, totals))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, sizes = shared.value
@@ -230,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     for dim, tree in cells.items():
         own = [r for r in boxes if r["dim"] == dim]
         tree.boxes = np.array([r["cell"] for r in own]), *(np.array([[r[f"{name}{d}"] for d in range(PROJECTED)] for r in own]) for name in ("low", "high"))
-    routes = spark.sparkContext.broadcast((cells, totals))
+    routes = Shared(spark, (cells, totals))
     sizes = stored(points.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")), "sizes")
     shards = points.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("e"), "shards"))
     shards = stored(shards.groupBy("dim", "cell", "shard").agg(F.collect_list(F.struct("e", "ids")).alias("points")), "shards")
