@@ -7,7 +7,6 @@ price one-sided terms, a constant prices terms that both lack, and only terms th
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, temporary
 
-#: Maximal runs of the wanted characters in lower-cased UTF-8 (all bytes of other characters than ASCII are from 80 on).
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Bytes of UTF-8 by what they are to terms: A-Z as a-z, other ASCII as spaces, those of other characters as they are.
+LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Entries of a task's table of counts, after which it is passed on; and bytes of a text looked at in one go.
 HELD, PIECE = 500_000, 1 << 22
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -26,18 +25,15 @@ RESULT = ("lang", "source", "part", "item", "value")
 SCALE = 1_000_000_000
 
 
-def terms(text: bytes) -> Counter:
-    """Counts of a lower-cased text's terms; long texts are taken piece by piece, cut between terms."""
-    found: Counter = Counter()
+def terms(text: str) -> Iterator[list[bytes]]:
+    """A text's terms, lower-cased; those of long texts piece by piece, cut between terms."""
+    code = text.encode().translate(LETTERS)
     at = 0
-    while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            cut = TERM.match(text, end - 1)  # a term that runs over the cut belongs to this piece as a whole
-            end = cut.end() if cut else end
-        found.update(TERM.findall(text, at, end))
+    while at < len(code):
+        end = code.find(b" ", at + PIECE) if at + PIECE < len(code) else -1
+        end = len(code) if end < 0 else end
+        yield code[at:end].split()
         at = end
-    return found
 
 
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -55,8 +51,8 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
                 keys = list(n)
                 for lo in range(0, len(keys), 100_000):
                     some = keys[lo : lo + 100_000]
-                    columns = [[lang] * len(some), [source] * len(some), [k.decode("utf-8", "replace") for k in some], [n[k] for k in some], [d[k] for k in some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                    counts = [pa.array(map(c.__getitem__, some), pa.int64(), size=len(some)) for c in (n, d)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), pa.repeat(source, len(some)), pa.array(some, pa.binary()).cast(pa.string()), *counts], names=names)
             seen = list(groups)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[g[0] for g in seen], [g[1] for g in seen], [None] * len(seen), [0] * len(seen), [0] * len(seen)], kinds)], names=names)
             groups.clear()
@@ -65,9 +61,11 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
             for lang, source, text in zip(*(c.to_pylist() for c in part.columns)):
                 n, d = groups.setdefault((lang, source), (Counter(), Counter()))
                 held -= len(n)
-                found = terms(text.encode("utf-8", "surrogatepass").lower())
-                n.update(found)
-                d.update(found.keys())
+                seen: set[bytes] = set()
+                for found in terms(text):
+                    n.update(found)
+                    seen.update(found)
+                d.update(seen)
                 held += len(n)
                 if held > HELD:
                     yield from flushed()
@@ -103,12 +101,14 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     a term that two groups share meet. Both sides of joins on hot languages or sources are stored tables keyed more finely.
     """
     with temporary(docs.sparkSession):
-        counts = stored(term_counts(docs, lang_col, source_col, text_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
-        whole = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-        whole = stored(whole.drop("docs"), "kept-terms")
-        langs = whole.groupBy("lang").agg(F.sum("whole").alias("lang_total"), F.count("*").alias("kept"))
-        postings = stored(counts.drop("docs").join(whole, ["lang", "term"]), "postings")
-        groups = (counts.select("lang", "source").distinct().join(postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("support")), ["lang", "source"], "left")
+        # tasks have added up their own rows, so these go straight to their terms, whose groups are few
+        counts = term_counts(docs, lang_col, source_col, text_col).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        of_term = Window.partitionBy("lang", "term")
+        counts = counts.select("lang", "term", "source", "n", F.sum("n").over(of_term).alias("whole"), F.sum("docs").over(of_term).alias("docs"), (F.min("source").over(of_term) == F.col("source")).alias("lead"))
+        counts = stored(counts.where(F.col("term").isNull() | (F.col("docs") >= least_docs)), "term-counts")
+        postings = counts.where("term is not null")
+        langs = postings.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("lead").alias("kept"))
+        groups = (counts.where("term is null").select("lang", "source").join(postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("support")), ["lang", "source"], "left")
                   .join(langs, "lang", "left").na.fill(0, ["total", "support", "lang_total", "kept"]))
         groups = groups.withColumn("zero", F.when(F.col("kept") > 0, share("0L", "total", "kept")))
         groups = stored(groups, "groups")
