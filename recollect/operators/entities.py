@@ -76,23 +76,6 @@ def state_of_identity(state: DataFrame, gids: DataFrame, gid: str) -> DataFrame:
     return last.agg(F.max("ts").alias("ts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_name", "v")))).alias("traits")).select(F.lit(gid).alias("entity_gid"), "ts", "traits").where("ts is not null")
 
 
-def restitched(stitched: DataFrame, state: DataFrame, gids: DataFrame, now: int) -> DataFrame:
-    """The stitched states (identity, ts, stitch_ts, traits) after the changes of ``state`` since the last time.
-
-    Only identities with an entity that changed after the largest ``ts`` stitched so far are computed anew, from all of
-    their entities; the others' rows stay. An identity is an entity's gid, or its own key.
-    """
-    mark = stitched.agg(F.max("ts").alias("mark"))
-    identity = F.coalesce("entity_gid", "entity_pk").alias("identity")
-    named = state.join(gids.select("entity_pk", "entity_gid"), "entity_pk", "left").select("*", identity)
-    changed = named.join(F.broadcast(mark), F.col("mark").isNull() | (F.col("ts") > F.col("mark"))).select("identity").distinct()
-    own = named.join(changed, "identity", "left_semi")
-    last = own.groupBy("identity", "property_name").agg(F.max_by("property_value", F.struct("ts", "observer_pk", "entity_pk")).alias("v"), F.max("ts").alias("ts"))
-    new = last.groupBy("identity").agg(F.max("ts").alias("ts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_name", "v")))).alias("traits"))
-    new = new.select("identity", "ts", F.lit(now).cast("long").alias("stitch_ts"), "traits")
-    return stitched.select("identity", "ts", "stitch_ts", "traits").join(changed, "identity", "left_anti").unionByName(new)
-
-
 def watermarks(stitched: DataFrame, properties: DataFrame) -> DataFrame:
     """(stitch_ts, property_ts): how far stitching has come, and the newest property."""
     return stitched.agg(F.max("stitch_ts").alias("stitch_ts")).crossJoin(properties.agg(F.max("ts").alias("property_ts")))

@@ -16,17 +16,43 @@ OBSERVATION = """id string, ts timestamp_ntz, label string, observer string, sou
  relation array<struct<label: string, ts: timestamp_ntz, actor: string, objects: array<string>, traits: map<string, string>>>"""
 
 
-def admitted(observations: DataFrame, agents: DataFrame | None = None, bots: str = r"(?i)bot|crawler|spider", whole: bool = False) -> DataFrame:
-    """Without observations that have no consent or id, whose source is reserved (``@``), or whose observer isn't an
-    entity; if ``whole``, without those that link an entity that isn't there; and without those of automata, if
-    ``agents`` (id, agent) tells who sent them."""
+def judged(observations: DataFrame, agents: DataFrame | None = None, bots: str = r"(?i)bot|crawler|spider", whole: bool = False) -> DataFrame:
+    """``observations`` with ``refused``, the first reason against each, or null: no id, no consent, a reserved source
+    (``@``), an observer that isn't an entity; if ``whole``, a link to an entity that isn't there; an automaton, if
+    ``agents`` (id, agent) tells who sent it."""
     names = F.map_keys("entities")
     known = F.col("observer").isNull() | F.array_contains(names, F.col("observer"))
     asked = F.transform("relation", lambda r: F.concat(F.array(r["actor"]), F.coalesce(r["objects"], F.array().cast("array<string>"))))
     linked = F.forall(F.flatten(F.coalesce(asked, F.array().cast("array<array<string>>"))), lambda x: x.isNull() | F.array_contains(names, x))
-    out = observations.where(F.col("id").isNotNull() & F.coalesce("consent", F.lit(True)) & ~F.coalesce(F.col("source_id").startswith("@"), F.lit(False)) & F.coalesce(known, F.lit(False)))
-    out = out.where(F.coalesce(linked, F.lit(True))) if whole else out
-    return out if agents is None else out.join(agents.where(F.col("agent").rlike(bots)).select("id"), "id", "left_anti")
+    reasons = [(F.col("id").isNull(), "no id"), (~F.coalesce(F.col("consent"), F.lit(True)), "no consent"), (F.coalesce(F.col("source_id").startswith("@"), F.lit(False)), "reserved source"),
+               (~F.coalesce(known, F.lit(False)), "unknown observer")]
+    reasons += [(~F.coalesce(linked, F.lit(True)), "unknown link")] if whole else []
+    out = observations
+    if agents is not None:
+        out = out.join(agents.where(F.col("agent").rlike(bots)).select("id", F.lit(True).alias("_bot")).distinct(), "id", "left").select(*observations.columns, "_bot")
+        reasons.append((F.col("_bot").isNotNull(), "automaton"))
+    return out.withColumn("refused", F.coalesce(*[F.when(condition, F.lit(reason)) for condition, reason in reasons])).drop("_bot")
+
+
+def admitted(observations: DataFrame, agents: DataFrame | None = None, bots: str = r"(?i)bot|crawler|spider", whole: bool = False) -> DataFrame:
+    """Observations against which ``judged`` has no reason."""
+    return judged(observations, agents, bots, whole).where(F.col("refused").isNull()).drop("refused")
+
+
+def parsed(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Observations of JSON texts, with the text in ``payload`` and in ``broken`` whether it isn't JSON of their form. A
+    payload that is null, cut off or of another form gives a row of nulls that is broken, so no payload is lost."""
+    form = ", ".join([OBSERVATION, "_broken string"])
+    read = F.from_json(payload, form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    o = payloads.select(F.col(payload).alias("payload"), read.alias("o"))
+    return o.select("o.*", "payload").withColumn("broken", F.col("_broken").isNotNull() | F.col("payload").isNull() | (F.trim("payload") == "")).drop("_broken")
+
+
+def dead_letters(observations: DataFrame) -> DataFrame:
+    """(payload, reason) of what isn't admitted, of ``judged`` observations; where no text came with them, one is made."""
+    made = F.to_json(F.struct(*[c for c in observations.columns if c not in ("payload", "broken", "refused")]))
+    text = F.col("payload") if "payload" in observations.columns else made
+    return observations.where(F.col("refused").isNotNull()).select(text.alias("payload"), F.col("refused").alias("reason"))
 
 
 def of_known_sources(observations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,6 +114,8 @@ def gid_rows(entities: DataFrame, identifying: dict[str, tuple[str, ...]]) -> Da
         for v in values:
             own = own.where(v.isNotNull())
         parts.append(own.select("entity_pk", gid.alias("entity_gid"), "entity_type", "ts"))
+    if not parts:
+        return entities.limit(0).select("entity_pk", F.lit(None).cast("string").alias("entity_gid"), "entity_type", "ts")
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("entity_pk").agg(F.max_by(F.struct("entity_gid", "entity_type", "ts"), F.struct("ts", "entity_gid")).alias("g")).select("entity_pk", "g.*")
 

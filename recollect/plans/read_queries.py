@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalars
-from ..operators import conversations, entities, ingest, observations, reads, search, texts
+from ..operators import conversations, entities, ingest, observations, reads, search, stitching, texts
 from ..operators.search import And, Entity, Not, Or, Property
+from ..sources.batches import Batches, shared_folder
 from .memory import Memory
 from .queries import BRAND, BUILDING, NEAR, STATE, VERSIONED, nested_observations, pks, query, vector
 
@@ -121,10 +122,20 @@ def identity_state(m: Memory) -> DataFrame:
 @query(f""", {IDENTITY}, l AS (SELECT identity, property_name, arg_max(property_value, (ts, observer_pk, entity_pk)) AS v, max(ts) AS ts FROM s GROUP BY ALL)
  SELECT identity, max(ts) AS ts, string_agg(property_name || '=' || v, ' ' ORDER BY property_name) AS traits FROM l GROUP BY identity""")
 def restitched_entities(m: Memory) -> DataFrame:
-    """Stitched up to a moment, then the changes since: as if stitched at once."""
-    state, none = m.property_state(), m.spark.createDataFrame([], "identity string, ts long, stitch_ts long, traits map<string,string>")
-    before = entities.restitched(none, state.where("ts <= 1704067300"), m.gids(), 1)
-    return entities.restitched(before, state, m.gids(), 2).select("identity", "ts", pairs_text())
+    """Taken in three batches, dealt by hash and not by time, so rows come late: first all entities have another identity,
+    then some get their own gid and others lose the one they had."""
+    store, state = Batches(m.spark, shared_folder(m.spark, "stitched")), m.property_state()
+
+    def part(df: DataFrame, n: int) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("entity_pk", "property_name"), F.lit(3)) == n)
+
+    every = state.select("entity_pk").distinct()
+    first = every.select("entity_pk", F.concat(F.lit("first-"), F.substring("entity_pk", 1, 1)).alias("entity_gid"), F.lit(1).cast("long").alias("ts"))
+    given = m.gids().select("entity_pk", "entity_gid", F.lit(2).cast("long").alias("ts"))
+    lost = every.join(given, "entity_pk", "left_anti").select("entity_pk", F.lit(None).cast("string").alias("entity_gid"), F.lit(2).cast("long").alias("ts"))
+    for n, gids in enumerate((first, given, lost)):
+        stitching.stitch(store, n, part(state, n), gids)
+    return stitching.view(store).select("identity", "ts", pairs_text())
 
 
 @query("SELECT (SELECT max(ts) FROM versions) AS stitch_ts, (SELECT max(ts) FROM state) AS property_ts")

@@ -132,16 +132,6 @@ def test_latest_overlay_histogram(spark):
     assert [r["n"] for r in h] == [1, 0, 0, 0, 0, 0]
 
 
-def test_ingest_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    observations(spark, [obs("a", 1, "x"), obs("d", 2, "y")]).write.json(source)
-    stream = tables.json_stream(spark, source, ingest.OBSERVATION)
-    q = pipelines.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
-    assert q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/facts")).count() == 6
-    assert spark.read.parquet(str(tmp_path / "out/links")).count() == 4
-
-
 def test_sessions_and_counts_stream(spark, tmp_path):
     schema = "obs_id string, ts timestamp, entity_pk string, property_name string, property_value string"
     facts = spark.createDataFrame([("o", datetime(2024, 1, 1, 10, 0), "p", "n", "v"), ("o", datetime(2024, 1, 1, 10, 30), "p", "n", "v"), ("o", datetime(2024, 1, 1, 12, 0), "p", "n", "w")], schema)
