@@ -9,6 +9,7 @@ from ..functions import filters, scalars
 from ..operators import conversations, entities, ingest, observations, reads, search, stitching, texts
 from ..operators.search import And, Entity, Not, Or, Property
 from ..sources.batches import Batches, shared_folder
+from ..streaming import timers
 from .memory import Memory
 from .queries import BRAND, BUILDING, NEAR, STATE, VERSIONED, nested_observations, pks, query, vector
 
@@ -361,3 +362,29 @@ def conversation_memories(m: Memory) -> DataFrame:
 def filtered_events(m: Memory) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id")
     return m.raw("events").where(filters.equals(kind, "*") & (filters.equals(user, [1, 2, 3]) | filters.differs(kind, "click"))).select("event_id")
+
+
+def through_stream(m: Memory, table: str, made) -> DataFrame:
+    """All that a stream over a table's files gives, once they are read."""
+    folder, source = shared_folder(m.spark, "stream"), m.raw(table)
+    rows = m.spark.readStream.schema(source.schema).parquet(f"{m.folder}/{table}.parquet*")  # a pattern, for the table may be one file
+    store = Batches(m.spark, f"{folder}/out")
+    q = made(rows).writeStream.foreachBatch(lambda df, n: store.commit(n, {"rows": df})).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store.read("rows")
+
+
+@query("SELECT concat('u', user_id) AS obs_id, max(ts) AS ts FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events)", ctes=False)
+def ended_observations_stream(m: Memory) -> DataFrame:
+    ended = through_stream(m, "events", lambda e: timers.ended_observations(e.select(F.concat(F.lit("u"), "user_id").alias("obs_id"), "ts"), 60, "0 seconds"))
+    return ended.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""SELECT concat('t', o_custkey) AS id, max(o_orderdate) AS ts, arg_max(concat('o', o_orderkey), (o_orderdate, concat('o', o_orderkey))) AS obs_id FROM orders GROUP BY o_custkey
+ HAVING max(o_orderdate) + to_seconds(o_custkey % 1000 * 600) <= (SELECT max(o_orderdate) FROM orders)""", ctes=False)
+def fired_timers_stream(m: Memory) -> DataFrame:
+    """A timer for each customer, set anew by each order."""
+    own = lambda o: o.select(F.concat(F.lit("t"), "o_custkey").alias("id"), F.col("o_orderdate").alias("ts"), (F.col("o_custkey") % 1000 * 600).alias("timeout"), F.lit("due").alias("event"),
+                             F.concat(F.lit("o"), "o_orderkey").alias("obs_id"), F.lit(None).cast("string").alias("actor_pk"), F.lit(None).cast("string").alias("object_pk"))
+    fired = through_stream(m, "orders", lambda o: timers.fired_timers(own(o), "0 seconds"))
+    return fired.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "obs_id")
