@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalars
-from ..operators import conversations, entities, ingest, observations, reads, search, stitching, texts
+from ..operators import conversations, entities, ingest, observations, postings, reads, search, stitching, texts
 from ..operators.search import And, Entity, Not, Or, Property
 from ..sources.batches import Batches, shared_folder
 from ..streaming import timers
@@ -206,7 +206,17 @@ BM25 = r"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{
 
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM r WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT 20", ctes=False)
 def lexical_search(m: Memory) -> DataFrame:
-    found = texts.bm25(m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_string")), "license data", limit=2**31 - 1)
+    found = texts.bm25(m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_string")), "license data", limit=None)
+    return found.orderBy(F.desc(F.round("score", 9)), "id").limit(20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM r WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT 20", ctes=False)
+def lexical_index_search(m: Memory) -> DataFrame:
+    """The same from stored postings, which a second batch has brought up to date: a third of the texts were others before."""
+    store, d = Batches(m.spark, shared_folder(m.spark, "postings")), m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_string"))
+    postings.add(store, 0, d.where("id % 3 <> 1").withColumn("text_string", F.when(F.col("id") % 3 == 0, F.lit("license data of earlier days")).otherwise(F.col("text_string"))))
+    postings.add(store, 1, d.where("id % 3 <> 2"))
+    found = postings.search(store, "license data", limit=None)
     return found.orderBy(F.desc(F.round("score", 9)), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
@@ -214,7 +224,7 @@ def lexical_search(m: Memory) -> DataFrame:
   d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rk FROM {NEAR.format(q=0, k=150)})
  SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM d) GROUP BY id ORDER BY sum(1.0::DOUBLE / (60 + rk)) DESC, id LIMIT 10""", ctes=False)
 def hybrid_search(m: Memory) -> DataFrame:
-    words = texts.bm25(m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_string")), "license data", limit=2**31 - 1)
+    words = texts.bm25(m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("text_string")), "license data", limit=None)
     words = words.select("id", F.round("score", 9).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(150)
     dense = reads.similar(m.raw("embeddings"), vector(m, 0), 150, -1.0).withColumnRenamed("vec_id", "id")
     return reads.rank_fusion([words, dense], "id").withColumn("score", F.round("score", 9))
