@@ -169,19 +169,8 @@ def fitting_routes(events: DataFrame, routes: DataFrame) -> DataFrame:
     return events.join(F.broadcast(r), fits).drop("_type", "_source")
 
 
-def paths(tree: DataFrame, key: str = "id", parent: str = "parent_id", name: str = "name") -> DataFrame:
-    """(key, depth, path) of a taxonomy's rows, by joins level after level until no row has a parent there. Rows whose
-    parents form a cycle have no root and give no path."""
-    level = tree.where(F.col(parent).isNull()).select(key, F.lit(0).alias("depth"), F.col(name).alias("path"))
-    out = []
-    while not level.isEmpty():
-        out.append(level)
-        up = level.select(F.col(key).alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        level = tree.join(up, tree[parent] == up["_up"]).select(key, (F.col("_depth") + 1).alias("depth"), F.concat_ws("/", "_path", name).alias("path"))
-    return reduce(DataFrame.unionByName, out) if out else level
-
-
-def newest_per_key(df: DataFrame, key: list[str], n: int) -> DataFrame:
-    """The n newest rows of each key."""
-    order = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts")))
+def newest_per_key(df: DataFrame, key: list[str], n: int, ties: list[str] | None = None) -> DataFrame:
+    """The n newest rows of each key; equal times go by ``ties``, or else by all other columns that can be ordered."""
+    rest = ties or [f.name for f in df.schema.fields if f.name not in (*key, "ts") and f.dataType.typeName() != "map"]
+    order = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts"), *rest))
     return df.withColumn("_r", order).where(F.col("_r") <= n).drop("_r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalars
-from ..operators import conversations, entities, ingest, observations, postings, reads, search, stitching, texts
+from ..operators import cells, conversations, entities, hierarchy, ingest, observations, postings, reads, search, stitching, texts
 from ..operators.search import And, Entity, Not, Or, Property
 from ..sources.batches import Batches, shared_folder
 from ..streaming import timers
@@ -326,7 +326,7 @@ def merged_observations(m: Memory) -> DataFrame:
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, 1 AS depth, concat(r_name, '/', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 1000 + r_regionkey, 0, r_name FROM region", ctes=False)
 def taxonomy_paths(m: Memory) -> DataFrame:
     tree = m.raw("region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("name"))
-    return entities.paths(tree.unionByName(m.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name"))))
+    return hierarchy.paths(tree.unionByName(m.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name"))))
 
 
 @query("SELECT event_id, d AS destination FROM events, (VALUES ('click', NULL, 'a'), (NULL, 'web', 'b'), (NULL, 'app', 'c')) AS r(t, s, d) WHERE (t IS NULL OR t = event_type) AND (s IS NULL OR s = 'web')", ctes=False)
@@ -398,3 +398,12 @@ def fired_timers_stream(m: Memory) -> DataFrame:
                              F.concat(F.lit("o"), "o_orderkey").alias("obs_id"), F.lit(None).cast("string").alias("actor_pk"), F.lit(None).cast("string").alias("object_pk"))
     fired = through_stream(m, "orders", lambda o: timers.fired_timers(own(o), "0 seconds"))
     return fired.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "obs_id")
+
+
+@query("SELECT vec_id, round(similarity, 6) AS similarity FROM " + NEAR.format(q=0, k=10), ctes=False)
+def vector_index_search(m: Memory) -> DataFrame:
+    """The nearest vectors from an index of cells, which two batches made; exact, though cells out of reach aren't read."""
+    store, e = Batches(m.spark, shared_folder(m.spark, "cells")), m.raw("embeddings")
+    cells.add(store, 0, e.where("vec_id % 3 <> 0"))
+    cells.add(store, 1, e.where("vec_id % 3 = 0"))
+    return cells.search(store, vector(m, 0), 10, -1.0).select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))

@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from recollect.operators import postings, texts
+from recollect.operators import cells, postings, reads, texts
 from recollect.sources.batches import Batches
 
 TEXT = "id long, text_string string"
@@ -47,3 +48,29 @@ def test_postings_read_the_terms_folders_alone(spark, tmp_path, some_texts):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = " + str(postings.bucket_of("data")), plan_of(found).replace("(", "").replace(" IN ", " = ").replace("INSET", "=")), plan_of(found)
     read = store.read("postings").where(F.col("bucket") == postings.bucket_of("data"))
     assert len(read.select(F.input_file_name()).distinct().collect()) == 1 < len(store.read("postings").inputFiles())
+
+
+def test_cells_find_what_a_scan_finds(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(12, 16))
+    x = middles[rng.integers(0, 12, 1500)] + 0.15 * rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, x[7].tolist())]
+    every = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    store = Batches(spark, str(tmp_path / "s"))
+    assert cells.add(store, 0, every.where("vec_id < 1000")) and cells.add(store, 1, every.where("vec_id >= 1000")) and not cells.add(store, 1, every)
+    usable = every.where("vec_id < 1500 or vec_id = 2003")
+    total = len(store.read("bounds").select("cell").distinct().collect())
+    for n in (0, 7, 900):
+        query = x[n].tolist()
+        for least, k in ((0.7, 10), (-1.0, 30), (0.999, 5)):
+            want = reads.similar(usable, query, k, least).collect()
+            got = cells.search(store, query, k, least).collect()
+            assert [(r["id"], round(r["similarity"], 9)) for r in got] == [(r["vec_id"], round(r["similarity"], 9)) for r in want]
+        assert len(cells.plan(store, query, 10, 0.7, None)) < total / 2 and len(cells.plan(store, query, 10, 0.7, 3)) == 3
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan_of(cells.search(store, x[0].tolist())))
+    found = cells.search_many(store, usable.where("vec_id % 50 = 0"), 10, 6).collect()
+    exact = {q: {r["vec_id"] for r in reads.similar(usable, x[q].tolist(), 10, -1.0).collect()} for q in range(0, 1500, 250)}
+    hits = sum(r["id"] in exact[r["query"]] for r in found if r["query"] in exact)
+    assert hits >= 0.95 * 10 * len(exact) and len(found) == 300
+    with pytest.raises(KeyError):
+        cells.search(Batches(spark, str(tmp_path / "none")), x[0].tolist())

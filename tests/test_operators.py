@@ -6,8 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 from recollect.functions import filters, identity, scalars, times
-from recollect.operators import entities as own_entities
-from recollect.operators import ingest, observations as reading, reads, search, texts
+from recollect.operators import hierarchy, ingest, observations as reading, reads, search, texts
 from recollect.operators.search import And, Entity, Not, Or, Property
 from recollect.sources import tables
 from recollect.streaming import pipelines
@@ -190,7 +189,7 @@ def test_texts_and_references(spark):
     mails = spark.createDataFrame([("a@gmail.com",), ("b@x.org",), (None,)], "mail string")
     free = spark.createDataFrame([("GMail.com",), ("gmail.com",)], "domain string")
     assert {r["mail"]: r["free"] for r in scalars.in_reference(mails, scalars.email_domain("mail"), free, "free").collect()} == {"a@gmail.com": True, "b@x.org": False, None: False}
-    assert own_entities.paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, parent_id int, name string")).count() == 0
+    assert hierarchy.paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, parent_id int, name string")).count() == 0
     o = spark.createDataFrame([("o1", 1)], "id string, ts int")
     none = spark.createDataFrame([], "observation_id string, entity_pk string, entity_type string, traits map<string,string>, state_ts long")
     assert reading.nested(o, none).first()["entities"] == []
