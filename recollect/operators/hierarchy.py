@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.batches import Batches, shared_folder
+from ..sources.batches import stored
 
 
 def closure(tree: DataFrame, key: str = "id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
@@ -18,23 +18,17 @@ def closure(tree: DataFrame, key: str = "id", parent: str = "parent_id") -> tupl
     plans stay small. A parent that isn't a row of the tree counts as none. One row a node is expected; of several the
     least parent counts.
     """
-    spark = tree.sparkSession
-    store = Batches(spark, shared_folder(spark, "closure"))
     nodes = tree.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("up"))
-    store.commit("start", {"jump0": nodes.join(nodes.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up")})
-    jumps, count = [store.read("jump0")], nodes.count()
+    jumps, count = [stored(nodes.join(nodes.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up"), "jumps")], nodes.count()
     while 2 ** (len(jumps) - 1) <= count and not jumps[-1].isEmpty():
-        name = f"jump{len(jumps)}"
         onward = jumps[-1].select(F.col("node").alias("_via"), F.col("up").alias("_up"))
-        store.commit(name, {name: jumps[-1].join(onward, F.col("up") == F.col("_via")).select("node", F.col("_up").alias("up"))})
-        jumps.append(store.read(name))
+        jumps.append(stored(jumps[-1].join(onward, F.col("up") == F.col("_via")).select("node", F.col("_up").alias("up")), "jumps"))
     cyclic = jumps.pop().select("node")
     pairs = (jumps or [cyclic.select("node", F.col("node").alias("up")).limit(0)])[0].join(cyclic, "node", "left_anti").select("node", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
     for at, jump in enumerate(jumps):
         near = pairs.select(F.col("node").alias("_via"), "ancestor", "distance")
         longer = jump.join(near, F.col("up") == F.col("_via")).select("node", "ancestor", (F.col("distance") + 2**at).alias("distance"))
-        store.commit(f"pairs{at}", {"pairs": pairs.unionByName(longer)}, whole=True)
-        pairs = store.read("pairs")
+        pairs = stored(pairs.unionByName(longer), "pairs")
     return pairs, cyclic
 
 

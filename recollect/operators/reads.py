@@ -32,6 +32,24 @@ def unprocessed(facts: DataFrame, jobs: DataFrame, job_id: str, before=None) ->
     return out.where(F.col("ts") < F.lit(before)) if before is not None else out
 
 
+def unprocessed_with_traits(facts: DataFrame, jobs: DataFrame, history: DataFrame, job_id: str, since=None, now=None, after_seconds: int = 0, where: Column | None = None) -> DataFrame:
+    """Facts that a job hasn't handled, with the traits that actor, relation and object had then (null where there are
+    none): those after ``since``, those at least ``after_seconds`` old at ``now``, those that meet the condition. History
+    is joined by (entity, data hash), after the facts are filtered."""
+    out = unprocessed(facts if where is None else facts.where(where), jobs, job_id)
+    out = out if since is None else out.where(F.col("ts") > F.lit(since))
+    if after_seconds:
+        out = out.where(F.col("ts") <= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(after_seconds)))
+    for role in ("actor", "rel", "object"):
+        h = history.select(F.col("entity_pk").alias(f"{role}_pk"), F.col("data_hash").alias(f"{role}_data_hash"), F.col("traits").alias(f"{role}_traits"))
+        out = out.join(h, [f"{role}_pk", f"{role}_data_hash"], "left")
+    return out
+
+
+def timer(timers: DataFrame, key: str) -> DataFrame:
+    return timers.where(F.col("id") == key)
+
+
 def ending_observations(facts: DataFrame, triggers: DataFrame, trigger_id: str, now, inactive_minutes: int = 60, strict: bool = False) -> DataFrame:
     """Observations with facts older than the limit that the trigger hasn't seen, or that have moved since.
 

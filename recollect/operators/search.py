@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..sources.batches import stored
 
 
 @dataclass(frozen=True)
@@ -92,8 +93,9 @@ def qualifying(state: DataFrame, links: DataFrame, groups: list[Entity], unmatch
     """One row an observation: observation_id, no_of_entities, no_of_matched_props, entity_pks, max_similarity.
 
     Hits are joined with links on the entity, then added up by observation. A group without properties is met by any
-    entity of its kind and counts one each. Spark splits the links of a popular entity where the hits are a stored table
-    or broadcast; give ``hits`` (the stored result of ``entity_hits``) for tables in which a few entities hold most links.
+    entity of its kind and counts one each. Hits are stored first, so that Spark knows their size, broadcasts them if they
+    are few and otherwise splits the links of a popular entity; ``hits`` gives the result of ``entity_hits`` where several
+    searches share it.
     """
     if not groups:
         raise ValueError("a search needs an entity at least")
@@ -102,7 +104,8 @@ def qualifying(state: DataFrame, links: DataFrame, groups: list[Entity], unmatch
     spark = state.sparkSession
     found = []
     if any(g.properties for g in groups):
-        found.append(links.join(hits if hits is not None else entity_hits(state, groups, **how), "entity_pk").select("observation_id", "entity_pk", "group_id", "matched", "similarity"))
+        hits = hits if hits is not None else stored(entity_hits(state, groups, **how), "hits")
+        found.append(links.join(hits, "entity_pk").select("observation_id", "entity_pk", "group_id", "matched", "similarity"))
     bare = [(g.kind.lower(), n) for n, g in enumerate(groups) if not g.properties]
     if bare:
         kinds = spark.createDataFrame(bare, "kind string, group_id int")

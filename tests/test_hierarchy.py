@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql import functions as F
 from recollect.operators import hierarchy
-from recollect.sources.batches import Batches
 
 TREE = "id int, parent_id int, name string"
 
@@ -43,12 +42,12 @@ def test_closure_of_random_graphs(spark):
 
 
 def test_deep_tree_takes_few_steps(spark, monkeypatch):
-    commits = []
-    real = Batches.commit
-    monkeypatch.setattr(Batches, "commit", lambda self, batch, *a, **k: commits.append(batch) or real(self, batch, *a, **k))
+    steps = []
+    real = hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda df, name: steps.append(name) or real(df, name))
     deep = spark.range(1000).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent_id"), F.lit("x").alias("name"))
     above, cyclic = hierarchy.closure(deep)
-    assert len(commits) <= 24 and above.count() == 1000 * 999 // 2 and cyclic.count() == 0
+    assert len(steps) <= 24 and above.count() == 1000 * 999 // 2 and cyclic.count() == 0
     assert above.where("distance <> node - ancestor").count() == 0
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from recollect.plans import read_queries  # noqa: F401
+from recollect.plans import read_queries, work_queries  # noqa: F401
 from recollect.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
