@@ -37,3 +37,20 @@ def traits_hash(traits: Column | str) -> Column:
 def session_slot(ts: Column | str, key: Column | str, minutes: int = 15) -> Column:
     """An id for the quarter of an hour in which something without a session came."""
     return F.md5(F.concat(text_of(key), F.lit("-"), F.floor(F.unix_timestamp(ts) / (60 * minutes)).cast("string")))
+
+
+#: The trait that names an extracted entity of a kind, and the traits that identify one everywhere.
+ID_TRAITS = {"topic": "$type", "aspect": "$type", "device": "$serial_number", "place": "$address", "location": "$address", "country": "$name"}
+IDENTIFYING_TRAITS = {"person": ("$email",), "organization": ("$email",), "document": ("$type", "$number"), "location": ("$label",), "country": ("$label",), "aspect": ("$type",)}
+
+
+def extracted_kind(kind: Column | str) -> Column:
+    """Lower case, without spaces."""
+    return F.lower(F.trim(F.replace(F.col(kind) if isinstance(kind, str) else kind, F.lit(" "), F.lit(""))))
+
+
+def extracted_id(kind: Column | str, traits: Column | str) -> Column:
+    """The id of an entity that was found in a text: by the trait that names its kind, else by ``$id``, else a random one."""
+    own, held = extracted_kind(kind), F.col(traits) if isinstance(traits, str) else traits
+    named = F.coalesce(*[F.when(own == k, F.nullif(F.try_element_at(held, F.lit(t)), F.lit(""))) for k, t in ID_TRAITS.items()])
+    return F.md5(F.concat_ws("-", own, F.coalesce(named, F.try_element_at(held, F.lit("$id")), F.uuid())))
