@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import entities, ingest, logs, nested, reads, search
+from ..operators import entities, grams, ingest, logs, nested, reads, references, search
 from ..sources import tables
 from ..sources.batches import Batches, shared_folder
 from .memory import Memory
@@ -141,3 +141,34 @@ def observations_in_order(m: Memory) -> DataFrame:
 @query("SELECT concat('t', c_custkey) AS id, c_acctbal AS timeout FROM customer WHERE c_custkey = 7", ctes=False)
 def timer_by_id(m: Memory) -> DataFrame:
     return reads.timer(m.raw("customer").select(F.concat(F.lit("t"), "c_custkey").alias("id"), F.col("c_acctbal").alias("timeout")), "t7")
+
+
+@query("SELECT DISTINCT observation_id FROM texts WHERE contains(lower(text_string), 'license')")
+def fulltext_index(m: Memory) -> DataFrame:
+    """As ``fulltext_obs``, from blocks of texts that have the grams."""
+    store, t = Batches(m.spark, shared_folder(m.spark, "grams")), m.texts()
+    grams.add(store, 0, t.where("doc_id % 2 = 0"), rows_per_block=500)
+    grams.add(store, 1, t.where("doc_id % 2 = 1"), rows_per_block=500)
+    return grams.search(store, "license").select("observation_id").distinct()
+
+
+@query("""SELECT concat('o', o_orderkey) AS id, count(DISTINCT l_partkey) AS parts, 1 + count(DISTINCT l_partkey) AS same FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0 GROUP BY 1
+ UNION ALL SELECT concat('o', o_orderkey), count(DISTINCT l_partkey), 0 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0 GROUP BY 1""", ctes=False)
+def chained_references(m: Memory) -> DataFrame:
+    """Each part of an order refers to the next one's seller, the last to the customer's; every fifth order's customer
+    refers back to the first part, so that all run in a circle."""
+    o = nested_observations(m)
+    links = F.array_sort(F.filter(F.map_keys("entities"), lambda k: k != "me"))
+    o = o.withColumn("_links", links)
+    circle = F.substr("id", F.lit(2)).cast("long") % 5 == 0
+
+    def reference(k):
+        place = F.array_position("_links", k)
+        onward = F.when(place < F.size("_links"), F.try_element_at("_links", (place + 1).cast("int"))).otherwise(F.lit("me"))
+        own = F.when(circle, F.concat(F.lit("$("), F.element_at("_links", 1), F.lit(").seller"))).otherwise(F.lit("Ann"))
+        return F.when(k == "me", own).otherwise(F.concat(F.lit("$("), onward, F.lit(").seller")))
+
+    o = o.withColumn("entities", F.transform_values("entities", lambda k, e: e.withField("traits", F.create_map(F.lit("seller"), reference(k))))).drop("_links")
+    found, _ = references.resolved(o.select("id", "entities"))
+    sellers = F.transform(F.map_values("entities"), lambda e: F.try_element_at(e["traits"], F.lit("seller")))
+    return found.select("id", (F.size("entities") - 1).cast("long").alias("parts"), F.size(F.filter(sellers, lambda s: s == "Ann")).cast("long").alias("same"))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from recollect.operators import cells, postings, reads, texts
+from recollect.operators import cells, grams, postings, reads, texts
 from recollect.sources.batches import Batches
 
 TEXT = "id long, text_string string"
@@ -74,3 +74,20 @@ def test_cells_find_what_a_scan_finds(spark, tmp_path):
     assert hits >= 0.95 * 10 * len(exact) and len(found) == 300
     with pytest.raises(KeyError):
         cells.search(Batches(spark, str(tmp_path / "none")), x[0].tolist())
+
+
+def test_grams_find_what_a_scan_finds(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), " ".join("".join(rng.choice(list("abcdé"), 3)) for _ in range(30)) + (f" Needle-{i}" if i % 50 == 0 else ""), i) for i in range(600)]
+    rows += [("n", None, 1), ("e", "", 2), ("s", "ab", 3), ("x", "😀😀 smile\nNEW line\x00", 4)]
+    texts_ = spark.createDataFrame(rows, "id string, text_string string, k long")
+    store = Batches(spark, str(tmp_path / "s"))
+    assert grams.add(store, 0, texts_.where("k < 300"), rows_per_block=20) and grams.add(store, 1, texts_.where("k >= 300"), rows_per_block=20) and not grams.add(store, 1, texts_)
+    for words in ("needle-100", "Needle-5", "abc", "b", "", "dé a", "😀 smile", "smile\nnew", "not there at all", "\x00", "nEeD"):
+        want = {r["id"] for r in texts_.where(F.contains(F.lower("text_string"), F.lower(F.lit(words)))).collect()}
+        got = grams.search(store, words)
+        assert {r["id"] for r in got.collect()} == want and got.columns == ["id", "text_string", "k"], words
+    read = {p.rsplit("/", 2)[1] for p in grams.search(store, "needle-100").select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    blocks = {p.split("block=")[1].split("/")[0] for p in store.read("texts").inputFiles()}
+    assert len(read) <= 2 and len(blocks) > 25
+    assert re.search(r"PartitionFilters: \[[^\]]*block", plan_of(grams.search(store, "needle-100")))
