@@ -25,8 +25,9 @@ END = "\r\n"
 RECORD = "type string, record_id string, concurrent_to string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def urn(kind: str, page_id: str = "page_id", row: str = "row") -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.col(page_id), F.col("sha1"), F.col(row)))
+def urn(kind: str, content: str = "content", copy: str | Column = "copy") -> Column:
+    """A record's id, from what its page is alone and the number of the copy, so that it is the same whenever it is computed."""
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.col(content), F.col(copy) if isinstance(copy, str) else copy))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -51,15 +52,27 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, file_b
     since Spark's writer makes it; readers that want a member a record have to compress it anew.
     """
     p = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
+    p = p.withColumn("content", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "sha1", F.md5("url"))))
     size_class = F.greatest(F.floor(F.log(float(GROWTH), F.greatest("bytes", F.lit(1)) / 65536.0)) + 1, F.lit(0)).cast("int")
-    digests = stored(p.select("page_id", "row", "sha1", "bytes", size_class.alias("class")), "digests")
-    owners = digests.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("o"), F.count("*").alias("same"))
-    owners = stored(owners.where("same > 1 and o is not null").select("sha1", "bytes", F.col("o.page_id").alias("owner"), F.col("o.row").alias("owner_row")), "owners")
+    digests = stored(p.select("page_id", "sha1", "bytes", "content", size_class.alias("class")), "digests")
+    owners = digests.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "content"))).alias("o"), F.count("*").alias("same"))
+    owners = stored(owners.where("same > 1 and o is not null").select("sha1", "bytes", F.col("o.page_id").alias("owner"), F.col("o.content").alias("owner_content")), "owners")
+    repeated = stored(digests.groupBy("content").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     classes = sorted(r["class"] for r in digests.select("class").distinct().collect())
     for k in classes or [0]:
         largest = 65536 * GROWTH**k + 4096
-        write_class(p.where(size_class == k), owners, f"{path}/{k}", max(1, file_bytes // largest))
+        write_class(numbered(p.where(size_class == k), repeated), owners, f"{path}/{k}", max(1, file_bytes // largest))
+
+
+def numbered(p: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Pages with the number of their copy. Rows that are equal in all are one row until the shuffle is over."""
+    once = p.join(repeated, "content", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    if repeated.isEmpty():
+        return once
+    rest = [c for c in p.columns if c != "content"]
+    more = p.join(repeated, "content").groupBy("content").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in rest])
+    return once.unionByName(more.select(*p.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")))
 
 
 def write_class(p: DataFrame, owners: DataFrame, path: str, captures_per_file: int) -> None:
@@ -73,7 +86,7 @@ def write_class(p: DataFrame, owners: DataFrame, path: str, captures_per_file: i
     captured = record(F.when(F.col("owner").isNull(), "response").otherwise("revisit"), [
         ("WARC-Record-ID", main), date, uri, page, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         ("WARC-Profile", F.when(F.col("owner").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.when(F.col("owner").isNotNull(), urn("response", "owner", "owner_row"))), ("X-Refers-To-Page", F.col("owner")), ("Content-Type", F.lit("application/http; msgtype=response"))],
+        ("WARC-Refers-To", F.when(F.col("owner").isNotNull(), urn("response", "owner_content", F.lit(0)))), ("X-Refers-To-Page", F.col("owner")), ("Content-Type", F.lit("application/http; msgtype=response"))],
         F.when(F.col("owner").isNull(), F.concat(http, "html")).otherwise(http))
     request = record("request", [("WARC-Record-ID", urn("request")), date, uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))],
                      F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END * 2)))

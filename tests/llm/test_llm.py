@@ -60,6 +60,9 @@ def test_empty_tables(spark, empty):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(vectors, vectors).count() == 0
+    path = warc.archive_folder(spark)
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.assemble(warc.read_archives(spark, path)).count() == 0
 
 
 def test_packing(documents):
@@ -660,6 +663,23 @@ def test_warc(spark):
     assert {bytes(r["capture"]["payload"]).decode() for r in got if r["capture"]["type"] == "response"} == {h or "" for _, _, h in rows}
 
 
+def test_warc_of_rows_that_move(spark):
+    """Each computation of the pages deals and orders them anew; revisits must still name a record that is there."""
+    page = "<html>" + "x" * 1500
+    rows = [(i, f"http://a/{i}", page + str(i % 3)) for i in range(60)] + [(59, "http://a/59", page + "2")] * 3 + [(None, None, page + "0")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = df.repartition(4, F.rand()).sortWithinPartitions(F.rand())
+    path = warc.archive_folder(spark)
+    warc.write_archives(pages, path)
+    lines = [x for r in spark.read.option("recursiveFileLookup", "true").text(path).collect() for x in [r["value"].strip()]]
+    refers = {x.removeprefix("WARC-Refers-To: ") for x in lines if x.startswith("WARC-Refers-To: ")}
+    ids = [x.removeprefix("WARC-Record-ID: ") for x in lines if x.startswith("WARC-Record-ID: ")]
+    assert len(ids) == len(set(ids)) == 3 * len(rows) and refers and refers <= set(ids)
+    records = warc.read_archives(spark, path)
+    responses = {r["record_id"] for r in records.where("type = 'response'").collect()}
+    assert refers <= responses and warc.assemble(records).count() == len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
