@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.batches import few
 from .search import by_properties
 
 
@@ -48,6 +49,8 @@ def property_results(properties: DataFrame, wanted: dict[str | None, list[tuple[
     Entities are ranked and paged on counts alone; only the page's properties are gathered.
     """
     found = reduce(DataFrame.unionByName, [by_properties(properties, pairs, kind, observer) for kind, pairs in wanted.items()])
+    # an entity that fits under its own kind and under any is one row, by its better fit
+    found = found.groupBy("entity_pk", "entity_type").agg(F.max(F.struct("fit", "matches")).alias("b")).select("entity_pk", "entity_type", "b.matches", "b.fit")
     page = found.orderBy(F.desc("fit"), F.desc("matches"), "entity_pk", "entity_type").offset(number * size).limit(size)
     p = properties if observer is None else properties.where(F.col("observer_pk") == observer)
     p = p.join(F.broadcast(page.select("entity_pk").distinct()), "entity_pk", "left_semi")
@@ -163,10 +166,10 @@ def in_order(df: DataFrame, column: str, ids: list[str]) -> DataFrame:
 
 def fitting_routes(events: DataFrame, routes: DataFrame) -> DataFrame:
     """(events' columns, destination): each event with the routes (event_type, source_id, destination) that it fits; a
-    null in a route fits all. Routes are configuration and small."""
+    null in a route fits all. Routes are configuration, and broadcast if they are few."""
     r = routes.withColumnsRenamed({"event_type": "_type", "source_id": "_source"})
     fits = (F.col("_type").isNull() | (F.col("_type") == F.col("event_type"))) & (F.col("_source").isNull() | (F.col("_source") == F.col("source_id")))
-    return events.join(F.broadcast(r), fits).drop("_type", "_source")
+    return events.join(few(r), fits).drop("_type", "_source")
 
 
 def newest_per_key(df: DataFrame, key: list[str], n: int, ties: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import entity_pk, property_id, session_slot, text_of, traits_hash, triplet_id, version_id
 from ..functions.scalars import merged
+from ..sources.batches import few
 
 #: What ingestion reads; traits are flattened maps of text.
 OBSERVATION = """id string, ts timestamp_ntz, label string, observer string, source_id string, session_id string, consent boolean,
@@ -128,8 +129,8 @@ def event_rows(facts: DataFrame) -> DataFrame:
 
 def timer_rows(facts: DataFrame, timeouts: DataFrame) -> DataFrame:
     """(id, status, ts, timeout, event, obs_id, actor_pk, object_pk): a timer for each fact whose label has a timeout, as
-    the newest of equal actor, label and object. ``timeouts`` (rel_label, timeout, event) is configuration and small."""
-    t = facts.join(F.broadcast(timeouts), "rel_label")
+    the newest of equal actor, label and object. ``timeouts`` (rel_label, timeout, event) is configuration, and broadcast if it is small."""
+    t = facts.join(few(timeouts), "rel_label")
     last = t.groupBy("rel_tid").agg(F.max_by(F.struct("ts", "timeout", "event", "obs_id", "actor_pk", "object_pk"), F.struct("ts", "obs_id")).alias("t"))
     return last.select(F.col("rel_tid").alias("id"), F.lit(1).alias("status"), "t.*")
 

@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast, if a count finds no more rows than that; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Batches:
     """Append-only tables in ``folder``, with a log of commits.
 
