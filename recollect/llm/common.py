@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -78,10 +79,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 class Shared:
     """A broadcast of objects of this package. Spark's own broadcast pickles them by reference, which executors without
-    the package can't follow; here they are pickled by value and made again once a task."""
+    the package can't follow; here they are pickled by value, with their arrays beside them, and made again once a task
+    around the broadcast's arrays, which aren't copied."""
 
     def __init__(self, spark: SparkSession, content: object) -> None:
-        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(content))
+        arrays: list[pickle.PickleBuffer] = []
+        frame = cloudpickle.dumps(content, protocol=5, buffer_callback=arrays.append)
+        self.pickled = spark.sparkContext.broadcast((frame, [np.frombuffer(a.raw(), np.uint8) for a in arrays]))
 
     def __getstate__(self) -> dict:
         return {"pickled": self.pickled}
@@ -89,7 +93,8 @@ class Shared:
     @property
     def value(self):
         if not hasattr(self, "content"):
-            self.content = pickle.loads(self.pickled.value)
+            frame, arrays = self.pickled.value
+            self.content = pickle.loads(frame, buffers=arrays)
         return self.content
 
 

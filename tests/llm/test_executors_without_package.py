@@ -39,3 +39,16 @@ def test_all_queries(tmp_path):
     done = subprocess.run([sys.executable, str(tmp_path / "run.py"), REPO, str(tmp_path / "shared")], cwd=tmp_path / "empty", env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-3000:]
     assert len(done.stdout.split("\n")) == 14
+
+
+def test_shared_arrays_are_not_copied(spark):
+    import numpy as np
+    from recollect.llm.class_lm import Lookup
+    from recollect.llm.common import Shared
+
+    words = np.arange(1000, dtype=np.int64)
+    shared = Shared(spark, (Lookup(words, words + 1), np.ones(5)))
+    lookup, ones = shared.value
+    assert ones.tolist() == [1] * 5 and lookup(np.array([7, 5000])).tolist() == [8, -1]
+    held = shared.pickled.value[1]
+    assert any(np.shares_memory(lookup.values, a) for a in held)
