@@ -14,6 +14,7 @@ from .common import slices
 
 #: Bounds of the training sample: rows a language, bytes of a dictionary, bytes of all dictionaries (which are broadcast), languages.
 ROWS, DICTIONARY, DICTIONARIES, LANGUAGES = 256, 1 << 16, 1 << 26, 8000
+HASHES = 1 << 40
 #: Texts are encoded in blocks, each with the dictionary at hand, so that all of a long text speaks.
 BLOCK, LEVEL = 2048, 9
 #: A prediction is accepted if it saves this share of what the next language needs.
@@ -35,20 +36,23 @@ def is_held_out(doc_id: Column) -> Column:
 
 def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw-content dictionaries by language, the most frequent first: pieces of at most ``rows`` texts that aren't held out,
-    those with the least hash of their ids, each from a place in the text that the hash chooses. Fewer texts give longer
+    those with the least hash of id and text, each from a place in the text that the hash chooses. Fewer texts give longer
     pieces. The number of languages may not exceed ``LANGUAGES``; all dictionaries together stay under ``DICTIONARIES``."""
     train = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    train = train.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES)))
+    counts = train.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return {}
     size = min(size, DICTIONARIES // len(counts))
-    lengths = docs.sparkSession.createDataFrame([(r["lang"], max(size // min(r["n"], rows), 1)) for r in counts], "lang string, piece int")
-    order = Window.partitionBy("lang").orderBy("hash", "more")
-    hashed = train.select("lang", "text", F.xxhash64("doc_id").alias("hash"), F.xxhash64("text").alias("more")).join(F.broadcast(lengths), "lang")
+    # so that few more than the wanted rows are ordered in one task, those of larger hashes go first; the least always stays
+    bounds = [(r["lang"], max(size // min(r["n"], rows), 1), max(min(HASHES, HASHES * (4 * rows + 64) // r["n"]), r["least"])) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, piece int, most long")
+    near = train.join(F.broadcast(bounds), "lang").where("hash <= most")
     place = F.pmod("hash", F.greatest(F.length("text") - 2 * F.col("piece") + 1, F.lit(1))) + 1
-    pieces = hashed.select("lang", "hash", "more", "piece", F.substr("text", place.cast("int"), 2 * F.col("piece")).alias("text"))
+    pieces = near.select("lang", "hash", "piece", F.substr("text", place.cast("int"), 2 * F.col("piece")).alias("text"))
+    order = Window.partitionBy("lang").orderBy("hash", "text")
     chosen = pieces.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows).orderBy("lang", "at").collect()
     found: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in chosen:

@@ -187,6 +187,15 @@ def test_languages_of_odd_rows(spark):
     assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
 
 
+def test_dictionaries_are_bounded_and_never_empty(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(8)), "aa", "s", 0, "", 0) for i in range(3000)]
+    rows += [(6, "the same text over and over", "bb", "s", 0, "", 0)] * 3000 + [(i, "x" * i, "cc", "s", 0, "", 0) for i in range(4000, 4004)]
+    found = language.dictionaries(spark.createDataFrame(rows, DOCS).repartition(9), rows=20, size=400)
+    assert set(found) == {"aa", "bb", "cc"} and all(0 < len(d) <= 400 for d in found.values())
+    assert len(found["aa"]) > 350 and b"the same" in found["bb"] or b"over" in found["bb"] or b"text" in found["bb"]
+
+
 def test_label_does_not_reach_a_prediction(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     changed = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 4 = 2 THEN 'zz' ELSE lang END AS lang", "'x' AS source")
