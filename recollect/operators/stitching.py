@@ -44,17 +44,20 @@ def delta(store: Batches, properties: DataFrame, gids: DataFrame, names: tuple[s
     """
     own = gids.select("entity_pk", "entity_gid", "ts")
     known = store.read(names[1], own.schema).select("entity_pk", "entity_gid", "ts")
-    changed = own.select("entity_pk").distinct()
-    before = newest_gids(known.join(changed, "entity_pk", "left_semi"))
-    after = newest_gids(known.join(changed, "entity_pk", "left_semi").unionByName(own))
-    moved = after.select("entity_pk", identity().alias("identity")).join(before.select("entity_pk", F.col("entity_gid").alias("_old")), "entity_pk", "left")
+    every = known.unionByName(own)
+
+    def of(log: DataFrame, entities: DataFrame) -> DataFrame:
+        """Newest gids of these entities; the log is cut to them before it is dealt out."""
+        return newest_gids(log.join(entities.select("entity_pk").distinct(), "entity_pk", "left_semi"))
+
+    moved = of(every, own).select("entity_pk", identity().alias("identity")).join(of(known, own).select("entity_pk", F.col("entity_gid").alias("_old")), "entity_pk", "left")
     moved = moved.withColumn("_old", F.coalesce("_old", "entity_pk")).where("_old <> identity")
     left = moved.select(F.col("_old").alias("identity")).distinct()
 
-    every = newest_gids(known.unionByName(own))
     new = newest_properties(properties)
-    placed = new.join(every.select("entity_pk", "entity_gid"), "entity_pk", "left").select(identity().alias("identity"), *OWN)
-    stay = every.where("entity_gid is not null").select("entity_pk", F.col("entity_gid").alias("identity")).join(left, "identity", "left_semi")
+    placed = new.join(of(every, new).select("entity_pk", "entity_gid"), "entity_pk", "left").select(identity().alias("identity"), *OWN)
+    ever = every.join(left.select(F.col("identity").alias("entity_gid")), "entity_gid", "left_semi")
+    stay = of(every, ever).where("entity_gid is not null").select("entity_pk", F.col("entity_gid").alias("identity")).join(left, "identity", "left_semi")
     again = moved.select("entity_pk", "identity").unionByName(stay.select("entity_pk", "identity")).distinct()
     held = store.read(names[0], properties.schema).select(*OWN).unionByName(new)
     rewritten = newest_properties(held.join(again.select("entity_pk").distinct(), "entity_pk", "left_semi")).join(again, "entity_pk").select(*VIEW)
