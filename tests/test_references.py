@@ -28,6 +28,20 @@ def test_chains_cycles_and_nothing(spark):
     assert references.resolved(spark.createDataFrame([], ENTITIES))[0].count() == 0
 
 
+def test_references_stay_in_their_rows(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    odd = {"a": entity("p", "1"), "b": entity("P", "1", x="end", n=None), "c": entity("q", "2", y="$(p#1).x", z="$(b).n", v="$(P#1). n ", self="$(c).self"), "d": None}
+    rows = [(f"o{i}", odd, i) for i in range(50)]
+    out, cycles = references.resolved(spark.createDataFrame(rows, ENTITIES))
+    got = out.where("id = 'o7'").first()["entities"]
+    assert got["c"]["traits"] == {"y": "end", "z": None, "v": None, "self": "$(c).self"} and got["a"]["traits"] is None and got["d"] is None
+    assert out.count() == 50 and {(r["link"], r["name"]) for r in cycles.collect()} == {("c", "self")}
+    assert set(os.listdir(shared)) == before  # nothing is stored on the way
+
+
 def test_states(spark):
     rows = spark.createDataFrame([("o", "a", None, {"x": "1"}), ("o", "b", "7", {"x": "2", "_id": "old"}), ("o", "c", "8", None)], "observation_id string, link string, entity_id string, traits map<string,string>")
     asked = spark.createDataFrame([("o", "c", "mood", "b"), ("o", "c", "none", "a"), ("o", "a", "no", "c"), ("o", "a", "lost", "zzz")], "observation_id string, link string, state string, ref string")
