@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import entity_pk
-from ..sources.tables import read_table
+from ..sources.tables import divide, read_table
 
 
 class Memory:
@@ -16,6 +16,7 @@ class Memory:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        divide(spark)
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
