@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import version_key
 from ..functions.scalars import cosine
 
 
@@ -20,9 +21,10 @@ def facts_between(facts: DataFrame, start, end, where: Column | None = None) ->
 
 def with_versions(facts: DataFrame, history: DataFrame, how: str = "inner") -> DataFrame:
     """Facts with the traits that actor and object had then, by (entity, data hash)."""
+    facts = facts.withColumns({f"_{r}": version_key(f"{r}_pk", f"{r}_data_hash") for r in ("actor", "object")})
     for role in ("actor", "object"):
-        h = history.select(F.col("entity_pk").alias("_pk"), F.col("data_hash").alias("_hash"), F.col("traits").alias(f"{role}_traits"))
-        facts = facts.join(h, (facts[f"{role}_pk"] == h["_pk"]) & (facts[f"{role}_data_hash"] == h["_hash"]), how).drop("_pk", "_hash")
+        h = history.select(version_key("entity_pk", "data_hash").alias(f"_{role}"), F.col("traits").alias(f"{role}_traits"))
+        facts = facts.join(h, f"_{role}", how).drop(f"_{role}")
     return facts
 
 
@@ -40,9 +42,10 @@ def unprocessed_with_traits(facts: DataFrame, jobs: DataFrame, history: DataFram
     out = out if since is None else out.where(F.col("ts") > F.lit(since))
     if after_seconds:
         out = out.where(F.col("ts") <= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(after_seconds)))
+    out = out.withColumns({f"_{r}": version_key(f"{r}_pk", f"{r}_data_hash") for r in ("actor", "rel", "object")})
     for role in ("actor", "rel", "object"):
-        h = history.select(F.col("entity_pk").alias(f"{role}_pk"), F.col("data_hash").alias(f"{role}_data_hash"), F.col("traits").alias(f"{role}_traits"))
-        out = out.join(h, [f"{role}_pk", f"{role}_data_hash"], "left")
+        h = history.select(version_key("entity_pk", "data_hash").alias(f"_{role}"), F.col("traits").alias(f"{role}_traits"))
+        out = out.join(h, f"_{role}", "left").drop(f"_{role}")
     return out
 
 
