@@ -12,6 +12,8 @@ from .texts import WORDS, bm25_weight
 
 #: Folders that terms are dealt to; a query reads those of its terms.
 BUCKETS = 64
+#: Texts whose postings of a bucket are sorted in one task, about.
+TEXTS = 100_000
 PARTS = {"postings": ("bucket",)}
 
 
@@ -37,11 +39,18 @@ def add(store: Batches, batch: str | int, texts: DataFrame, key: str = "id", tex
     replaced = held.select("id", F.lit(number).alias("batch"))
     added, gone = (d.agg(F.count("*").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")) for d in (documents, held))
     totals = added.unionByName(gone.select((-F.col("texts")).alias("texts"), (-F.col("words")).alias("words")))
-    # a bucket's rows meet in one task and are sorted, so that a folder has one file a batch and its row groups have few terms
-    rows = rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id")
+    rows = dealt(rows, texts.count())
     return store.commit(batch, {"postings": rows, "documents": documents, "replaced": replaced, "totals": totals}, PARTS)
 
 
+def dealt(rows: DataFrame, texts: int) -> DataFrame:
+    """Postings sorted within tasks, so that row groups have few terms. A bucket's rows form one file a batch, or more where
+    the batch has many texts: a task has those of about ``TEXTS`` texts, and a frequent word is dealt to several."""
+    pieces = max(1, -(-texts // TEXTS))
+    own = rows.withColumn("_piece", F.pmod(F.xxhash64("id"), F.lit(pieces)))
+    return own.repartition(BUCKETS * pieces, "bucket", "_piece").sortWithinPartitions("bucket", "term", "id").drop("_piece")
+
+
 def live_documents(documents: DataFrame) -> DataFrame:
     return documents.groupBy("id").agg(F.max_by("length", "batch").alias("length"), F.max("batch").alias("batch"))
 
@@ -68,7 +77,7 @@ def search(store: Batches, query: str, limit: int | None = 10, k1: float = 1.2,
 def compact(store: Batches) -> None:
     """The index of the texts that count, in one file a bucket."""
     postings, replaced = store.read("postings"), store.read("replaced")
-    rows = live_postings(postings, replaced).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "id")
     documents = live_documents(store.read("documents"))
+    rows = dealt(live_postings(postings, replaced), documents.count())
     totals = store.read("totals").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
     store.commit(f"compact-{store.next()}", {"postings": rows, "documents": documents, "replaced": replaced.limit(0), "totals": totals}, PARTS, whole=True)
