@@ -22,6 +22,14 @@ def kind_of(v: Column) -> Column:
     return F.when(F.is_variant_null(v), "null").otherwise(own)
 
 
+def kind_of_text(value: str) -> Column:
+    """``kind_of`` of a variant's JSON text. Only numbers are parsed: the first character tells the rest apart, and the
+    schema of a whole object or list isn't worked out."""
+    first = F.substring(value, 1, 1)
+    known = [("{", "object"), ("[", "array"), ('"', "string"), ("n", "null"), ("t", "boolean"), ("f", "boolean")]
+    return F.coalesce(*[F.when(first == c, kind) for c, kind in known], kind_of(F.parse_json(value)))
+
+
 def name_of(path: Column) -> Column:
     """Keys and places joined by dots."""
     return F.array_join(F.transform(path, lambda s: F.coalesce(s["key"], s["pos"].cast("string"))), ".")
@@ -37,8 +45,7 @@ def leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     path = F.array().cast(f"array<{STEP}>").alias("path")
     rows = df.where(F.col(column).isNotNull()).select(*keys, path, F.to_json(column).alias("value"))
     while True:
-        kind = kind_of(F.parse_json("value"))
-        rows = stored(rows.select(*keys, "path", kind.alias("kind"), "value"), "nested")
+        rows = stored(rows.select(*keys, "path", kind_of_text("value").alias("kind"), "value"), "nested")
         deep = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
         found.append(rows.where(~deep).select(*keys, "path", name_of(F.col("path")).alias("name"), "kind", "value"))
         inner = rows.where(deep)
