@@ -217,6 +217,12 @@ def property_state(properties: DataFrame) -> DataFrame:
     return properties.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "property_value")).alias("s")).select(*keys, "s.*")
 
 
+def entity_properties(entities: DataFrame, own: bool = False) -> DataFrame:
+    """``property_state`` of the ``property_rows`` of entities. Rows of an entity meet before their traits are taken apart, so
+    an entity's row is shuffled once and not once for each trait; what is grouped by entity afterwards stays where it is."""
+    return property_state(property_rows(entities.repartition("entity_pk"), own))
+
+
 def merge_observations(observations: DataFrame) -> DataFrame:
     """Observations with the same id and session as one: the newest wins, entities are merged trait by trait, relations
     are put together by time, and one denial of consent counts for all.

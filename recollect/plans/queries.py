@@ -360,9 +360,13 @@ def scalar_text_mix(m: Memory) -> DataFrame:
 
 def nested_observations(m: Memory) -> DataFrame:
     """Orders as nested observations: their customer and parts as entities, one relation for each line."""
-    lines = m.raw("lineitem").select("l_orderkey", F.concat(F.lit("part"), "l_partkey").alias("link"), F.struct(
-        F.lit("part").alias("kind"), F.col("l_partkey").cast("string").alias("id"), F.create_map(F.lit("size"), F.lit("1")).alias("traits")).alias("e"))
-    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct(F.col("link"), F.struct("e.kind", "e.id").alias("e")))).alias("parts"), F.collect_list("link").alias("to"))
+    def link(k):
+        return F.concat(F.lit("part"), k)
+
+    lines = m.raw("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey")  # numbers, before texts are made of them
+    per = lines.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("keys"))
+    parts = F.transform(F.array_distinct("keys"), lambda k: F.struct(link(k).alias("link"), F.struct(F.lit("part").alias("kind"), k.cast("string").alias("id")).alias("e")))
+    per = per.select("l_orderkey", F.array_sort(parts).alias("parts"), F.transform("keys", link).alias("to"))
     o = m.raw("orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     customer = F.struct(F.lit("me").alias("link"), F.struct(F.lit("Customer").alias("kind"), F.col("o_custkey").cast("string").alias("id")).alias("e"))
     entities = F.map_from_entries(F.transform(F.concat("parts", F.array(customer)), lambda p: F.struct(p["link"].alias("key"), F.struct(
@@ -381,5 +385,5 @@ def ingest_facts(m: Memory) -> DataFrame:
 @query("""SELECT entity_pk, property_name, property_value FROM (SELECT DISTINCT md5(concat('part-', l_partkey)) AS entity_pk, CAST(l_partkey AS VARCHAR) AS i, 'part' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0
  UNION SELECT md5(concat('customer-', o_custkey)), CAST(o_custkey AS VARCHAR), 'Customer' FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0), LATERAL (VALUES ('$id', i), ('$type', t), ('$pk', entity_pk)) AS p(property_name, property_value)""")
 def ingest_properties(m: Memory) -> DataFrame:
-    rows = ingest.property_rows(ingest.entity_rows(ingest.admitted(nested_observations(m), whole=True)), own=True)
-    return ingest.property_state(rows).select("entity_pk", "property_name", "property_value").distinct()
+    rows = ingest.entity_properties(ingest.entity_rows(ingest.admitted(nested_observations(m), whole=True)), own=True)
+    return rows.select("entity_pk", "property_name", "property_value").distinct()
