@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from recollect.operators import ingest
+from recollect.operators import ingest, observations
 
 
 def plan(df):
@@ -19,3 +19,11 @@ def test_an_entity_is_shuffled_once(spark):
     want = ingest.property_state(ingest.property_rows(entities(spark), own=True))
     assert Counter(found.collect()) == Counter(want.collect())
     assert plan(found.select("entity_pk", "property_name", "property_value").distinct()).count("Exchange hashpartitioning") == 1
+
+
+def test_nested_rows_are_shuffled_before_arrays_are_made(spark):
+    links = spark.createDataFrame([("o1", "p1", "part", {"a": "x"}, 1), ("o1", "p2", "part", None, None)], "observation_id string, entity_pk string, entity_type string, traits map<string,string>, state_ts long")
+    facts = spark.createDataFrame([("o1", 1, "l", "r")], "obs_id string, ts long, rel_label string, rel_id string")
+    found = observations.nested(spark.createDataFrame([("o1",), ("o2",)], "id string"), links, None, facts)
+    assert plan(found).count("REPARTITION_BY_COL") == 2
+    assert {r["id"]: (len(r["entities"]), len(r["facts"])) for r in found.collect()} == {"o1": (2, 1), "o2": (0, 0)}
