@@ -1,15 +1,15 @@
 """Keyed state with timers: observations that end and end again, timers that fire once.
 
 State lives in Spark's state store by key, and event-time timers fire when the watermark passes them. The processors are
-Python (``transformWithStateInPandas``), one call a key and batch; they need the RocksDB state store, which is set here.
+Python (``transformWithState``), one call a key and batch; they need the RocksDB state store, which is set here. Each use of
+state or timers is a message to the JVM, so a key that is new costs three: what it holds, the new value, its timer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -28,19 +28,19 @@ class EndedObservations(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(part["at"].max()) for part in rows)
-        held = self.last.get()[0] if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max(r["at"] for r in rows)
+        held = (self.last.get() or (None,))[0]
         if held is None or newest > held:
-            if held is not None and held // 1000 + self.inactive_ms <= timerValues.getCurrentWatermarkInMs():
-                yield pd.DataFrame({"obs_id": [key[0]], "at": [held]})  # had ended before these came
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
+            if held is not None:
+                if held // 1000 + self.inactive_ms <= timerValues.getCurrentWatermarkInMs():
+                    yield Row(obs_id=key[0], at=held)  # had ended before these came
+                self.handle.deleteTimer(held // 1000 + self.inactive_ms)
             self.last.update((newest,))
             self.handle.registerTimer(newest // 1000 + self.inactive_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"obs_id": [key[0]], "at": [self.last.get()[0]]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield Row(obs_id=key[0], at=self.last.get()[0])
         self.last.clear()
 
     def close(self) -> None:
@@ -56,19 +56,18 @@ class FiringTimers(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.row = handle, handle.getValueState("row", self.STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = [tuple(None if pd.isna(x) else x for x in r) for part in rows for r in part[["at", *self.FIELDS]].itertuples(index=False)]
-        newest = max(found, key=lambda r: (r[0], r[3] or ""))
-        held = self.row.get() if self.row.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max((tuple(r[c] for c in ("at", *self.FIELDS)) for r in rows), key=lambda r: (r[0], r[3] or ""))
+        held = self.row.get()
         if held is None or (newest[0], newest[3] or "") > (held[0], held[3] or ""):
-            if held is not None and self.due(held) <= timerValues.getCurrentWatermarkInMs():
-                yield from self.fired(key, held)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.row.update((int(newest[0]), int(newest[1]), *newest[2:]))
+            if held is not None:
+                if self.due(held) <= timerValues.getCurrentWatermarkInMs():
+                    yield from self.fired(key, held)
+                self.handle.deleteTimer(self.due(held))
+            self.row.update(newest)
             self.handle.registerTimer(self.due(newest))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self.fired(key, self.row.get())
         self.row.clear()
 
@@ -76,10 +75,10 @@ class FiringTimers(StatefulProcessor):
     def due(row: tuple) -> int:
         return int(row[0]) // 1000 + 1000 * min(int(row[1]), PURGE_SECONDS)
 
-    def fired(self, key, row: tuple) -> Iterator[pd.DataFrame]:
+    def fired(self, key, row: tuple) -> Iterator[Row]:
         at, timeout, *rest = row
         if timeout < PURGE_SECONDS:
-            yield pd.DataFrame({"id": [key[0]], "at": [at], "timeout": [timeout], **{name: pd.Series([x], dtype=object) for name, x in zip(self.FIELDS[1:], rest)}})
+            yield Row(id=key[0], at=at, timeout=timeout, **dict(zip(self.FIELDS[1:], rest)))
 
     def close(self) -> None:
         pass
@@ -92,7 +91,7 @@ def ended_observations(facts: DataFrame, inactive_minutes: int = 60, late: str =
     facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = facts.where("obs_id is not null and ts is not null").select("obs_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     rows = rows.withColumn("at", F.unix_micros("ts"))
-    ended = rows.groupBy("obs_id").transformWithStateInPandas(EndedObservations(inactive_minutes * 60_000), "obs_id string, at long", "Append", "EventTime")
+    ended = rows.groupBy("obs_id").transformWithState(EndedObservations(inactive_minutes * 60_000), "obs_id string, at long", "Append", "EventTime")
     return ended.select("obs_id", F.timestamp_micros("at").alias("ts"))
 
 
@@ -103,5 +102,5 @@ def fired_timers(timers: DataFrame, late: str = "10 minutes") -> DataFrame:
     timers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = timers.where("id is not null and ts is not null and timeout is not null")
     rows = rows.select("id", F.col("ts").cast("timestamp").alias("ts"), F.col("timeout").cast("long").alias("timeout"), *FiringTimers.FIELDS[1:]).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    fired = rows.groupBy("id").transformWithStateInPandas(FiringTimers(), "id string, " + FiringTimers.STATE, "Append", "EventTime")
+    fired = rows.groupBy("id").transformWithState(FiringTimers(), "id string, " + FiringTimers.STATE, "Append", "EventTime")
     return fired.select("id", F.timestamp_micros("at").alias("ts"), *FiringTimers.FIELDS)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 from recollect.operators import ingest, observations
+from recollect.streaming import timers
 
 
 def plan(df):
@@ -27,3 +28,47 @@ def test_nested_rows_are_shuffled_before_arrays_are_made(spark):
     found = observations.nested(spark.createDataFrame([("o1",), ("o2",)], "id string"), links, None, facts)
     assert plan(found).count("REPARTITION_BY_COL") == 2
     assert {r["id"]: (len(r["entities"]), len(r["facts"])) for r in found.collect()} == {"o1": (2, 1), "o2": (0, 0)}
+
+
+class Handle:
+    """Counts the messages that a processor sends."""
+
+    def __init__(self):
+        self.sent, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.sent += 1
+        return self.value
+
+    def exists(self):
+        self.sent += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.sent, self.value = self.sent + 1, value
+
+    def listTimers(self):  # noqa: N802
+        self.sent += 1
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.sent += 1
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.sent += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_a_new_timer_costs_three_messages(spark):
+    h, p = Handle(), timers.FiringTimers()
+    p.init(h)
+    row = dict(at=1_000_000, timeout=60, event="e", obs_id="o", actor_pk=None, object_pk=None)
+    assert list(p.handleInputRows(("t",), iter([row]), h)) == [] and h.sent == 3 and h.timers == {61_000}
+    assert list(p.handleInputRows(("t",), iter([row | {"at": 2_000_000}]), h)) == [] and h.timers == {62_000}
