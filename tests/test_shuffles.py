@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from recollect.operators import ingest, observations
+from recollect.operators import ingest, observations, search
 from recollect.streaming import timers
 
 
@@ -72,3 +72,11 @@ def test_a_new_timer_costs_three_messages(spark):
     row = dict(at=1_000_000, timeout=60, event="e", obs_id="o", actor_pk=None, object_pk=None)
     assert list(p.handleInputRows(("t",), iter([row]), h)) == [] and h.sent == 3 and h.timers == {61_000}
     assert list(p.handleInputRows(("t",), iter([row | {"at": 2_000_000}]), h)) == [] and h.timers == {62_000}
+
+
+def test_a_search_adds_up_in_one_shuffle(spark):
+    links = spark.createDataFrame([("p1", "o1", "part"), ("p1", "o1", "part"), ("c1", "o1", "customer"), ("c1", "o2", "customer")], "entity_pk string, observation_id string, entity_type string")
+    state = spark.createDataFrame([("A", "p1", "part", "n", "v", 1)], "observer_pk string, entity_pk string, entity_type string, property_name string, property_value string, ts long")
+    found = search.qualifying(state, links, [search.Entity("customer"), search.Entity("part")])
+    assert "count(distinct" not in plan(found)
+    assert [(r["observation_id"], r["no_of_entities"]) for r in found.collect()] == [("o1", 2)]
