@@ -25,16 +25,16 @@ def grams_of(text: str):
 def add(store: Batches, batch: str | int, texts: DataFrame, text: str = "text_string", rows_per_block: int = ROWS) -> bool:
     """Take a batch of texts (id, text, other columns) into the index; one that is there already is left alone. Whether it
     was taken. A batch's texts form blocks of their own. Null texts hold nothing; ids aren't replaced, for a text's id is
-    its md5."""
+    its md5. A block's texts meet first, so its grams are found where the texts are, however few the files that hold these."""
     if store.has(batch):
         return False
     number = store.next()
     blocks = max(1, math.ceil(texts.count() / rows_per_block))
-    rows = texts.where(F.col(text).isNotNull()).withColumn("block", F.concat(F.lit(f"{number}-"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("string")))
+    rows = texts.where(F.col(text).isNotNull()).withColumn("block", F.concat(F.lit(f"{number}-"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("string"))).repartition("block")
     grams = rows.select("block", F.explode(grams_of(text)).alias("gram")).distinct()
     grams = grams.withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
     grams = grams.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram")
-    return store.commit(batch, {"texts": rows.repartition(F.col("block")), "grams": grams}, PARTS)
+    return store.commit(batch, {"texts": rows, "grams": grams}, PARTS)
 
 
 def candidates(store: Batches, words: str) -> DataFrame | None:

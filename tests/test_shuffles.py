@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-from recollect.operators import ingest, observations, search
+from recollect.operators import grams, ingest, observations, search
+from recollect.sources.batches import Batches, shared_folder
 from recollect.streaming import timers
 
 
@@ -80,3 +81,16 @@ def test_a_search_adds_up_in_one_shuffle(spark):
     found = search.qualifying(state, links, [search.Entity("customer"), search.Entity("part")])
     assert "count(distinct" not in plan(found)
     assert [(r["observation_id"], r["no_of_entities"]) for r in found.collect()] == [("o1", 2)]
+
+
+def test_grams_are_found_where_a_blocks_texts_are(spark):
+    class Store(Batches):
+        def commit(self, batch, tables, parts=None, **how):
+            self.made = plan(tables["grams"])
+            return super().commit(batch, tables, parts, **how)
+
+    store = Store(spark, shared_folder(spark, "grams"))
+    texts = spark.createDataFrame([(str(n), f"text number {n}") for n in range(40)], "id string, text_string string").coalesce(1)
+    grams.add(store, 0, texts, rows_per_block=10)
+    assert "hashpartitioning(block" in store.made and "hashpartitioning(block#" in store.made and store.made.count("Exchange hashpartitioning") == 2
+    assert {r["id"] for r in grams.search(store, "Number 3").collect()} == {"3", *map(str, range(30, 40))}
