@@ -227,26 +227,32 @@ def merge_observations(observations: DataFrame) -> DataFrame:
     """Observations with the same id and session as one: the newest wins, entities are merged trait by trait, relations
     are put together by time, and one denial of consent counts for all.
 
-    The order is total: by time, then by content. Newer traits replace older ones of the same name and entity; the kind
-    and id of an entity are the newest that aren't null. Only copies of one observation meet; rows without an id go.
+    The order is total: by time, then by content, which is written out only where times are equal. Newer traits replace older
+    ones of the same name and entity; the kind and id of an entity are the newest that aren't null. Only copies of one
+    observation meet, each shuffled once; rows without an id go.
     """
     relations = F.transform("relation", lambda r: F.struct(r["ts"].alias("ts"), r["label"].alias("label"), r["actor"].alias("actor"), r["objects"].alias("objects"), F.array_sort(F.map_entries(r["traits"])).alias("traits")))
     o = observations.where(F.col("id").isNotNull()).withColumn("relation", relations)
-    order = F.struct("ts", F.to_json(F.struct("label", "observer", "source_id", "relation")), F.to_json(F.struct("entities")))
-    o = o.withColumn("o", F.struct(order.alias("order"), "entities"))
-    grouped = o.groupBy("id", "session_id").agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, order).alias(c) for c in ("label", "observer", "source_id")],
-        F.min(F.coalesce("consent", F.lit(True))).alias("consent"), F.collect_list(F.struct("o.order", F.map_entries("entities").alias("e"))).alias("es"), F.flatten(F.collect_list("relation")).alias("relation"))
+    copies = F.collect_list(F.struct("ts", "label", "observer", "source_id", "relation", "entities"))
+    grouped = o.repartition("id", "session_id").groupBy("id", "session_id").agg(F.min(F.coalesce("consent", F.lit(True))).alias("consent"), copies.alias("es"))
+    tied = F.size(F.array_distinct(F.transform("es", lambda x: x["ts"]))) < F.size("es")
+
+    def key(x, place):
+        content = [F.to_json(F.struct(x["label"].alias("label"), x["observer"].alias("observer"), x["source_id"].alias("source_id"), x["relation"].alias("relation"))), F.to_json(F.struct(x["entities"].alias("entities")))]
+        return F.struct(x["ts"].alias("ts"), *[F.when(tied, c).alias(n) for n, c in zip("ab", content)], place.alias("place"))
+
+    grouped = grouped.withColumn("es", F.transform(F.sort_array(F.transform("es", key)), lambda k: F.get("es", k["place"])))
+    last = F.element_at("es", -1)
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
     def one(a, b):
         return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(F.struct(F.coalesce(b["kind"], a["kind"]).alias("kind"), F.coalesce(b["id"], a["id"]).alias("id"), merged(F.coalesce(a["traits"], nothing), F.coalesce(b["traits"], nothing)).alias("traits")))
 
-    by_order = F.array_sort("es", lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0))
-    start = F.map_from_entries(F.slice(F.element_at(by_order, 1)["e"], 1, 0))
-    entities = F.aggregate(by_order, start, lambda a, x: F.map_zip_with(a, F.map_from_entries(F.coalesce(x["e"], F.slice(F.element_at(by_order, 1)["e"], 1, 0))), lambda k, p, q: one(p, q)))
-    ordered = F.transform(F.array_sort("relation"), lambda r: F.struct(r["label"].alias("label"), r["ts"].alias("ts"), r["actor"].alias("actor"), r["objects"].alias("objects"), F.map_from_entries(r["traits"]).alias("traits")))
-    return grouped.select("id", "ts", "label", "observer", "source_id", "session_id", "consent", entities.alias("entities"), ordered.alias("relation"))
+    start = F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{observations.schema['entities'].dataType.valueType.simpleString()}>>"))
+    entities = F.aggregate("es", start, lambda a, x: F.map_zip_with(a, F.coalesce(x["entities"], start), lambda k, p, q: one(p, q)))
+    relation = F.flatten(F.filter(F.transform("es", lambda x: x["relation"]), lambda r: r.isNotNull()))
+    ordered = F.transform(F.array_sort(relation), lambda r: F.struct(r["label"].alias("label"), r["ts"].alias("ts"), r["actor"].alias("actor"), r["objects"].alias("objects"), F.map_from_entries(r["traits"]).alias("traits")))
+    return grouped.select("id", last["ts"].alias("ts"), *[last[c].alias(c) for c in ("label", "observer", "source_id")], "session_id", "consent", entities.alias("entities"), ordered.alias("relation"))
 
 
 def conversation_memory(turns: DataFrame, key: str, order: list[str], text: str, most: int = 100_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
 from recollect.operators import grams, ingest, observations, search
 from recollect.sources.batches import Batches, shared_folder
 from recollect.streaming import timers
@@ -94,3 +95,14 @@ def test_grams_are_found_where_a_blocks_texts_are(spark):
     grams.add(store, 0, texts, rows_per_block=10)
     assert "hashpartitioning(block" in store.made and "hashpartitioning(block#" in store.made and store.made.count("Exchange hashpartitioning") == 2
     assert {r["id"] for r in grams.search(store, "Number 3").collect()} == {"3", *map(str, range(30, 40))}
+
+
+def test_copies_are_shuffled_once_and_ordered_by_content_at_equal_times(spark):
+    rows = spark.createDataFrame([("o", i, "2024-01-01", label, True, {"m": ("part", "1", {"a": label})}) for i, label in enumerate("ba")],
+                                 "id string, n int, ts string, label string, consent boolean, entities map<string, struct<kind:string, id:string, traits:map<string,string>>>")
+    rows = rows.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "label", F.lit("m").alias("observer"), F.lit("s").alias("source_id"), F.lit(None).cast("string").alias("session_id"), "consent", "entities",
+                       F.lit(None).cast("array<struct<label: string, ts: timestamp_ntz, actor: string, objects: array<string>, traits: map<string, string>>>").alias("relation"))
+    found = ingest.merge_observations(rows)
+    assert "max_by" not in plan(found) and "REPARTITION_BY_COL" in plan(found)
+    got = found.first()
+    assert got["label"] == "b" and got["entities"]["m"]["traits"] == {"a": "b"} and got["relation"] == []
