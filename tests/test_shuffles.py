@@ -84,6 +84,27 @@ def test_a_search_adds_up_in_one_shuffle(spark):
     assert [(r["observation_id"], r["no_of_entities"]) for r in found.collect()] == [("o1", 2)]
 
 
+def test_links_without_a_hit_are_dropped_before_they_are_shuffled(spark):
+    n = spark.range(1000)
+    links = n.select(F.md5(F.col("id").cast("string")).alias("entity_pk"), F.concat(F.lit("o"), F.col("id") % 100).alias("observation_id"), F.lit("part").alias("entity_type")).distinct()
+    state = n.select(F.lit("A").alias("observer_pk"), F.md5(F.col("id").cast("string")).alias("entity_pk"), F.lit("part").alias("entity_type"), F.lit("n").alias("property_name"),
+                     F.when(F.col("id") % 250 == 7, "V").otherwise("w").alias("property_value"), F.lit(1).alias("ts"))
+    found = search.qualifying(state, links, [search.Entity("part", (search.Property("n", "v"),))])
+    lines = plan(found).splitlines()
+    distinct = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(" in x and "observation_id" not in x.split("hashpartitioning(")[1].split("#")[0])
+    assert any("LeftSemi" in x for x in lines[distinct:]) and not any("LeftSemi" in x for x in lines[:distinct])
+    assert sorted((r["observation_id"], r["no_of_matched_props"]) for r in found.collect()) == [("o57", 2), ("o7", 2)]
+
+
+def test_a_filter_of_bits_keeps_every_key(spark):
+    df = spark.range(-5000, 5000).select(F.when(F.col("id") != 0, F.col("id").cast("string")).alias("k"))
+    keys = df.where("k % 40 = 3")
+    want = {r["k"] for r in keys.collect()}
+    few, many = ([r["k"] for r in search.perhaps_in(df, keys, "k", bits=b).collect()] for b in (1 << 26, 64))
+    assert set(few) == want and want < set(many) and len(many) == len(set(many))
+    assert search.perhaps_in(df, keys.where("false"), "k").count() == 0
+
+
 def test_grams_are_found_where_a_blocks_texts_are(spark):
     class Store(Batches):
         def commit(self, batch, tables, parts=None, **how):
