@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from ..sources.batches import stored
 #: A step of a path is a key of an object or a place in a list.
 STEP = "struct<key: string, pos: int>"
 LEAVES = ("path", "name", "kind", "value")
+#: Between the steps of a path in one text; it isn't in JSON's quoted texts.
+SEPARATOR = "\x01"
 
 
 def kind_of(v: Column) -> Column:
@@ -23,11 +24,11 @@ def kind_of(v: Column) -> Column:
 
 
 def kind_of_text(value: str) -> Column:
-    """``kind_of`` of a variant's JSON text. Only numbers are parsed: the first character tells the rest apart, and the
-    schema of a whole object or list isn't worked out."""
+    """``kind_of`` of a variant's JSON text. Only numbers with more than 18 digits, or other than digits, are parsed: the first
+    character tells the rest apart, and the schema of a whole object or list isn't worked out."""
     first = F.substring(value, 1, 1)
     known = [("{", "object"), ("[", "array"), ('"', "string"), ("n", "null"), ("t", "boolean"), ("f", "boolean")]
-    return F.coalesce(*[F.when(first == c, kind) for c, kind in known], kind_of(F.parse_json(value)))
+    return F.coalesce(*[F.when(first == c, kind) for c, kind in known], F.when(F.col(value).rlike(r"^-?\d{1,18}$"), "bigint"), kind_of(F.parse_json(value)))
 
 
 def name_of(path: Column) -> Column:
@@ -35,53 +36,92 @@ def name_of(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda s: F.coalesce(s["key"], s["pos"].cast("string"))), ".")
 
 
-def leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def brackets_of_text(value: str) -> Column:
+    """The brackets of a JSON text in order, without those within strings."""
+    plain = F.when(F.contains(value, F.lit("\\")), F.regexp_replace(value, r"\\.", "")).otherwise(F.col(value))
+    return F.regexp_replace(plain, r'"[^"]*"[^\[\]{}"]*|[^\[\]{}"]+', "")
+
+
+def depth_of_brackets(brackets: str) -> Column:
+    """How many levels they have; an empty object or list counts as one."""
+    def after(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when((bracket == "{") | (bracket == "["), 1).when((bracket == "}") | (bracket == "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), after)["most"]
+
+
+def leaves(df: DataFrame, keys: list[str], column: str, together: bool = False) -> DataFrame:
     """(keys, path, name, kind, value): each scalar, JSON null, and empty object or list of a variant column, with its path
     and its JSON text. Rows whose variant is null give none; neither do other columns.
 
-    A level of nesting is a lateral ``variant_explode``; what isn't a leaf yet is stored, so plans don't grow with depth.
+    Variants are stored once, as texts, and the deepest one's levels counted. A level of nesting is then a lateral
+    ``variant_explode`` that leaves go through as they are, so that nothing else is written. With ``together`` a key's
+    variant is shuffled to its key before it is taken apart, and ``assembled`` needs no shuffle of the leaves.
     """
-    spark, found = df.sparkSession, []
-    path = F.array().cast(f"array<{STEP}>").alias("path")
-    rows = df.where(F.col(column).isNotNull()).select(*keys, path, F.to_json(column).alias("value"))
-    while True:
-        rows = stored(rows.select(*keys, "path", kind_of_text("value").alias("kind"), "value"), "nested")
-        deep = F.col("kind").isin("object", "array") & ~F.col("value").isin("{}", "[]")
-        found.append(rows.where(~deep).select(*keys, "path", name_of(F.col("path")).alias("name"), "kind", "value"))
-        inner = rows.where(deep)
-        if inner.isEmpty():
-            break
-        inner = inner.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("path").alias("_path"), F.col("kind").alias("_kind"), F.parse_json("value").alias("_v"))
-        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        step = F.struct(F.when(F.col("_kind") == "object", F.col("key")).alias("key"), F.when(F.col("_kind") == "array", F.col("pos")).cast("int").alias("pos"))
-        rows = parts.select(*[F.col(f"_{k}").alias(k) for k in keys], F.concat("_path", F.array(step)).alias("path"), F.to_json("value").alias("value"))
-    return reduce(DataFrame.unionByName, found)
+    spark = df.sparkSession
+    # nulls are left out when the texts are read: a filter before that would make each variant twice
+    texts = stored(df.select(*keys, F.to_json(column).alias("value")), "nested", "zstd").where("value is not null")
+    depth = texts.select(brackets_of_text("value").alias("b")).distinct().agg(F.max(depth_of_brackets("b"))).first()[0] or 0
+    rows = (texts.repartition(*keys) if together else texts).select(*keys, F.array().cast(f"array<{STEP}>").alias("path"), F.parse_json("value").alias("v"))
+    for _ in range(depth):
+        outer = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("path").alias("_path"), F.col("v").alias("_v"))
+        parts = outer.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
+        step = F.struct("key", F.when(F.col("key").isNull(), F.col("pos")).cast("int").alias("pos"))
+        path = F.when(F.col("pos").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array(step)))
+        rows = parts.select(*[F.col(f"_{k}").alias(k) for k in keys], path.alias("path"), F.when(F.col("pos").isNull(), F.col("_v")).otherwise(F.col("value")).alias("v"))
+    rows = rows.select(*keys, "path", F.to_json("v").alias("value"))
+    return rows.select(*keys, "path", name_of(F.col("path")).alias("name"), kind_of_text("value").alias("kind"), "value")
+
+
+def _step_text(s: Column) -> Column:
+    """What a step opens, as ``{"key":`` or ``[``; with a list's comes the place, of equal length, so that texts have the places' order."""
+    # to_json of a list of one text is the text in quotes between brackets
+    quoted = F.when(s["key"].rlike(r'["\\\x00-\x1f]'), F.regexp_replace(F.to_json(F.array(s["key"])), r"^\[|\]$", "")).otherwise(F.concat(F.lit('"'), s["key"], F.lit('"')))
+    return F.when(s["pos"].isNull(), F.concat(F.lit("{"), quoted, F.lit(":"))).otherwise(F.concat(F.lit("["), F.lpad(s["pos"].cast("string"), 10, "0")))
 
 
 def assembled(rows: DataFrame, keys: list[str], column: str = "traits") -> DataFrame:
-    """(keys, column): the variants whose ``leaves`` these are. Objects and lists are put together level by level, the deepest
-    first; a key's leaves must be of one variant."""
-    depth = rows.agg(F.max(F.size("path"))).first()[0]
-    rows = stored(rows.select(*keys, "path", "value"), "nested")
-    for d in range(depth or 0, 0, -1):
-        last = F.element_at("path", -1)
-        entry = F.struct(last["pos"].alias("pos"), last["key"].alias("key"), "value")
-        groups = rows.where(F.size("path") == d).groupBy(*keys, F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        listed = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["value"]), ","), F.lit("]"))
-        # to_json of a list of one text is the text in quotes between brackets
-        quoted = F.transform("e", lambda x: F.concat(F.regexp_replace(F.to_json(F.array(x["key"])), r"^\[|\]$", ""), F.lit(":"), x["value"]))
-        objects = F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
-        made = groups.select(*keys, "path", F.when(F.col("e")[0]["pos"].isNotNull(), listed).otherwise(objects).alias("value"))
-        rows = stored(rows.where(F.size("path") < d).unionByName(made), "nested")
-    return rows.select(*keys, F.parse_json("value").alias(column))
+    """(keys, column): the variants whose ``leaves`` these are; a key's leaves must be of one variant.
+
+    A key's leaves are put in the order of their paths, and the text of each is written after what closes and opens between
+    its path and the one before.
+    """
+    def opened(steps: Column) -> Column:
+        return F.array_join(F.transform(steps, lambda s: F.when(F.startswith(s, F.lit("{")), s).otherwise("[")), "")
+
+    def closed(steps: Column) -> Column:
+        return F.array_join(F.reverse(F.transform(steps, lambda s: F.when(F.startswith(s, F.lit("{")), "}").otherwise("]"))), "")
+
+    def split(leaf: Column) -> Column:
+        return F.struct(F.when(leaf["path"] == "", F.array().cast("array<string>")).otherwise(F.split(leaf["path"], SEPARATOR)).alias("steps"), leaf["value"].alias("value"))
+
+    def fork(leaf: Column, i: Column) -> Column:
+        """The leaf with the steps before and the place from which its own differ from them."""
+        before = F.when(i > 0, F.get("e", i - 1)["steps"])
+        differs = F.array_position(F.zip_with(before, leaf["steps"], lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        return F.struct(leaf.alias("leaf"), before.alias("before"), differs.alias("n"))
+
+    def part(x: Column) -> Column:
+        steps = x["leaf"]["steps"]
+        between = F.concat(closed(F.slice(x["before"], x["n"] + 1, F.size(x["before"]))), F.lit(","), F.substr(opened(F.slice(steps, x["n"], F.size(steps))), F.lit(2)))
+        return F.concat(F.when(x["before"].isNull(), opened(steps)).otherwise(between), x["leaf"]["value"])
+
+    flat = rows.select(*keys, F.array_join(F.transform("path", _step_text), SEPARATOR).alias("path"), "value")
+    # a number as the first key: sorts that group many keys compare it before the keys themselves
+    groups = flat.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("e"))
+    groups = groups.select(*keys, F.transform("e", split).alias("e"))
+    text = F.concat(F.array_join(F.transform(F.transform("e", fork), part), ""), closed(F.element_at("e", -1)["steps"]))
+    return groups.select(*keys, F.parse_json(text).alias(column))
 
 
 def property_rows(entities: DataFrame, column: str = "traits") -> DataFrame:
     """Properties as ``ingest.property_rows`` gives them, of entities (observer_pk, entity_pk, entity_type, ts) with nested
     traits: one row a leaf that isn't null or empty, by its dotted name; texts without quotes, numbers also as decimals."""
     keys = ["observer_pk", "entity_pk", "entity_type", "ts"]
-    own = leaves(entities, keys, column).where(~F.col("kind").isin("null", "object", "array"))
-    value = F.when(F.col("kind") == "string", F.parse_json("value").cast("string")).otherwise(F.col("value"))
+    own = leaves(entities, keys, column).where(~F.col("value").isin("null", "{}", "[]"))
+    plain = F.when(F.contains("value", F.lit("\\")), F.parse_json("value").cast("string")).otherwise(F.substr("value", F.lit(2), F.length("value") - 2))
+    value = F.when(F.col("kind") == "string", plain).otherwise(F.col("value"))
     p = own.select(*keys, F.col("name").alias("property_name"), value.alias("property_value"), F.when(F.col("kind").isin("bigint", "decimal", "double", "float"), F.col("value")).alias("_n"))
     return p.select(*keys, "property_name", "property_value", F.col("_n").try_cast("decimal(20,10)").alias("property_number"), property_id("observer_pk", "entity_pk", "entity_type", "property_value").alias("property_id"))
 

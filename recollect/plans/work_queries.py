@@ -28,7 +28,7 @@ def nested_properties(m: Memory) -> DataFrame:
     traits = F.parse_json(F.concat(F.lit('{"none":null,'), F.substr(said, F.lit(2))))
     rows = o.select(F.lit("A").alias("observer_pk"), F.md5(F.concat(F.lit("order-"), "o_orderkey")).alias("entity_pk"), F.lit("order").alias("entity_type"), F.unix_timestamp("o_orderdate").alias("ts"), traits.alias("traits"))
     keys = ["observer_pk", "entity_pk", "entity_type", "ts"]
-    again = nested.assembled(nested.leaves(rows, keys, "traits"), keys)
+    again = nested.assembled(nested.leaves(rows, keys, "traits", together=True), keys)
     return nested.property_rows(again).select("entity_pk", "property_name", "property_value", F.col("property_number").cast("double").alias("n"))
 
 

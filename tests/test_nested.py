@@ -50,3 +50,22 @@ def test_templates(spark):
         shaped({"x": "nowhere"})
     with pytest.raises(ValueError):
         nested.reshaped(F.col("v"), {"x": 1})
+
+
+def test_variants_are_written_once_and_leaves_never(spark, traits, monkeypatch):
+    written = []
+    monkeypatch.setattr(nested, "stored", lambda df, name, *how, real=nested.stored: written.append(df.columns) or real(df, name, *how))
+    found = nested.leaves(traits, ["id"], "traits", together=True)
+    back = nested.assembled(found, ["id"])
+    assert written == [["id", "value"]]
+    assert back._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {r["id"]: json.loads(r["t"]) for r in back.select("id", F.to_json("traits").alias("t")).collect()} == {i: json.loads(s) for i, s in enumerate(SAID) if s is not None}
+
+
+def test_brackets_quotes_and_places_in_keys_and_texts(spark):
+    said = [{"a]}": "[{[{", 'b"\\{': ["\\", '"', "\\\"["], "\x01": {"\x1f\n": 1, "{": {}}, "[0": [[]], "": "é "}, list(range(120)), [[[1], [2, [3]]], {"x.y": {"x": {"y": -0.5}}}], {"a": {"b": 1}, "a\x01": 2, "a:": {"b": [None]}}]
+    df = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(said)], "id int, s string").select("id", F.parse_json("s").alias("traits"))
+    found = nested.leaves(df, ["id"], "traits")
+    assert {r["value"] for r in found.where("id = 0").collect()} == {'"[{[{"', '"\\\\"', '"\\""', '"\\\\\\"["', "1", "{}", "[]", '"é "'}
+    back = {r["id"]: json.loads(r["t"]) for r in nested.assembled(found, ["id"]).select("id", F.to_json("traits").alias("t")).collect()}
+    assert back == dict(enumerate(said))
