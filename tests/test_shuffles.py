@@ -127,3 +127,21 @@ def test_copies_are_shuffled_once_and_ordered_by_content_at_equal_times(spark):
     assert "max_by" not in plan(found) and "REPARTITION_BY_COL" in plan(found)
     got = found.first()
     assert got["label"] == "b" and got["entities"]["m"]["traits"] == {"a": "b"} and got["relation"] == []
+
+
+def test_repeated_links_are_left_once_without_a_shuffle_of_their_own(spark):
+    state = "map('a', 'x')"
+    links = spark.sql(f"SELECT * FROM VALUES ('o1', X'02', 'part', {state}, 1), ('o1', X'01', 'part', {state}, 1), ('o1', X'02', 'part', {state}, 1), ('o1', X'02', 'supplier', NULL, NULL), ('o2', X'02', 'part', {state}, 1), ('o2', NULL, 'part', NULL, NULL), ('o2', NULL, 'part', NULL, NULL) AS l(observation_id, entity_pk, entity_type, traits, state_ts)")
+    said = spark.sql("SELECT X'02' AS entity_pk, 1 AS origin, 't' AS text")
+    found = observations.nested(spark.createDataFrame([("o1",), ("o2",), ("o3",)], "id string"), links, said)
+    got = {r["id"]: [(e["entity_pk"] and bytes(e["entity_pk"]), e["entity_type"], e["traits"], len(e["descriptions"])) for e in r["entities"]] for r in found.collect()}
+    assert got == {"o1": [(b"\x01", "part", {"a": "x"}, 0), (b"\x02", "part", {"a": "x"}, 1), (b"\x02", "supplier", None, 1)], "o2": [(None, "part", None, 0), (b"\x02", "part", {"a": "x"}, 1)], "o3": []}
+
+
+def test_obs_nested_shuffles_links_as_bytes_and_doesnt_make_them_distinct_first(spark):
+    from recollect.plans.queries import QUERIES
+    from recollect.plans import read_queries  # noqa: F401
+
+    lines = plan(QUERIES["obs_nested"](spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate(keys=[l_partkey" not in lines and "HashAggregate(keys=[l_suppkey" not in lines
+    assert lines.count("unhex(md5(") >= 4
