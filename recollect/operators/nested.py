@@ -13,8 +13,8 @@ from ..sources.batches import stored
 #: A step of a path is a key of an object or a place in a list.
 STEP = "struct<key: string, pos: int>"
 LEAVES = ("path", "name", "kind", "value")
-#: Between the steps of a path in one text; it isn't in JSON's quoted texts.
-SEPARATOR = "\x01"
+#: Between a path's text and its leaf's; JSON texts don't have it.
+END = "\x01"
 
 
 def kind_of(v: Column) -> Column:
@@ -74,45 +74,51 @@ def leaves(df: DataFrame, keys: list[str], column: str, together: bool = False)
     return rows.select(*keys, "path", name_of(F.col("path")).alias("name"), kind_of_text("value").alias("kind"), "value")
 
 
-def _step_text(s: Column) -> Column:
-    """What a step opens, as ``{"key":`` or ``[``; with a list's comes the place, of equal length, so that texts have the places' order."""
-    # to_json of a list of one text is the text in quotes between brackets
-    quoted = F.when(s["key"].rlike(r'["\\\x00-\x1f]'), F.regexp_replace(F.to_json(F.array(s["key"])), r"^\[|\]$", "")).otherwise(F.concat(F.lit('"'), s["key"], F.lit('"')))
-    return F.when(s["pos"].isNull(), F.concat(F.lit("{"), quoted, F.lit(":"))).otherwise(F.concat(F.lit("["), F.lpad(s["pos"].cast("string"), 10, "0")))
-
-
 def assembled(rows: DataFrame, keys: list[str], column: str = "traits") -> DataFrame:
     """(keys, column): the variants whose ``leaves`` these are; a key's leaves must be of one variant.
 
     A key's leaves are put in the order of their paths, and the text of each is written after what closes and opens between
     its path and the one before.
     """
-    def opened(steps: Column) -> Column:
-        return F.array_join(F.transform(steps, lambda s: F.when(F.startswith(s, F.lit("{")), s).otherwise("[")), "")
-
-    def closed(steps: Column) -> Column:
-        return F.array_join(F.reverse(F.transform(steps, lambda s: F.when(F.startswith(s, F.lit("{")), "}").otherwise("]"))), "")
-
-    def split(leaf: Column) -> Column:
-        return F.struct(F.when(leaf["path"] == "", F.array().cast("array<string>")).otherwise(F.split(leaf["path"], SEPARATOR)).alias("steps"), leaf["value"].alias("value"))
-
-    def fork(leaf: Column, i: Column) -> Column:
-        """The leaf with the steps before and the place from which its own differ from them."""
-        before = F.when(i > 0, F.get("e", i - 1)["steps"])
-        differs = F.array_position(F.zip_with(before, leaf["steps"], lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
-        return F.struct(leaf.alias("leaf"), before.alias("before"), differs.alias("n"))
-
-    def part(x: Column) -> Column:
-        steps = x["leaf"]["steps"]
-        between = F.concat(closed(F.slice(x["before"], x["n"] + 1, F.size(x["before"]))), F.lit(","), F.substr(opened(F.slice(steps, x["n"], F.size(steps))), F.lit(2)))
-        return F.concat(F.when(x["before"].isNull(), opened(steps)).otherwise(between), x["leaf"]["value"])
-
-    flat = rows.select(*keys, F.array_join(F.transform("path", _step_text), SEPARATOR).alias("path"), "value")
+    end = END
+    shapes: dict[tuple, tuple] = {}
+
+    def steps_of(path: str) -> tuple:
+        """A path's steps as (place, key, what opens it)."""
+        return tuple((s["pos"], "", "[") if "pos" in s else (-1, s["key"], "{" + json.dumps(s["key"]) + ":") for s in json.loads(path))
+
+    def closed(steps: tuple) -> str:
+        return "".join("}" if place < 0 else "]" for place, _, _ in reversed(steps))
+
+    def shape_of(paths: tuple) -> tuple:
+        """The order of the leaves with these paths, what is written before each, and what after the last."""
+        steps = [steps_of(p) for p in paths]
+        order, parts, before = sorted(range(len(paths)), key=steps.__getitem__), [], ()
+        for i in order:
+            n, part = 0, ""
+            if before:
+                while before[n] == steps[i][n]:
+                    n += 1
+                part = closed(before[n + 1:]) + ","
+            opened = "".join(opens for _, _, opens in steps[i][n:])
+            parts.append(part + (opened[1:] if before else opened))
+            before = steps[i]
+        return order, parts, closed(before)
+
+    def text_of(leaves: list[str]) -> str:
+        split = [leaf.split(end, 1) for leaf in leaves]
+        paths = tuple(path for path, _ in split)
+        if (shape := shapes.get(paths)) is None:
+            shape = shape_of(paths)
+            if len(paths) <= 200 and len(shapes) < 1000:  # many variants are alike
+                shapes[paths] = shape
+        order, parts, last = shape
+        return "".join(part + split[i][1] for i, part in zip(order, parts)) + last
+
+    leaf = F.concat(F.to_json("path"), F.lit(END), F.col("value"))
     # a number as the first key: sorts that group many keys compare it before the keys themselves
-    groups = flat.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("e"))
-    groups = groups.select(*keys, F.transform("e", split).alias("e"))
-    text = F.concat(F.array_join(F.transform(F.transform("e", fork), part), ""), closed(F.element_at("e", -1)["steps"]))
-    return groups.select(*keys, F.parse_json(text).alias(column))
+    groups = rows.select(*keys, leaf.alias("leaf")).groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.collect_list("leaf").alias("leaves"))
+    return groups.select(*keys, F.parse_json(F.udf(text_of, "string", useArrow=True)("leaves")).alias(column))
 
 
 def property_rows(entities: DataFrame, column: str = "traits") -> DataFrame:
